@@ -8,10 +8,11 @@ from navgraph.llm.near_dedup import op2_near_dedup
 from navgraph.llm.quality import op3_quality
 from navgraph.llm.secrets import OP8_SQL, op8_secrets
 from navgraph.llm.sharding import op10_shard
+from navgraph.llm.toxicity import op1_toxicity
 
 
 def queries() -> dict:
-    return {"op2_near_dedup": op2_near_dedup, "op3_quality": op3_quality, "op4_decontaminate": op4_decontaminate, "op8_secrets": op8_secrets, "op9_mix": op9_mix, "op10_shard": op10_shard}
+    return {"op1_toxicity": op1_toxicity, "op2_near_dedup": op2_near_dedup, "op3_quality": op3_quality, "op4_decontaminate": op4_decontaminate, "op8_secrets": op8_secrets, "op9_mix": op9_mix, "op10_shard": op10_shard}
 
 
 def oracle_sql() -> dict[str, str]:
