@@ -9,11 +9,12 @@ from navgraph.llm.quality import op3_quality
 from navgraph.llm.secrets import OP8_SQL, op8_secrets
 from navgraph.llm.sharding import op10_shard
 from navgraph.llm.suffix_dedup import op5_suffix_dedup
+from navgraph.llm.token_counts import op7_token_counts
 from navgraph.llm.toxicity import op1_toxicity
 
 
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op2_near_dedup": op2_near_dedup, "op3_quality": op3_quality, "op4_decontaminate": op4_decontaminate, "op5_suffix_dedup": op5_suffix_dedup, "op8_secrets": op8_secrets, "op9_mix": op9_mix, "op10_shard": op10_shard}
+    return {"op1_toxicity": op1_toxicity, "op2_near_dedup": op2_near_dedup, "op3_quality": op3_quality, "op4_decontaminate": op4_decontaminate, "op5_suffix_dedup": op5_suffix_dedup, "op7_token_counts": op7_token_counts, "op8_secrets": op8_secrets, "op9_mix": op9_mix, "op10_shard": op10_shard}
 
 
 def oracle_sql() -> dict[str, str]:
