@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from navgraph.llm.decontam import OP4_SQL, op4_decontaminate
+from navgraph.llm.lm_scoring import op6_lm_scoring
 from navgraph.llm.mixing import OP9_SQL, op9_mix
 from navgraph.llm.near_dedup import op2_near_dedup
 from navgraph.llm.quality import op3_quality
@@ -14,7 +15,7 @@ from navgraph.llm.toxicity import op1_toxicity
 
 
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op2_near_dedup": op2_near_dedup, "op3_quality": op3_quality, "op4_decontaminate": op4_decontaminate, "op5_suffix_dedup": op5_suffix_dedup, "op7_token_counts": op7_token_counts, "op8_secrets": op8_secrets, "op9_mix": op9_mix, "op10_shard": op10_shard}
+    return {"op1_toxicity": op1_toxicity, "op2_near_dedup": op2_near_dedup, "op3_quality": op3_quality, "op4_decontaminate": op4_decontaminate, "op5_suffix_dedup": op5_suffix_dedup, "op6_lm_scoring": op6_lm_scoring, "op7_token_counts": op7_token_counts, "op8_secrets": op8_secrets, "op9_mix": op9_mix, "op10_shard": op10_shard}
 
 
 def oracle_sql() -> dict[str, str]:
