@@ -9,10 +9,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navgraph.llm import mixing, sharding
+from navgraph.llm import decontam, mixing, near_dedup, quality, sharding
 from navgraph.llm.common import documents, materialize
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the rules and their posterior keep (operator 3)."""
+    kept = quality.judge(docs, keep=docs.columns).filter("kept")
+    return kept.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest id (operator 2)."""
+    return near_dedup.one_of_each(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that hold no benchmark item (operator 4)."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it (operator 9)."""
     return mixing.repeat(docs)
@@ -26,6 +42,9 @@ def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality", keep_quality),
+    ("near_dedup", drop_near_duplicates),
+    ("decontaminate", drop_leaks),
     ("mix", mix_sources),
     ("shard", deal_shards),
 ]

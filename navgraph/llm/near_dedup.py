@@ -188,5 +188,21 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     return member.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without those whose component has a smaller doc_id, all columns as they are.
+
+    Rows without doc_id stay. Rows that repeat an id and its text are one row
+    afterwards; rows with one id and unlike texts are one document and stay or
+    go together.
+    """
+    found = materialize(near_duplicates(docs.select("doc_id", "text"), width, percent).select("doc_id", "kept"), "near-duplicates")
+    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
+    twice = materialize(found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
+    rest = docs.join(broadcast_up_to(gone, MAX_BROADCAST_ROWS), "doc_id", "left_anti")
+    few = broadcast_up_to(twice, MAX_BROADCAST_ROWS)
+    again = rest.join(few, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return rest.join(few, "doc_id", "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
