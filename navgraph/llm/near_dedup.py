@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,8 @@ from navgraph.llm.hashing import as_bytes, lists, shingle_sets
 K, SHARED = 64, 28
 #: Inverted lists up to this length give all their pairs; longer ones are worked off by pivots.
 SMALL_LIST = 16
-PIVOTS = 4
+#: Pivots of a list in its first round and at most; so few are found without sorting whole lists.
+PIVOTS, MAX_PIVOTS = 4, 1000
 MAX_BROADCAST_ROWS = 300_000
 #: Below this estimate two sets have not Jaccard 0.8, but with a probability under 1e-6 (4.5 standard deviations).
 ESTIMATE = 0.575
@@ -104,44 +106,48 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.filter(F.col("both") * 100 >= (F.size("xs") + F.size("ys") - F.col("both")) * percent).select("a", "b").distinct()
 
 
-def pivot_links(postings: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+def pivot_links(postings: DataFrame, sets: DataFrame, sketches: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """``links`` with those that the long lists add, up to what components need.
 
-    In each round a list compares all its members with PIVOTS of them: those with
-    the fewest rarer values before the list's, which are the most central. Then
-    the pivots leave the list, as all their pairs in it are seen. So do members
+    In each round a list compares some of its members, the pivots, with all that
+    are in other components: those of its smallest components first, and of
+    them the ones with the fewest rarer values before the list's. Then the
+    pivots leave the list, as all their pairs in it are seen. So do members
     that can no longer reach the shared count with any size in the list, and the
     list ends when its members are all in one component. Rounds go on until no
-    list is left: no pair that could add a connection is skipped, and rows made
-    in a round are PIVOTS for each posting at most.
+    list is left: no pair that could add a connection is skipped. Each round
+    takes four times as many pivots as the one before, so long lists of unlike
+    texts end as well.
     """
-    live = postings.filter(F.col("length") > SMALL_LIST)
-    round_no = 0
+    live = postings.filter(F.col("length") > SMALL_LIST).select("value", "node", "n", "pos")
+    live = materialize(live.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")), "live")
+    pivots, parts = PIVOTS, [links]
     while True:
-        roots = components(links)
-        named = live.select("value", "node", "n", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        spans = named.groupBy("value").agg(F.min("n").alias("smallest"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1")
-        partner = F.greatest(F.col("smallest"), F.ceil(F.col("n") * percent / 100 - 1e-9))
+        sizes = live.groupBy("value", "root").agg(F.count("*").alias("alike"), F.min("n").alias("smallest"))
+        spans = sizes.groupBy("value").agg(F.min("smallest").alias("least"), F.count("*").alias("roots")).filter("roots > 1").select("value", "least")
+        partner = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100 - 1e-9))
         able = F.col("n") - F.col("pos") + 1 >= least_shared(F.col("n"), partner, percent)
-        live = materialize(named.join(spans.select("value", "smallest"), "value").filter(able).select("value", "node", "n", "pos", "root"), f"live-{round_no}")
+        ranked = live.join(spans, "value").filter(able).join(sizes.select("value", "root", "alike"), ["value", "root"])
+        live = materialize(ranked.select("value", "node", "n", "pos", "root", "alike"), "live")
         if live.isEmpty():
-            return links
-        first = F.struct("pos", "node", "n", "root")
-        # The smallest PIVOTS of each list, by partial aggregates: no list is gathered whole.
-        chosen = None
-        rest = live
-        for _ in range(PIVOTS):
-            best = materialize(rest.groupBy("value").agg(F.min(first).alias("p")).select("value", F.col("p.node").alias("node"), F.col("p.n").alias("n"), F.col("p.pos").alias("pos"), F.col("p.root").alias("root")), "pivots")
-            chosen = best if chosen is None else chosen.union(best)
-            rest = rest.join(best.select("value", "node"), ["value", "node"], "left_anti")
+            return materialize(reduce(DataFrame.union, parts), "all-links")
+        # The filter on the number limits each task's part of a list before the shuffle: no list is gathered whole.
+        first = F.row_number().over(Window.partitionBy("value").orderBy("alike", "pos", "node"))
+        chosen = materialize(live.withColumn("order", first).filter(F.col("order") <= pivots).drop("order"), "pivots")
         p = chosen.select("value", F.col("node").alias("p"), F.col("n").alias("np"), F.col("pos").alias("pp"), F.col("root").alias("rp"))
         fits = (F.col("rp") != F.col("root")) & (F.least("n", "np") * 100 >= F.greatest("n", "np") * percent)
         fits &= F.least(F.col("n") - F.col("pos"), F.col("np") - F.col("pp")) + 1 >= least_shared(F.col("n"), F.col("np"), percent)
         pairs = live.join(p, "value").filter(fits).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-        found = materialize(verified(pairs, sets, percent), "pivot-links")
-        links = materialize(links.union(found), "all-links")
-        live = materialize(rest, f"rest-{round_no}")
-        round_no += 1
+        found = materialize(verified(estimated(pairs, sketches), sets, percent), "pivot-links")
+        rest = live.drop("alike").join(chosen.select("value", "node"), ["value", "node"], "left_anti")
+        if not found.isEmpty():
+            parts.append(found)
+            root = live.select("node", "root").distinct()
+            joined = found.join(root.toDF("a", "ra"), "a").join(root.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+            merged = broadcast_up_to(components(joined).toDF("root", "merged"), MAX_BROADCAST_ROWS)
+            rest = rest.join(merged, "root", "left").withColumn("root", F.coalesce("merged", "root")).drop("merged")
+        live = materialize(rest, "live")
+        pivots = min(4 * pivots, MAX_PIVOTS)
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
@@ -180,7 +186,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     whole = sets.join(crowd, "node", "left_semi").select("node", size.alias("n"), size.alias("k"), F.explode("set").alias("value"))
     dense = inverted(whole, F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1)
     more = verified(estimated(list_pairs(dense, percent, True), sketches), sets, percent)
-    links = pivot_links(dense, sets, materialize(links.union(more).distinct(), "links"), percent)
+    links = pivot_links(dense, sets, sketches, materialize(links.union(more).distinct(), "links"), percent)
 
     roots = components(links)
     member = tagged.select("doc_id", "n_shingles", "node").join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("component_id"))
