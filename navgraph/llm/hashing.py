@@ -48,10 +48,10 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return mix(value ^ mix((end - start).astype(np.uint64))), np.searchsorted(first, start, "right") - 1, start, end
 
 
-def grouped(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
+def grouped(texts: Iterable[bytes], limit: int = GROUP_BYTES) -> Iterator[list[bytes]]:
     group, held = [], 0
     for t in texts:
-        if group and held + len(t) > GROUP_BYTES:
+        if group and held + len(t) > limit:
             yield group
             group, held = [], 0
         group.append(t)

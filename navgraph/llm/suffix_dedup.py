@@ -24,9 +24,11 @@ TOGETHER = 1000
 #: Symbols that one transform takes, about; an anchor's pieces are never divided.
 TRANSFORM = 1 << 21
 MAX_BROADCAST_ROWS = 1_000_000
+#: Bytes of texts that are hashed at once, which arrays in a task are some ten times as large as.
+GROUP = 1 << 18
 
 
-def pieces(group: list[bytes], length: int) -> dict[str, np.ndarray]:
+def pieces(group: list[bytes], length: int, digests: bool = True) -> dict[str, np.ndarray]:
     """The texts of a group, cut where the anchor of their ``length``-byte strings changes.
 
     Columns text (number in the group), start (first string, within the text),
@@ -35,39 +37,49 @@ def pieces(group: list[bytes], length: int) -> dict[str, np.ndarray]:
     have none.
     """
     data = np.frombuffer(b"".join(group), np.uint8)
-    sizes = np.array([len(t) for t in group])
-    ends = np.cumsum(sizes)
-    n, window = len(data), length - ANCHOR + 1
-    none = np.zeros(0, np.int64)
-    if n < length:
+    ends = np.cumsum([len(t) for t in group])
+    begins = np.concatenate([[0], ends[:-1]])
+    n, window, strings = len(data), length - ANCHOR + 1, len(data) - length + 1
+    if strings <= 0:
+        none = np.zeros(0, np.int64)
         return {k: none for k in ("text", "start", "n", "at", "anchor", "digest")}
-    eight = np.zeros(n - 7, np.uint64)
+    eight = np.empty(n - 7, np.uint64)
     for k in range(8):
         part = np.frombuffer(data[k : k + (n - k) // 8 * 8].tobytes(), "<u8")
         eight[k::8] = part[: len(eight[k::8])]
-    least = mix(mix(eight[: n - ANCHOR + 1]) + eight[8:])
+    least = eight[: n - ANCHOR + 1] * _U(0x9E3779B97F4A7C15)
+    least += eight[8:] * _U(0xC2B2AE3D27D4EB4F)
+    least ^= least >> _U(29)
+    least *= _U(0xBF58476D1CE4E5B9)
+    least ^= least >> _U(32)
     width = 1
     while 2 * width <= window:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
     if width < window:
         least = np.minimum(least[: len(least) - (window - width)], least[window - width :])
-    text = np.repeat(np.arange(len(group)), sizes)
-    at = np.flatnonzero(np.arange(n - length + 1) + length <= ends[text[: n - length + 1]])
-    if not len(at):
-        return {k: none for k in ("text", "start", "n", "at", "anchor", "digest")}
-    own, anchor = text[at], least[at]
-    change = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (own[1:] != own[:-1])])
-    index = np.arange(len(at))
-    change |= (index - np.maximum.accumulate(np.where(change, index, 0))) % PIECE == 0
+    change = np.empty(strings, bool)
+    change[0] = True
+    np.not_equal(least[1:], least[:-1], out=change[1:])
+    for edge in (begins, ends - length + 1):  # where a text's strings begin, and after its last one
+        change[edge[(edge >= 0) & (edge < strings)]] = True
     first = np.flatnonzero(change)
-    count = np.diff(np.append(first, len(at)))
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _power(_BASE, n), out=sums[1:])
-    begin = at[first]
-    inverse = _power(pow(_BASE, -1, 1 << 64), n)
-    digest = mix((sums[begin + count + length - 1] - sums[begin]) * inverse[begin] + count.astype(np.uint64))
-    return {"text": own[first], "start": begin - (ends - sizes)[own[first]], "n": count, "at": begin, "anchor": anchor[first].view(np.int64), "digest": digest.view(np.int64)}
+    count = np.diff(np.append(first, strings))
+    text = np.searchsorted(ends, first, "right")
+    fit = first + length <= ends[text]
+    first, count, text = first[fit], count[fit], text[fit]
+    if len(count) and count.max() > PIECE:
+        parts = -(-count // PIECE)
+        within = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        first, text, left = np.repeat(first, parts) + within * PIECE, np.repeat(text, parts), np.repeat(count, parts) - within * PIECE
+        count = np.minimum(left, PIECE)
+    found = {"text": text, "start": first - begins[text], "n": count, "at": first, "anchor": least[first].view(np.int64)}
+    if digests:
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE[data] * _power(_BASE, n), out=sums[1:])
+        inverse = _power(pow(_BASE, -1, 1 << 64), n)
+        found["digest"] = mix((sums[first + count + length - 1] - sums[first]) * inverse[first] + count.astype(np.uint64)).view(np.int64)
+    return found
 
 
 def anchors(docs: DataFrame, length: int) -> DataFrame:
@@ -76,8 +88,8 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, at = batch["doc_id"].to_numpy(), 0
-            for group in grouped(as_bytes(batch["text"])):
-                p = pieces(group, length)
+            for group in grouped(as_bytes(batch["text"]), GROUP):
+                p = pieces(group, length, digests=False)
                 order = np.lexsort((p["anchor"], p["text"]))
                 anchor, text = p["anchor"][order], p["text"][order]
                 new = np.append(True, (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]))[: len(order)]
@@ -93,7 +105,7 @@ def cut(docs: DataFrame, length: int) -> DataFrame:
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, wanted, at = batch["doc_id"].to_numpy(), batch["anchors"], 0
-            for group in grouped(as_bytes(batch["text"])):
+            for group in grouped(as_bytes(batch["text"]), GROUP):
                 p = pieces(group, length)
                 joined = b"".join(group)
                 rows: dict[tuple[int, int, int], bytes] = {}
@@ -168,8 +180,8 @@ def removed(docs: DataFrame, keep: Sequence[str], length: int = 50) -> DataFrame
     copies = materialize(ids.join(first, "copy").filter("doc_id > first").select("doc_id", "copy").distinct(), "later-copies")
     single = known.join(broadcast_up_to(copies, MAX_BROADCAST_ROWS), ["doc_id", "copy"], "left_anti")
 
-    pairs = anchors(single, length)
-    shared = pairs.groupBy("anchor").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("n")).filter("m < n").select("anchor")
+    pairs = materialize(anchors(single, length), "anchors")
+    shared = materialize(pairs.groupBy("anchor").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("n")).filter("m < n").select("anchor"), "shared")
     wanted = pairs.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
     wanted = materialize(wanted, "shared-anchors")
     found = materialize(cut(single.join(wanted, "doc_id"), length), "pieces")
@@ -196,18 +208,17 @@ def apply(marked: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             sizes, spans, rest, at = [], [], [], 0
             texts = as_bytes(batch["_text"])
-            ids, verdicts, copies = (batch[c].to_pylist() for c in ("_id", "_verdicts", "_copies"))
-            for group in grouped(texts):
+            ids, verdicts, copies = batch["_id"].to_pylist(), batch["_verdicts"], batch["_copies"].to_pylist()
+            for group in grouped(texts, GROUP):
                 p = None
                 for i, t in enumerate(group):
                     gone: list[tuple[int, int]] = []
                     if copies[at + i] and hashlib.md5(t).hexdigest() in copies[at + i]:
                         gone = [(0, len(t))]
-                    elif verdicts[at + i]:
+                    elif own := {(v["anchor"], v["digest"]): v["least"] for v in verdicts[at + i].as_py() or ()}:
                         if p is None:
                             p = pieces(group, length)
                             bounds = np.searchsorted(p["text"], np.arange(len(group) + 1))
-                        own = {(v["anchor"], v["digest"]): v["least"] for v in verdicts[at + i]}
                         depth = np.zeros(len(t) + 1, np.int64)
                         part = slice(bounds[i], bounds[i + 1])
                         for a, d, s, n in zip(*(p[k][part].tolist() for k in ("anchor", "digest", "start", "n")), strict=True):
