@@ -47,11 +47,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back; lineage ends there.
 
     A lost executor then costs a re-read, not a recomputation, and steps that
-    read the table more than once see the same rows.
+    read the table more than once see the same rows. The write's shuffle files
+    are of no more use; Spark deletes them when the driver collects its garbage,
+    which is asked for here, as jobs of many steps would else hold them all.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/navgraph/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
