@@ -12,6 +12,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from navgraph.llm.common import broadcast_up_to, documents
 from navgraph.llm.hashing import as_bytes
@@ -178,7 +179,7 @@ def scored(docs: DataFrame, model: Model, keep: Sequence[str]) -> DataFrame:
     Null and empty texts have no windows; their score is the calibration's for
     none. Equal texts get equal scores. One pass over the rows, without a shuffle.
     """
-    schema = "`" + "`, `".join(f"{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", score double"
+    schema = T.StructType([*docs.select(*keep).schema, T.StructField("score", T.DoubleType())])
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Remembered(model.pair.distance()) if model.pair else None
