@@ -99,61 +99,57 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(found, "anchor long, doc_id long")
 
 
-def cut(docs: DataFrame, length: int) -> DataFrame:
-    """The distinct pieces of each document whose anchors are among its ``anchors``."""
+def cut(docs: DataFrame, length: int, by: str, whole: bool = False) -> DataFrame:
+    """The distinct pieces of each document whose anchor or digest (``by``) is in its array ``wanted``; ``whole``: with their bytes."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, wanted, at = batch["doc_id"].to_numpy(), batch["anchors"], 0
+            ids, wanted, at = batch["doc_id"].to_numpy(), batch["wanted"], 0
             for group in grouped(as_bytes(batch["text"]), GROUP):
                 p = pieces(group, length)
-                joined = b"".join(group)
-                rows: dict[tuple[int, int, int], bytes] = {}
                 bounds = np.searchsorted(p["text"], np.arange(len(group) + 1))
-                for i in range(len(group)):
-                    part = slice(bounds[i], bounds[i + 1])
-                    use = np.flatnonzero(np.isin(p["anchor"][part], wanted[at + i].values.to_numpy())) + bounds[i]
-                    for a, d, s, n in zip(*(p[k][use].tolist() for k in ("anchor", "digest", "at", "n")), strict=True):
-                        rows[i, a, d] = joined[s : s + n + length - 1]
-                keys = np.array(list(rows), np.int64).reshape(-1, 3)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[at + keys[:, 0]], pa.int64()), pa.array(keys[:, 1]), pa.array(keys[:, 2]), pa.array(rows.values(), pa.binary())], ["doc_id", "anchor", "digest", "piece"]
-                )
+                use = [np.flatnonzero(np.isin(p[by][bounds[i] : bounds[i + 1]], wanted[at + i].values.to_numpy())) + bounds[i] for i in range(len(group))]
+                chosen = np.concatenate([u[np.unique(p["digest"][u], return_index=True)[1]] for u in use])
+                columns = [pa.array(ids[at + p["text"][chosen]], pa.int64()), *(pa.array(p[k][chosen], pa.int64()) for k in ("anchor", "digest"))]
+                if whole:
+                    joined = b"".join(group)
+                    columns.append(pa.array([joined[s : s + n + length - 1] for s, n in zip(p["at"][chosen].tolist(), p["n"][chosen].tolist(), strict=True)], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "anchor", "digest", "piece"][: len(columns)])
                 at += len(group)
 
-    return docs.select("doc_id", "text", "anchors").mapInArrow(found, "doc_id long, anchor long, digest long, piece binary")
+    return docs.select("doc_id", "text", "wanted").mapInArrow(found, "doc_id long, anchor long, digest long" + ", piece binary" * whole)
 
 
-def compared(contested: DataFrame, length: int) -> DataFrame:
-    """For pieces that share an anchor with unlike ones: anchor, digest, least (for each string, its smallest document)."""
+def compared(held: DataFrame, hot: DataFrame, length: int) -> DataFrame:
+    """For pieces that share an anchor with unlike ones: anchor, digest, least (for each string, its smallest document); ``hot`` has the anchors of many."""
 
     def transformed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, bytes]] = []
+        some: list[tuple[int, int, int, bytes]] = []
         size = 0
 
         def done() -> pa.RecordBatch:
-            least = smallest_owner([x[3] for x in held], np.array([x[2] for x in held], np.int64), length)
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array([x[1] for x in held], pa.int64()), lists(least, pa.int64())], ["anchor", "digest", "least"])
+            least = smallest_owner([x[3] for x in some], np.array([x[2] for x in some], np.int64), length)
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.int64()), pa.array([x[1] for x in some], pa.int64()), lists(least, pa.int64())], ["anchor", "digest", "least"])
 
         for batch in batches:
             for row in zip(*(batch[c].to_pylist() for c in ("anchor", "digest", "owner", "piece")), strict=True):
-                if held and size > TRANSFORM and held[-1][0] != row[0]:
+                if some and size > TRANSFORM and some[-1][0] != row[0]:
                     yield done()
-                    held, size = [], 0
-                held.append(row)
+                    some, size = [], 0
+                some.append(row)
                 size += len(row[3])
-        if held:
+        if some:
             yield done()
 
     columns = ["anchor", "digest", "owner", "piece"]
-    few = contested.filter(F.col("unlike") <= TOGETHER).select(*columns).repartition("anchor").sortWithinPartitions("anchor")
+    few = held.select(*columns).join(hot, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
     together = few.mapInArrow(transformed, "anchor long, digest long, least array<long>")
 
     # Strings of very common anchors are grouped themselves: sums before the shuffle, and no large group.
     at = F.sequence(F.lit(1), F.octet_length("piece") - (length - 1))
-    strings = contested.filter(F.col("unlike") > TOGETHER).select("anchor", "digest", "owner", F.posexplode(F.transform(at, lambda i: F.xxhash64("anchor", F.substring("piece", i, length)))).alias("i", "string"))
+    strings = held.join(hot, "anchor", "left_semi").select("anchor", "digest", "owner", F.posexplode(F.transform(at, lambda i: F.xxhash64("anchor", F.substring("piece", i, length)))).alias("i", "string"))
     smallest = strings.groupBy("anchor", "string").agg(F.min("owner").alias("m"))
-    each = strings.join(smallest, ["anchor", "string"]).groupBy("anchor", "digest").agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("s"))
+    each = strings.join(smallest, ["anchor", "string"]).groupBy("anchor", "digest").agg(F.sort_array(F.collect_set(F.struct("i", "m"))).alias("s"))
     return together.unionByName(each.select("anchor", "digest", F.col("s.m").alias("least")))
 
 
@@ -180,16 +176,20 @@ def removed(docs: DataFrame, keep: Sequence[str], length: int = 50) -> DataFrame
     copies = materialize(ids.join(first, "copy").filter("doc_id > first").select("doc_id", "copy").distinct(), "later-copies")
     single = known.join(broadcast_up_to(copies, MAX_BROADCAST_ROWS), ["doc_id", "copy"], "left_anti")
 
-    pairs = materialize(anchors(single, length), "anchors")
+    # The pairs are made twice: that takes less than keeping them.
+    pairs = anchors(single, length)
     shared = materialize(pairs.groupBy("anchor").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("n")).filter("m < n").select("anchor"), "shared")
-    wanted = pairs.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
-    wanted = materialize(wanted, "shared-anchors")
-    found = materialize(cut(single.join(wanted, "doc_id"), length), "pieces")
+    wanted = materialize(pairs.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("wanted")), "shared-anchors")
+    found = materialize(cut(single.join(wanted, "doc_id"), length, "anchor"), "pieces")
 
-    unlike = materialize(found.groupBy("anchor", "digest").agg(F.min("doc_id").alias("owner"), F.first("piece").alias("piece")), "unlike-pieces")
+    unlike = materialize(found.groupBy("anchor", "digest").agg(F.min("doc_id").alias("owner")), "unlike-pieces")
     many = unlike.groupBy("anchor").agg(F.count("*").alias("unlike")).filter("unlike > 1")
     contested = materialize(unlike.join(many, "anchor"), "contested")
-    least = materialize(compared(contested, length), "least")
+    # The bytes of a piece are cut anew, from its owner's text, where they are needed.
+    owned = contested.groupBy(F.col("owner").alias("doc_id")).agg(F.collect_list("digest").alias("wanted"))
+    held = cut(single.join(owned, "doc_id"), length, "digest", whole=True).select(F.col("doc_id").alias("owner"), "anchor", "digest", "piece")
+    hot = materialize(many.filter(F.col("unlike") > TOGETHER).select("anchor"), "hot-anchors")
+    least = materialize(compared(held, broadcast_up_to(hot, MAX_BROADCAST_ROWS), length), "least")
     settled = unlike.join(many, "anchor", "left_anti").select("anchor", "digest", F.array("owner").alias("least"))
     verdicts = found.select("doc_id", "anchor", "digest").join(least.unionByName(settled), ["anchor", "digest"])
     verdicts = verdicts.filter(F.exists("least", lambda m: m < F.col("doc_id"))).select("doc_id", F.struct("anchor", "digest", "least").alias("v"), F.lit(None).cast("string").alias("copy"))
