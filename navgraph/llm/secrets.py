@@ -35,9 +35,22 @@ HINTS = {"assign": r"(?i:password|passwd|secret|token|api_?key)", "access": "AKI
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 CLASSES = (("^[0-9A-Fa-f-]+$", 3.05), ("^[A-Za-z/_=-]+$", 4.25), ("^[0-9+/_=-]+$", 9.0), ("", 3.75))
-#: Candidates that look like these are not secrets: identifiers, paths, placeholders.
+#: Candidates that look like these are left to PARTS: this list is also met inside a secret, by its padding, dashes or letters.
 ALLOWED = r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|example|sample|placeholder|dummy|xxxx|0000|12345678|abcdefgh|(^|/)[a-z]+/[a-z]+/|--|__|=="
 
+#: The classes of the parts of a candidate, below what nearly all random strings of their alphabets reach.
+PARTS = (("^[0-9+/_=-]+$", 2.45), ("^[0-9A-Fa-f-]+$", 3.05), ("^[A-Za-z+/_=-]+$", 3.15), ("", 3.75))
+#: Parts that are not secrets as a whole: identifiers, placeholders, alphabets, numbers that begin with a date.
+PLAIN = (
+    r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|^(?:[a-z]+[-_]){0,4}(?:example|sample|placeholder|dummy|abcdefgh|0?12345678)|(?:example|placeholder)(?:[-_]?key)?$"
+    r"|^(?:19|20)[0-9]{2}([-_/]?)(?:0[1-9]|1[0-2])\2(?:0[1-9]|[12][0-9]|3[01])[0-9+/_=-]*$"
+)
+#: Names, paths and compounds, as the form of their words and numbers, and what letters of a word do not do (clusters count as one).
+_WORD = "(?:(?:[A-Z]?[a-z]+(?:[A-Z][a-z]+)*+[A-Z]{0,3}|[A-Z]+)[0-9]{0,4}|[0-9]{1,4})"
+WORDS = f"^[+/_=-]*{_WORD}(?:[+/_=-]+{_WORD})*+[+/_=-]*$"
+_CLUSTER = "(?>sch|[cpst]h|ck|ng|pf|[b-df-hj-np-tv-xz]){5}"
+UNLIKE_WORDS = f"(?i){_CLUSTER}(?=[a-z])|(?<=[a-z]){_CLUSTER}|q[b-df-hj-tv-z]|j[b-df-hj-np-tv-xz]|v[b-df-hjkm-qs-tv-xz]"
+
 
 def spans(text: Column, kind: Kind) -> Column:
     """Start and end (code points, end exclusive) of a pattern's matches, with the text of the tested group.
@@ -94,20 +107,34 @@ def peak_entropy(string: Column) -> Column:
     return let(F.transform(F.split(string, ""), F.ascii), peak)
 
 
-def threshold(string: Column) -> Column:
-    out = F.lit(CLASSES[-1][1])
-    for pattern, bits in reversed(CLASSES[:-1]):
+def threshold(string: Column, classes: Sequence[tuple[str, float]] = CLASSES) -> Column:
+    out = F.lit(classes[-1][1])
+    for pattern, bits in reversed(classes[:-1]):
         out = F.when(string.rlike(pattern), bits).otherwise(out)
     return out
 
 
+def random_part(string: Column) -> Column:
+    """Whether a name's value, a name, or the candidate itself where its value is shorter than a window, is a secret by PARTS.
+
+    Padding and the name before an '=' are thus not tested with the value, and
+    what is plain must be so from end to end.
+    """
+    split = F.split(F.regexp_replace(string, "=+$", ""), "=+")
+    parts = F.concat(F.filter(split, lambda p: F.length(p) >= WINDOW), F.when(F.length(F.element_at(split, -1)) < WINDOW, F.array(string)).otherwise(F.expr("CAST(array() AS array<string>)")))
+    plain = lambda p: p.rlike(PLAIN) | (p.rlike(WORDS) & ~p.rlike(UNLIKE_WORDS))
+    return F.exists(parts, lambda p: F.when(plain(p), False).otherwise(peak_entropy(p) >= threshold(p, PARTS)))
+
+
 def scan(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
     """The secrets of each document: ``doc`` (a struct of ``keep``), and ``spans``, an array of (start, rank, end, kind, string).
 
     ``docs`` has text. Kinds are KINDS, in that rank, then ``entropy``: a
     candidate string in which some window reaches its character class's
-    threshold, unless it is on the allow-list or overlaps a span of a pattern.
-    ``string`` is the text of the pattern's tested group. Null and empty texts
+    threshold, unless it is on the allow-list, or that has a ``random_part``,
+    and that overlaps no span of a pattern. OP8_SQL has the first of the two
+    rules only: it lacks secrets with padding, a flag's or name's dashes, or of
+    letters or digits alone. ``string`` is the text of the pattern's tested group. Null and empty texts
     have no spans; rows are scanned one by one, whole texts, without a shuffle.
     """
     t, spotless = F.col("t"), "CAST(array() AS array<struct<start:int,rank:int,end:int,kind:string,string:string>>)"
@@ -124,7 +151,8 @@ def scan(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
 
     def secret(s: Column) -> Column:
         clear = ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return clear & ~s["string"].rlike(ALLOWED) & (peak_entropy(s["string"]) >= threshold(s["string"]))
+        high = ~s["string"].rlike(ALLOWED) & (peak_entropy(s["string"]) >= threshold(s["string"]))
+        return F.when(clear, F.when(high, True).otherwise(random_part(s["string"]))).otherwise(False)
 
     candidates = spans(t, Kind("entropy", CANDIDATE, 0, WINDOW))
     found = F.transform(F.filter(candidates, secret), tagger(len(KINDS), "entropy"))

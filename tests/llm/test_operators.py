@@ -225,6 +225,18 @@ def test_secrets_of_odd_rows(spark):
     assert got[30] == "assign:0:31,access:37:57,hex:63:95" and got[31] == "entropy:5:25" and got[1] == got[2] == ""
 
 
+def test_secrets_with_padding_dashes_names_and_one_alphabet(spark):
+    hidden = {
+        40: "AccountKey=q83vEjRWeJCrze8SNFZ4kA==", 41: "--auth=Zx9Qm2Lp7Tw4Rb8Ny1Kd", 42: "aT3k--9QmZx2Lp7Tw4Rb8Ny1", 43: "STORE__KEYS=Zx9Qm2Lp7Tw4Rb8Ny1Kd", 44: "Zx9Qm20000Lp7Tw4Rb8Ny1Kd",
+        45: "hqwzkxnbvjmfprtydlsg", 46: "qTzRkWnBvXmLpGhYdJsC", 47: "73914028561973502846", 48: "aB/cd/ef/9QmZx2Lp7Tw4Rb8Ny1", 49: "7Hq2xyexampleZx9Qm2Lp7Tw4R", 50: "--auth=Zx9Qm2Lp7Tw4Rb8N", 51: "q83vEjRWeJCrze8S==other=abc",
+        52: "EXAMPLE__NAME=Zx9Qm2Lp7Tw4Rb8Ny1Kd",
+    }
+    plain = ["--experimental-feature-flag=on", "AZURE_STORAGE_CONNECTION_STRING", "usr/lib/python3/dist-packages/numpy", "Rechtsschutzversicherungsgesellschaften", "example_Zx9Qm2Lp7Tw4Rb8Ny1Kd", "2024-01-15_13-46-58-279", "=" * 30, "0" * 24, "abcdefghijklmnopqrstuvwxyz", "550e8400-e29b-41d4-a716-446655440000"]
+    rows = [(i, f"so {t} end", "en", "a", 1) for i, t in [*hidden.items(), *enumerate(plain, 60)]]
+    got = {r.doc_id: r.s for r in secrets.scan(up(spark, rows), ["doc_id"]).select("doc.doc_id", secrets.listed(F.col("spans")).alias("s")).collect()}
+    assert got == {i: f"entropy:3:{3 + len(t)}" for i, t in hidden.items()} | {i: "" for i in range(60, 60 + len(plain))}
+
+
 def test_mixing_sums(spark, sf_dir):
     docs = common.documents(spark, sf_dir)
     out = mixing.op9_mix(spark, sf_dir)
