@@ -1,9 +1,10 @@
-"""Streaming queries over the events table, run until all of it is read."""
+"""Queries over the whole events table: counts in batch, game states as a stream that is run until all of it is read."""
 
 from __future__ import annotations
 
 from navgraph.plans.play import VIEWS
 from navgraph.plans.registry import query
+from navgraph.sources import views as V
 from navgraph.streaming import events as E
 
 
@@ -13,7 +14,7 @@ def _stream(spark, sf_dir):
 
 @query(VIEWS + " SELECT type, count(*) AS n FROM v_events GROUP BY type")
 def event_counts(spark, sf_dir):
-    return E.drain(E.count_by_type(E.once(_stream(spark, sf_dir))), "complete", ["type"])
+    return E.count_by_type(E.distinct_events(V.events(spark, sf_dir)))
 
 
 @query(VIEWS + """ SELECT game_id, count(*) FILTER (type = 'move_completed') AS moves, count(*) FILTER (type = 'shortest_paths_found') AS solved,

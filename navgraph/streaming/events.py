@@ -23,10 +23,20 @@ def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 64) ->
 
 
 def once(stream: DataFrame) -> DataFrame:
-    """Without events that are sent again within the lateness, as after a replay."""
+    """Without events that are sent again within the lateness, as after a replay.
+
+    For live streams: events that come later than the lateness behind the
+    latest time of the batches before are lost.
+    """
     return stream.withWatermark("ts", LATENESS).dropDuplicatesWithinWatermark(["event_id"])
 
 
+def distinct_events(rows: DataFrame) -> DataFrame:
+    """type of each event of a whole table: one row an event_id, its earliest, however far apart its repeats; all rows without an id."""
+    known = rows.filter("event_id IS NOT NULL").groupBy("event_id").agg(F.min(F.struct("ts", "type")).alias("first"))
+    return known.select("first.type").unionByName(rows.filter("event_id IS NULL").select("type"))
+
+
 def of_type(stream: DataFrame, *types: str) -> DataFrame:
     """The events of some topics; each topic's query runs, fails and recovers by itself."""
     return stream.filter(F.col("type").isin(*types) & F.col("game_id").isNotNull() & (F.length("type") > 0))

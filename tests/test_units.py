@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 from navgraph.functions import costs
 from navgraph.functions.titles import fold, readable, sanitize
 from navgraph.operators import games, links, paths, race, ratings, tasks
+from navgraph.plans import live
 from navgraph.sources import dumps
 from navgraph.streaming import events
 
@@ -116,3 +118,33 @@ def test_repeated_events_count_once(spark, tmp_path):
     rows.limit(10).write.mode("append").parquet(str(tmp_path / "in"))
     out = events.drain(events.count_by_type(events.once(events.event_stream(spark, str(tmp_path / "in")))), "complete", ["type"])
     assert [(r.type, r.n) for r in out.collect()] == [("move_completed", 30)]
+
+
+def out_of_order(spark, folder, files):
+    """Files of two events each, the latest times first; one event is repeated a day later, two have no id."""
+    for i in range(files):
+        late = files - i
+        rows = [(2 * i, late), (2 * i + 1, late)] if i else [(0, late), (None, late), (None, late), (2, late + 24)]
+        made = spark.createDataFrame(rows, "event_id long, h int").selectExpr("event_id", "timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,h) AS ts", "1L AS user_id", "'click' AS event_type", "1.0D AS value", "'{}' AS props").toPandas()
+        made["event_id"] = made["event_id"].astype("Int64")
+        made["ts"] = made["ts"].astype("datetime64[us]")
+        path = folder / f"part-{i:03d}.parquet"
+        made.to_parquet(path)
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+
+
+def test_whole_table_counts_do_not_depend_on_files(spark, tmp_path):
+    (tmp_path / "events.parquet").mkdir()
+    out_of_order(spark, tmp_path / "events.parquet", 70)
+    assert [(r.type, r.n) for r in live.event_counts(spark, str(tmp_path)).collect()] == [("move_completed", 141)]
+
+
+def test_live_counts_lose_only_what_is_later_than_the_lateness(spark, tmp_path):
+    for i, hours in enumerate([[10, 10], [9.5, 10], [3, 10.25]]):
+        rows = [(10 * i + k, float(h)) for k, h in enumerate(hours)] + ([(0, 10.0)] if i else [])
+        made = spark.createDataFrame(rows, "event_id long, h double").selectExpr("event_id", "timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,CAST(60 * h AS int)) AS ts", "1L AS user_id", "'click' AS event_type", "1.0D AS value", "'{}' AS props").toPandas()
+        made["ts"] = made["ts"].astype("datetime64[us]")
+        made.to_parquet(tmp_path / f"part-{i}.parquet")
+        os.utime(tmp_path / f"part-{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    out = events.drain(events.count_by_type(events.once(events.event_stream(spark, str(tmp_path), files_per_trigger=1))), "complete", ["type"])
+    assert [(r.type, r.n) for r in out.collect()] == [("move_completed", 5)]
