@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -15,17 +16,28 @@ from navgraph.llm.common import broadcast_up_to, documents, materialize
 from navgraph.llm.components import components
 from navgraph.llm.hashing import as_bytes, lists, shingle_sets
 
-#: Values that a sketch retains, and how many of them two sets of Jaccard 0.8 share at the least:
-#: of the union's K smallest values each is in both with probability 0.8, and fewer than SHARED
-#: are with a probability under 3e-10.
-K, SHARED = 64, 28
+#: Values that a sketch retains, and the most that the probabilities may be with which a pair right at the
+#: threshold shares fewer of them than inverted lists ask for, and than the estimate asks for.
+K, LIST_ERROR, ESTIMATE_ERROR = 64, 1e-10, 1e-6
 #: Inverted lists up to this length give all their pairs; longer ones are worked off by pivots.
 SMALL_LIST = 16
 #: Pivots of a list in its first round and at most; so few are found without sorting whole lists.
 PIVOTS, MAX_PIVOTS = 4, 1000
 MAX_BROADCAST_ROWS = 300_000
-#: Below this estimate two sets have not Jaccard 0.8, but with a probability under 1e-6 (4.5 standard deviations).
-ESTIMATE = 0.575
+
+
+def sure_hits(percent: int, error: float) -> int:
+    """How many of the union's K smallest values two sets of Jaccard ``percent`` share, but with a probability of ``error`` at most.
+
+    Each is in both sets with probability ``percent`` / 100, so their number is
+    binomial. Of 80 %, 28 for LIST_ERROR and 34 for ESTIMATE_ERROR (3.2e-7).
+    """
+    p, below = percent / 100, 0.0
+    for hits in range(K + 1):
+        below += math.comb(K, hits) * p**hits * (1 - p) ** (K - hits)
+        if below > error:
+            return max(1, hits)
+    return K
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
@@ -88,13 +100,13 @@ def list_pairs(postings: DataFrame, percent: int, positions: bool) -> DataFrame:
     return x.join(y, "value").filter(fits).select("a", "b").distinct()
 
 
-def estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs whose union sketch does not rule a link out."""
+def estimated(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose union sketch does not rule a link out; one right at ``percent`` is lost with ESTIMATE_ERROR at most."""
     x = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
     y = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
     union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, K)
     both = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
-    return pairs.join(x, "a").join(y, "b").filter(both >= F.size(union) * ESTIMATE).select("a", "b")
+    return pairs.join(x, "a").join(y, "b").filter(both >= F.size(union) * (sure_hits(percent, ESTIMATE_ERROR) / K)).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -106,7 +118,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.filter(F.col("both") * 100 >= (F.size("xs") + F.size("ys") - F.col("both")) * percent).select("a", "b").distinct()
 
 
-def pivot_links(postings: DataFrame, sets: DataFrame, sketches: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+def pivot_links(postings: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """``links`` with those that the long lists add, up to what components need.
 
     In each round a list compares some of its members, the pivots, with all that
@@ -138,7 +150,7 @@ def pivot_links(postings: DataFrame, sets: DataFrame, sketches: DataFrame, links
         fits = (F.col("rp") != F.col("root")) & (F.least("n", "np") * 100 >= F.greatest("n", "np") * percent)
         fits &= F.least(F.col("n") - F.col("pos"), F.col("np") - F.col("pp")) + 1 >= least_shared(F.col("n"), F.col("np"), percent)
         pairs = live.join(p, "value").filter(fits).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-        found = materialize(verified(estimated(pairs, sketches), sets, percent), "pivot-links")
+        found = materialize(verified(pairs, sets, percent), "pivot-links")
         rest = live.drop("alike").join(chosen.select("value", "node"), ["value", "node"], "left_anti")
         if not found.isEmpty():
             parts.append(found)
@@ -174,9 +186,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     sketches = tagged.filter("sketch IS NOT NULL").select("node", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["node", "n"])
 
     k = F.least(F.col("n"), F.lit(K))
-    shared = F.when(F.col("n") * 100 <= K * percent, F.ceil(F.col("n") * percent / 100 - 1e-9)).otherwise(F.lit(SHARED))
+    shared = F.when(F.col("n") * 100 <= K * percent, F.ceil(F.col("n") * percent / 100 - 1e-9)).otherwise(F.lit(sure_hits(percent, LIST_ERROR)))
     postings = inverted(sketches.select("node", "n", k.alias("k"), F.explode("sketch").alias("value")), F.col("k") - shared + 1)
-    pairs = materialize(estimated(list_pairs(postings, percent, False), sketches), "pairs")
+    pairs = materialize(estimated(list_pairs(postings, percent, False), sketches, percent), "pairs")
     crowd = materialize(postings.filter(F.col("length") > SMALL_LIST).select("node").distinct(), "crowd")
     needed = materialize(crowd.union(pairs.select("a")).union(pairs.select("b")).distinct(), "needed")
     sets = full_sets(docs, needed, width)
@@ -185,8 +197,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     size = F.size("set").cast("long")
     whole = sets.join(crowd, "node", "left_semi").select("node", size.alias("n"), size.alias("k"), F.explode("set").alias("value"))
     dense = inverted(whole, F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1)
-    more = verified(estimated(list_pairs(dense, percent, True), sketches), sets, percent)
-    links = pivot_links(dense, sets, sketches, materialize(links.union(more).distinct(), "links"), percent)
+    more = verified(list_pairs(dense, percent, True), sets, percent)
+    links = pivot_links(dense, sets, materialize(links.union(more).distinct(), "links"), percent)
 
     roots = components(links)
     member = tagged.select("doc_id", "n_shingles", "node").join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("component_id"))

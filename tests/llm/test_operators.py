@@ -77,6 +77,25 @@ def test_near_duplicates_of_odd_rows(spark):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 5, 7, 9, 10]
 
 
+def test_near_duplicates_at_other_thresholds(spark):
+    rows = []
+    for i in range(30):
+        words = [f"w{i}x{k}" for k in range(400)]
+        rows += [(2 * i, " ".join(words), "en", "a", 1), (2 * i + 1, " ".join([*words[:306], *(f"v{i}x{k}" for k in range(94))]), "en", "a", 1)]
+    want = near_brute([(r[0], r[1]) for r in rows], 4, 60)
+    assert {c for _, c in want.values()} == set(range(0, 60, 2))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(up(spark, rows), 4, 60).collect()}
+    assert got == want
+
+
+def test_hits_of_sketches_at_the_threshold():
+    for percent, error in ((80, near_dedup.LIST_ERROR), (80, near_dedup.ESTIMATE_ERROR), (60, near_dedup.ESTIMATE_ERROR)):
+        least, p = near_dedup.sure_hits(percent, error), percent / 100
+        tail = [sum(math.comb(64, k) * p**k * (1 - p) ** (64 - k) for k in range(n)) for n in (least, least + 1)]
+        assert tail[0] <= error < tail[1]
+    assert near_dedup.sure_hits(80, near_dedup.LIST_ERROR) == 28 and near_dedup.sure_hits(80, near_dedup.ESTIMATE_ERROR) == 34
+
+
 def test_components(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(0, 40)] + [(100, 101), (7, 7)], "a long, b long")
     assert {r.node: r.root for r in components(links).collect()} == {**{k: 0 for k in range(41)}, 100: 100, 101: 100}
