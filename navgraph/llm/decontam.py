@@ -34,36 +34,43 @@ def find(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80) -
     items of partitions whose need its own size reaches. What the sketches find
     is verified by counting equal shingles as strings.
 
+    An item of fewer than ``width`` words is one shingle of its own width, and
+    documents are then cut in shingles of that width as well: it is found in
+    whatever document has its words in a row. OP4_SQL finds such an item only
+    in documents that are nothing else.
+
     Null and empty texts have no shingles, are never found and find nothing.
     Equal rows give one result; items with one id and unlike texts are separate.
     """
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text_of()))
     tests = items.select("item_id", text_of().alias("t")).distinct()
-    tests = tests.select("item_id", F.md5("t").alias("item_key"), shingles(F.col("t"), width).alias("set")).filter(F.size("set") > 0)
+    tests = tests.select("item_id", F.md5("t").alias("item_key"), F.least(F.size(words(lower_az(F.col("t")))), F.lit(width)).alias("width"), shingles(F.col("t"), width).alias("set")).filter(F.size("set") > 0)
     tests = tests.withColumn("n_shingles", F.size("set").cast("long")).withColumn("need", F.expr(f"({percent} * n_shingles + 99) div 100"))
     tests = materialize(tests.withColumn("size_class", F.floor(F.log2("n_shingles"))), "test-items")
 
     hashed = F.sort_array(F.transform("set", lambda s: F.xxhash64(s)))
     sketch = F.slice(hashed, 1, (F.col("n_shingles") - F.col("need") + 1).cast("int"))
-    sketches = materialize(tests.select("item_id", "item_key", "need", "size_class", F.explode(sketch).alias("value")), "test-sketches")
-    classes = sketches.groupBy("size_class").agg(F.min("need").alias("least"), F.max("value").alias("top")).collect()  # one row for each power of two
-    if not classes:
-        classes = [{"least": 1 << 40, "top": -(1 << 63)}]
+    sketches = materialize(tests.select("item_id", "item_key", "need", "width", "size_class", F.explode(sketch).alias("value")), "test-sketches")
+    found = sketches.groupBy("width", "size_class").agg(F.min("need").alias("least"), F.max("value").alias("top")).collect()  # one row for each power of two
+    classes = [c for c in found if c["width"] == width]
+    short = {c["width"]: c["top"] for c in found if c["width"] < width}  # such items have one shingle
 
     # Of a document's shingles only those count that some class which the document is large enough for can have in a sketch.
-    values = F.array_distinct(let(words(lower_az(text_of())), lambda w: F.when(F.size(w) > 0, F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size(w) - width, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, width), " "))))))
+    cut = lambda w, n: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, n), " ")))
+    hashes = lambda n: F.array_distinct(let(words(lower_az(text_of())), lambda w: F.when(F.size(w) > 0, cut(w, n))))
     top = F.lit(-(1 << 63))
     for c in classes:
         top = F.greatest(top, F.when(F.size("values") >= c["least"], F.lit(c["top"])).otherwise(F.lit(-(1 << 63))))
-    probes = docs.select(key.alias("key"), values.alias("values")).filter(F.size("values") > 0).withColumn("top", top)
-    probes = probes.select("key", F.size("values").alias("n_doc"), F.explode(F.filter("values", lambda v: v <= F.col("top"))).alias("value"))
+    probes = docs.select(key.alias("key"), hashes(width).alias("values"), *[hashes(n).alias(f"values_{n}") for n in short]).filter(F.size("values") > 0).withColumn("top", top)
+    up_to = lambda most: lambda v: v <= F.lit(most)
+    low = [F.filter("values", lambda v: v <= F.col("top")), *[F.filter(f"values_{n}", up_to(most)) for n, most in short.items()]]
+    probes = probes.select("key", F.size("values").alias("n_doc"), F.explode(F.concat(*low)).alias("value"))
     met = probes.join(broadcast_up_to(sketches, MAX_BROADCAST_ROWS), "value").filter(F.col("n_doc") >= F.col("need"))
     candidates = materialize(met.select("key", "item_key", "item_id").distinct(), "test-candidates")
 
     keys = candidates.select("key").distinct()
     suspects = docs.select(key.alias("key"), "doc_id", "text").join(broadcast_up_to(keys, MAX_BROADCAST_ROWS), "key", "left_semi")
-    held = suspects.select("key", "doc_id", F.explode(shingles(text_of(), width)).alias("shingle"))
+    held = suspects.select("key", "doc_id", F.explode(F.concat(*[shingles(text_of(), n) for n in (width, *short)])).alias("shingle"))
     wanted = materialize(tests.select("item_id", "item_key", "n_shingles", "need", F.explode("set").alias("shingle")), "test-shingles")
     shared = held.join(broadcast_up_to(wanted, MAX_BROADCAST_ROWS), "shingle")
     same_item = (F.col("item_id").eqNullSafe(F.col("c_id"))) & (F.col("item_key") == F.col("c_item")) & (F.col("key") == F.col("c_key"))
