@@ -55,7 +55,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/navgraph/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.kept_at = path
+    return kept
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more: what was made of them is written itself."""
+    for table in tables:
+        jvm, sc = table.sparkSession.sparkContext._jvm, table.sparkSession.sparkContext
+        path = jvm.org.apache.hadoop.fs.Path(table.kept_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def broadcast_up_to(df: DataFrame, max_rows: int) -> DataFrame:
