@@ -44,13 +44,15 @@ def mix(docs: DataFrame, keep: Sequence[str], weights: Sequence[int] = (1, 2, 3)
     the columns in ``keep``), size, source, source_size, target, taken and whole.
 
     Sources in code point order, null last, weigh ``weights`` in turn and share
-    all words; a target stops at ``max_epochs`` times the source's size. With
-    target T (rounded to whole words) and size S, each document is taken T // S
-    times (``whole``), and documents in seeded order once more until the rest of
-    T is reached: the last of them in part. So each source's taken words are T
-    exactly. The order is by md5 of seed and doc_id (of the text where doc_id is
-    null), so reruns agree. No text: size 0. No rows: no result rows. Rows that
-    repeat share their place in the order and are interchangeable.
+    all words; a target stops at ``max_epochs`` times the source's size. Whole
+    words T of a target are its floor, and one more for the sources with the
+    largest remainders (the first in order among equal ones), so all T add up
+    to all sizes. With size S, each document is taken T // S times (``whole``),
+    and documents in seeded order once more until the rest of T is reached: the
+    last of them in part. So each source's taken words are T exactly. The order
+    is by md5 of seed and doc_id (of the text where doc_id is null), so reruns
+    agree. No text: size 0. No rows: no result rows. Rows that repeat share
+    their place in the order and are interchangeable.
 
     Sums per source and hash bucket are made before anything is sorted, so only
     the documents of one bucket per source, about ``BOUNDARY_ROWS``, are sorted.
@@ -75,10 +77,14 @@ def mix(docs: DataFrame, keep: Sequence[str], weights: Sequence[int] = (1, 2, 3)
     total = int(sources.agg(F.sum("source_size")).first()[0] or 0)
     level = water_level(sources, total, max_epochs)
     wide = "decimal(38,0)"
-    share = (F.col("weight").cast(wide) * F.lit(level.numerator).cast(wide)).cast("double") / F.lit(float(level.denominator))
+    parts, cap = F.col("weight").cast(wide) * F.lit(level.numerator).cast(wide), F.col("source_size") * max_epochs
+    floor, left = F.expr(f"CAST(weight * CAST({level.numerator} AS {wide}) AS {wide}) div CAST({level.denominator} AS {wide})"), parts % F.lit(level.denominator).cast(wide)
+    capped = parts >= cap.cast(wide) * F.lit(level.denominator).cast(wide)
+    exact = sources.withColumns({"target": F.least(parts.cast("double") / F.lit(float(level.denominator)), cap.cast("double")), "floor": F.when(capped, cap).otherwise(floor), "left": F.when(capped, F.lit(0)).otherwise(left).cast(wide)})
+    largest = row_numbers(exact, [F.col("left").desc(), F.col("source").asc_nulls_last()], "place")
+    missing = total - int(exact.agg(F.sum("floor")).first()[0] or 0)
     targets = (
-        sources.withColumn("target", F.least(share, (F.col("source_size") * max_epochs).cast("double")))
-        .withColumn("words", F.floor(F.col("target") + 0.5))
+        largest.withColumn("words", F.col("floor") + (F.col("place") < missing).cast("long"))
         .withColumn("whole", F.when(F.col("source_size") > 0, F.expr("words div source_size")).otherwise(F.lit(0)).cast("long"))
         .withColumn("rest", F.col("words") - F.col("whole") * F.col("source_size"))
         .select("source", "source_size", "target", "whole", "rest")
@@ -150,14 +156,18 @@ f AS (
   SELECT any_value(total) - coalesce(sum(3 * source_size) FILTER (clamped), 0) AS num,
          sum(w) FILTER (NOT clamped) AS den FROM c),
 t AS (
-  SELECT source, source_size,
-         least(CAST(w * (num // gcd(CAST(num AS BIGINT), CAST(den AS BIGINT))) AS DOUBLE) / (den // gcd(CAST(num AS BIGINT), CAST(den AS BIGINT))), CAST(3 * source_size AS DOUBLE)) AS target
+  SELECT source, source_size, total,
+         least(CAST(w * (num // gcd(CAST(num AS BIGINT), CAST(den AS BIGINT))) AS DOUBLE) / (den // gcd(CAST(num AS BIGINT), CAST(den AS BIGINT))), CAST(3 * source_size AS DOUBLE)) AS target,
+         CASE WHEN w * num >= 3 * source_size * den THEN 3 * source_size ELSE CAST((w * num) // den AS BIGINT) END AS low,
+         CASE WHEN w * num >= 3 * source_size * den THEN 0 ELSE CAST((w * num) % den AS BIGINT) END AS over
   FROM c, f),
+n AS (
+  SELECT *, low + CASE WHEN row_number() OVER (ORDER BY over DESC, source NULLS LAST) <= total - sum(low) OVER () THEN 1 ELSE 0 END AS goal FROM t),
 g AS (
-  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target + 0.5) AS BIGINT) // source_size ELSE 0 END AS whole FROM t),
+  SELECT *, CAST(CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END AS BIGINT) AS whole FROM n),
 r AS (
   SELECT d.doc_id, d.size, g.source_size, g.target, g.whole,
-         CAST(floor(target + 0.5) AS BIGINT) - whole * source_size AS rest,
+         CAST(goal AS BIGINT) - whole * source_size AS rest,
          coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY u, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,

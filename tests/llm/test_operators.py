@@ -267,7 +267,7 @@ def test_mixing_sums(spark, sf_dir):
     docs = common.documents(spark, sf_dir)
     out = mixing.op9_mix(spark, sf_dir)
     for r in out.join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("x"), F.max(F.col("taken") - 3 * F.col("size")).alias("over")).collect():
-        assert abs(r.t - r.x) <= 0.5 and r.over <= 0
+        assert abs(r.t - r.x) < 1 and r.over <= 0
     odd = mixing.mix(up(spark, ODD, True), ["doc_id", "size"]).collect()
     assert len(odd) == len(ODD) and sum(r.taken for r in odd) == sum(r["size"] for r in odd)
     repeated = mixing.repeat(up(spark, ODD, True))
