@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 _U = np.uint64
-#: A random odd base and a random value for each byte: prefix sums of value * base**position give any word's hash.
-_BASE = 0x9E3779B97F4A7C15
-_BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
-_GAP = np.zeros(256, bool)
-_GAP[[0x20, *range(0x09, 0x0E)]] = True
-#: Texts are hashed in groups of about so many bytes; a longer text is a group of its own.
-GROUP_BYTES = 4 << 20
-_powers: dict[int, np.ndarray] = {}
+#: A text is hashed in parts of about so many bytes, so arrays stay small beside it however long it is.
+PART = 1 << 18
+#: Word hashes that a worker remembers; they are then forgotten all at once.
+REMEMBERED = 1 << 18
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,30 +24,41 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        steps = np.full(1 << max(n, 2).bit_length(), base, np.uint64)
-        steps[0] = 1
-        _powers[base] = have = np.multiply.accumulate(steps)
-    return have[:n]
+def code(data: bytes) -> int:
+    """64 bits of a cryptographic hash: no two byte strings that anyone can write down share them by their form."""
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, text numbers, start and end bytes (in the joined texts) of the words of lower-cased ``texts``."""
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    gap = _GAP[data]
-    edge = np.diff(np.concatenate([[True], gap]).view(np.int8))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _power(_BASE, len(data)), out=sums[1:])
-    inverse = pow(_BASE, -1, 1 << 64)
-    value = (sums[end] - sums[start]) * _power(inverse, len(data))[start]
-    first = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    return mix(value ^ mix((end - start).astype(np.uint64))), np.searchsorted(first, start, "right") - 1, start, end
+class Codes(dict):
+    """The code of each word, computed once while it is remembered."""
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = self[word] = code(word)
+        return found
 
-def grouped(texts: Iterable[bytes], limit: int = GROUP_BYTES) -> Iterator[list[bytes]]:
+
+def parts(text: bytes, size: int = PART) -> Iterator[bytes]:
+    """``text`` cut at gaps between words into parts of about ``size`` bytes."""
+    at = 0
+    while len(text) - at > size:
+        gap = _GAP.search(text, at + size)
+        if gap is None:
+            break
+        yield text[at : gap.start()]
+        at = gap.end()
+    yield text[at:] if at else text
+
+
+def word_codes(text: bytes, codes: Codes) -> np.ndarray:
+    """The codes of the words of a text."""
+    found = [np.array([codes[w] for w in part.split()], np.uint64) for part in parts(text)]
+    return found[0] if len(found) == 1 else np.concatenate(found)
+
+
+def grouped(texts: Iterable[bytes], limit: int = PART) -> Iterator[list[bytes]]:
+    """The texts in groups of about ``limit`` bytes; a longer text is a group of its own."""
     group, held = [], 0
     for t in texts:
         if group and held + len(t) > limit:
@@ -63,23 +73,17 @@ def grouped(texts: Iterable[bytes], limit: int = GROUP_BYTES) -> Iterator[list[b
 def shingle_sets(texts: Iterable[bytes], width: int) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes (signed) of its ``width``-word shingles, A-Z lower-cased.
 
-    Fewer words count as one shingle; no words: an empty set.
+    Fewer words count as one shingle; no words: an empty set. Words are coded
+    by 64 bits of BLAKE2b, and a shingle by its words' codes and their number.
     """
-    for group in grouped(t.lower() for t in texts):
-        word, text, _, _ = word_hashes(group)
-        counts = np.bincount(text, minlength=len(group))
-        ends = np.cumsum(counts)
-        full = np.zeros(max(len(word) - width + 1, 0), np.uint64)
-        for k in range(width if len(full) else 0):
+    codes = Codes()
+    for text in texts:
+        word = word_codes(text.lower(), codes)
+        n = min(len(word), width)
+        full = np.zeros(len(word) - n + 1 if n else 0, np.uint64)
+        for k in range(n):
             full = mix(full + word[k : k + len(full)] * _U(2 * k + 1))
-        for n, end in zip(counts.tolist(), ends.tolist(), strict=True):
-            if n >= width:
-                found = full[end - n : end - width + 1]
-            else:
-                found = np.zeros(min(n, 1), np.uint64)
-                for k in range(n):
-                    found = mix(found + word[end - n + k : end - n + k + 1] * _U(2 * k + 1))
-            yield np.unique(mix(found + _U(n if n < width else 0)).view(np.int64))
+        yield np.unique(mix(full + _U(n if n < width else 0)).view(np.int64))
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:
@@ -90,3 +94,10 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 def lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     offsets = np.cumsum([0, *map(len, arrays)])
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*arrays, np.empty(0, np.int64)]), kind))
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of ``rows`` rows: what a task makes of one is sent off before the next."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from navgraph.llm.common import broadcast_up_to, documents, materialize
 from navgraph.llm.components import components
-from navgraph.llm.hashing import as_bytes, lists, shingle_sets
+from navgraph.llm.hashing import as_bytes, lists, shingle_sets, slices
 
 #: Values that a sketch retains, and the most that the probabilities may be with which a pair right at the
 #: threshold shares fewer of them than inverted lists ask for, and than the estimate asks for.
@@ -44,7 +44,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, digest of the whole set, and sketch: its K smallest hashes."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n, digest, sketch = [], [], []
             for s in shingle_sets(as_bytes(batch["text"]), width):
                 n.append(len(s))
@@ -59,7 +59,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """node and the whole set of shingle hashes, for the documents in ``nodes``."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch["node"], lists(list(shingle_sets(as_bytes(batch["text"]), width)), pa.int64())], ["node", "set"])
 
     some = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(broadcast_up_to(nodes, MAX_BROADCAST_ROWS), "node", "left_semi")
@@ -181,7 +181,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     """
     signed = materialize(signatures(docs, width), "signatures")
     linked = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = linked.groupBy("digest").agg(F.min("doc_id").alias("node"))
+    # A table of its own, so that the join's sides are plain exchanges: adaptive execution then splits the rows of a digest that very many documents have.
+    classes = materialize(linked.groupBy("digest").agg(F.min("doc_id").alias("node")), "digests")
     tagged = materialize(linked.join(classes, "digest").select("doc_id", "n_shingles", "node", F.when(F.col("doc_id") == F.col("node"), F.col("sketch")).alias("sketch")), "classes")
     sketches = tagged.filter("sketch IS NOT NULL").select("node", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["node", "n"])
 
