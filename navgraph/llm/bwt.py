@@ -7,19 +7,24 @@ import numpy as np
 
 def suffix_order(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array and its inverse of non-negative symbols, by prefix doubling; every suffix must come to differ."""
-    n, width = len(symbols), 1
-    rank = symbols.astype(np.int64)
+    n, bits = len(symbols), int(symbols.max() + 1).bit_length()
+    width = max(1, 62 // bits)  # so many symbols make the first keys
+    rank = np.zeros(n, np.int64)
+    for k in range(width):
+        rank <<= bits
+        rank[: n - k] += symbols[k:] + 1
+    key = rank
     while True:
-        after = np.zeros(n, np.int64)
-        after[:-width] = rank[width:] + 1
-        key = rank * (int(after.max()) + 1) + after
         order = np.argsort(key)
         found = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(found[1:] != found[:-1])])
-        width *= 2
-        if rank[order[-1]] == n - 1 or width >= n:
+        new = np.cumsum(found[1:] != found[:-1])
+        rank = np.zeros(n, np.int64)
+        rank[order[1:]] = new
+        if not n > 1 or new[-1] == n - 1 or width >= n:
             return order, rank
+        key = rank * (n + 1)
+        key[:-width] += rank[width:] + 1
+        width *= 2
 
 
 def smallest_owner(pieces: list[bytes], owner: np.ndarray, length: int) -> list[np.ndarray]:
@@ -41,22 +46,28 @@ def smallest_owner(pieces: list[bytes], owner: np.ndarray, length: int) -> list[
     text[ends] = np.arange(count)
     order, rank = suffix_order(text)
     before = order - 1  # -1: the last separator, as in a cycle
-    last = rank[before]
-    by_symbol = np.argsort(text[before], kind="stable")
-    symbol = text[before][by_symbol]
-    earlier = np.full(n, -1, np.int64)
+    last = rank[before].astype(np.int32)
+    symbols = text[before].astype(np.int32)
+    by_symbol = np.argsort(symbols, kind="stable")
+    symbol = symbols[by_symbol]
+    earlier = np.full(n, -1, np.int32)
     same = symbol[1:] == symbol[:-1]
     earlier[by_symbol[1:][same]] = by_symbol[:-1][same]
 
+    starting = np.zeros(n, np.int32)  # a left bound's own position, else 0
+    left = np.empty(n, np.int32)
+    waiting, since, goes = np.arange(n, dtype=np.int32), earlier, last
     bound = np.zeros(n, bool)
     bound[0] = True
-    index, left = np.arange(n), np.zeros(n, np.int64)
-    waiting = index
     for _ in range(length):
-        np.maximum.accumulate(np.where(bound, index, 0), out=left)
-        starts = earlier[waiting] < left[waiting]
-        bound[last[waiting[starts]]] = True
-        waiting = waiting[~starts]
+        np.maximum.accumulate(starting, out=left)
+        starts = since < left[waiting]
+        if starts.any():
+            found = goes[starts]
+            bound[found] = True
+            starting[found] = found
+            stay = ~starts
+            waiting, since, goes = waiting[stay], since[stay], goes[stay]
 
     whose = np.repeat(np.arange(count), lengths + 1)
     valid = np.arange(n) + length <= ends[whose]

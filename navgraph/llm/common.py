@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from navgraph.session import broadcast_up_to, materialize, shared_dir
+from navgraph.session import broadcast_up_to, discard, materialize, release, shared_dir
 
-__all__ = ["broadcast_up_to", "documents", "lower_az", "materialize", "row_numbers", "shared_dir", "text_of", "words", "words_of"]
+__all__ = ["broadcast_up_to", "discard", "documents", "lower_az", "materialize", "release", "row_numbers", "shared_dir", "text_of", "words", "words_of"]
 
 #: Between words: the blank and the ASCII control characters tab to carriage return.
 GAP = r"[\x20\x09-\x0D]+"
