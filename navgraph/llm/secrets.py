@@ -25,12 +25,16 @@ class Kind:
 
 KINDS = (
     Kind("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
-    Kind("access", "AKIA[A-Z0-9]+", 0, 16),
-    Kind("hex", "[0-9a-f]+", 0, 32),
+    # A match of these two is as long as it can be, so asking for the least length drops the same ones.
+    Kind("access", "AKIA[A-Z0-9]{12,}", 0, 16),
+    Kind("hex", "[0-9a-f]{32,}", 0, 32),
 )
 #: What a text must have for a kind to be searched in it: the pattern itself, with the least length where that is the same.
 HINTS = {"assign": r"(?i:password|passwd|secret|token|api_?key)", "access": "AKIA[A-Z0-9]{12}", "hex": "[0-9a-f]{32}"}
 
+#: Matches whose lengths are summed together when they are placed.
+BLOCK = 256
+
 #: Entropy: candidate strings, the window in characters, and for each character class the bits from which a window is a secret.
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
@@ -60,16 +64,26 @@ def spans(text: Column, kind: Kind) -> Column:
     """
 
     def placed(m: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(m["gaps"], i))
-            end = start + F.length(F.get(m["full"], i))
-            span = F.struct(start.alias("start"), end.alias("end"), F.get(m["tested"], i).alias("string"))
-            return F.struct(end.alias("at"), F.concat(acc["found"], F.array(span)).alias("found"))
-
-        none = F.expr("CAST(array() AS array<struct<start:int,end:int,string:string>>)")
-        start = F.struct(F.lit(0).alias("at"), none.alias("found"))
+        # Lengths of a gap and the match after it are summed by blocks, then within the match's block: near linear in the matches.
         index = F.when(F.size(m["full"]) > 0, F.sequence(F.lit(0), F.size(m["full"]) - 1)).otherwise(F.expr("CAST(array() AS array<int>)"))
-        return F.aggregate(index, start, step)["found"]
+        lengths = F.transform(index, lambda i: F.length(F.get(m["gaps"], i)) + F.length(F.get(m["full"], i)))
+        total = lambda part: F.aggregate(part, F.lit(0), lambda n, x: n + x)
+        block = lambda values, k: F.slice(values, k * BLOCK + 1, BLOCK)
+
+        def based(values: Column) -> Column:
+            blocks = F.sequence(F.lit(0), F.floor(F.size(values) / BLOCK).cast("int"))
+            before = F.aggregate(blocks, F.array(F.lit(0)), lambda sums, k: F.concat(sums, F.array(F.element_at(sums, -1) + total(block(values, k)))))
+            return F.struct(values.alias("lengths"), before.alias("before"))
+
+        def positions(b: Column) -> Column:
+            def span(i: Column) -> Column:
+                k = F.floor(i / BLOCK).cast("int")
+                end = F.get(b["before"], k) + total(F.slice(b["lengths"], k * BLOCK + 1, i - k * BLOCK + 1))
+                return F.struct((end - F.length(F.get(m["full"], i))).alias("start"), end.alias("end"), F.get(m["tested"], i).alias("string"))
+
+            return F.transform(index, span)
+
+        return let(let(lengths, based), positions)
 
     pattern = F.lit(kind.pattern)
     parts = F.struct(

@@ -307,3 +307,13 @@ def test_pipeline(spark, sf_dir):
     assert {r.doc_id for r in corpus_pipeline.drop_leaks(spark, second, sf_dir).collect()} == clean
     out = corpus_pipeline.run(spark, sf_dir)
     assert {"doc_id", "text", "shard", "slot"} <= set(out.columns) and {r.doc_id for r in out.select("doc_id").collect()} <= clean
+
+
+def test_secrets_of_very_long_texts(spark):
+    prose = "the fade of a decade, " * 100_000
+    texts = ["", prose + "0123456789abcdef" * 2, "".join(f"token=secret{i:04d}; " for i in range(3000))]
+    docs = up(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)])
+    got = {r.doc_id: r.s for r in secrets.scan(docs, ["doc_id"]).select("doc.doc_id", secrets.listed(F.col("spans")).alias("s")).collect()}
+    assert got[0] == "" and got[1] == f"hex:{len(prose)}:{len(prose) + 32}"
+    assert got[2] == ",".join(f"assign:{18 * i}:{18 * i + 16}" for i in range(3000))
+    assert secrets.scan(docs.limit(0), ["doc_id"]).count() == 0
