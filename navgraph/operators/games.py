@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from navgraph.functions.titles import task_id
 
 # Errors after which a turn may be tried again, and how often.
-RETRY_ERRORS = ("model_no_tool_call", "model_invalid_tool", "model_invalid_arguments", "model_invalid_link", "app_navigation_error")
+RETRY_ERRORS = ("model_no_tool_call", "model_invalid_tool", "model_invalid_link", "app_navigation_error")
 MAX_ATTEMPTS = 2
 #: Statuses of finished games.
 FINISHED = ("won", "lost_max_steps", "lost_invalid_move", "error")

@@ -11,6 +11,10 @@ from navgraph.functions.titles import fold, usable
 ICONS = {"anthropic": "claude", "google": "gemini", "mistralai": "mistral", "meta-llama": "meta", "moonshotai": "moonshot", "amazon": "nova", "x-ai": "grok"}
 
 
+#: Fixed value: articles where their number isn't known.
+FALLBACK_ARTICLES = 7_000_000
+
+
 def seeded(seed: int, key: Column) -> Column:
     """An order that seed and key decide, the same in every engine."""
     return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))
@@ -35,6 +39,21 @@ def random_task(pages: DataFrame, degrees: DataFrame, seed: int, n: int = 20, mi
     return other.groupBy("start_page_title").agg(F.min_by("title", order).alias("target_page_title"))
 
 
+def custom_task(pages: DataFrame, degrees: DataFrame, seed: int, start: str | None = None, target: str | None = None, n: int = 20) -> DataFrame:
+    """start_page_title, target_page_title of one task, or no row: a given page must exist and have links, an absent one is filled from the candidates."""
+    known = pages.select("page_id", "title").join(degrees, "page_id", "left")
+    fit = candidates(pages, n, seed).filter(usable(F.col("title"))).join(degrees, "page_id", "left")
+    out, into = F.coalesce("outgoing_count", F.lit(0)) > 0, F.coalesce("incoming_count", F.lit(0)) > 0
+    order = F.struct("pos", "page_id")
+    first = known.filter((F.col("title") == start) & out).agg(F.min("title").alias("s")) if start else fit.filter(out & (F.col("title") != F.lit(target or ""))).agg(F.min_by("title", order).alias("s"))
+    first = F.broadcast(first)
+    if target:
+        pairs = known.filter((F.col("title") == target) & into).agg(F.min("title").alias("t")).join(first, F.col("s") != F.col("t"))
+        return pairs.select(F.col("s").alias("start_page_title"), F.col("t").alias("target_page_title"))
+    other = fit.filter(into).join(first, F.col("title") != F.col("s"))
+    return other.groupBy(F.col("s").alias("start_page_title")).agg(F.min_by("title", order).alias("target_page_title"))
+
+
 def check_pairs(pairs: DataFrame, pages: DataFrame, degrees: DataFrame, min_out: int = 1, min_in: int = 1) -> DataFrame:
     """The pairs (start, target) with ``verdict``: same_page, no_start, no_target, no_outgoing, no_incoming or ok."""
     known = pages.select("page_id", F.col("title").alias("t")).join(degrees, "page_id", "left")
@@ -84,6 +103,7 @@ def timing_profile(rows: DataFrame, value: str, *by: str) -> DataFrame:
 
 
 def task_space(pages: DataFrame) -> DataFrame:
-    """articles, tasks (ordered pairs) and tasks as text."""
+    """articles (a fixed number where there are none), tasks (ordered pairs) and tasks as text."""
     n = pages.filter((F.col("namespace") == 0) & ~F.col("is_redirect")).agg(F.count("*").alias("articles"))
+    n = n.select(F.when(F.col("articles") > 0, F.col("articles")).otherwise(F.lit(FALLBACK_ARTICLES)).cast("long").alias("articles"))
     return n.select("articles", (F.col("articles") * F.col("articles")).alias("tasks"), F.format_number(F.col("articles") * F.col("articles"), 0).alias("shown"))

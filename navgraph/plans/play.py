@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from navgraph.functions import costs
-from navgraph.functions.titles import run_id, usable
+from navgraph.functions.titles import EXCLUDED_PREFIXES, run_id, usable
 from navgraph.operators import games as G
 from navgraph.operators import race as R
 from navgraph.operators import ratings as B
@@ -147,8 +149,8 @@ def results_json_roundtrip(spark, sf_dir):
     games = V.games(spark, sf_dir).filter("steps > 0").withColumn("bad", F.substring("game_id", 2, 20).cast("long") % 97 == 5)
     config = F.struct("start_page_title", "target_page_title", "max_steps")
     stored = games.select("game_id", F.when(~F.col("bad"), F.col("model_id")).alias("model_id"), config.alias("config"), "status", F.col("steps").cast("int").alias("steps"))
-    path = f"{shared_dir(spark)}/navgraph/games-{id(stored)}-{spark.sparkContext.startTime}"
-    stored.write.mode("overwrite").json(path)
+    path = f"{shared_dir(spark)}/navgraph/games-{uuid.uuid4().hex}"
+    D.append_games(stored, path)
     spark.sql("SELECT '{\"game_id\": broken' AS value").write.mode("append").text(path)
     good, _ = D.read_games(spark, path)
     return good.select("game_id", "model_id", F.col("config.start_page_title").alias("start_page_title"), "status", "steps")
@@ -382,7 +384,7 @@ def connection_rollup(spark, sf_dir):
 _ODD_TITLES = ["Item_1", "", "   ", "Category:Birds", "category:Birds", "Draft:New", "User talk:Someone", "Tag:x", "Portal", None]
 
 
-@query("SELECT title, coalesce(trim(title) <> '' AND NOT (" + " OR ".join(f"starts_with(title, '{p}')" for p in ("Tag:", "Category:", "File:", "Template:", "Help:", "Wikipedia:", "User:", "User talk:", "Template talk:", "Category talk:", "Portal:", "Project:", "MediaWiki:", "Module:", "Draft:"))
+@query("SELECT title, coalesce(trim(title) <> '' AND NOT (" + " OR ".join(f"starts_with(title, '{p}')" for p in EXCLUDED_PREFIXES)
        + "), false) AS usable FROM (SELECT unnest([" + ", ".join("NULL" if t is None else f"'{t}'" for t in _ODD_TITLES) + "]) AS title)")
 def valid_titles(spark, sf_dir):
     return rows(spark, [(t,) for t in _ODD_TITLES], "title string").select("title", usable(F.col("title")).alias("usable"))

@@ -88,6 +88,20 @@ def append_games(games: DataFrame, path: str) -> None:
     games.write.mode("append").json(path)
 
 
+def write_summary(games: DataFrame, path: str) -> None:
+    """A line of CSV under a header for each stored game: ids, times, result, task, path and what calls took."""
+    reached = F.filter("moves", lambda m: m["to_page_title"].isNotNull())
+    path_taken = F.array_join(F.concat(F.array("config.start_page_title"), F.coalesce(F.transform(reached, lambda m: m["to_page_title"]), F.array().cast("array<string>"))), " -> ")
+    errors = F.array_join(F.array_distinct(F.filter(F.transform("moves", lambda m: m["error"]["type"]), lambda e: e.isNotNull())), ",")
+    calls = ["total_input_tokens", "total_output_tokens", "total_tokens", "total_estimated_cost_usd", "total_api_time_ms", "average_response_time_ms", "api_call_count"]
+    rows = games.select(
+        "game_id", "start_timestamp", "end_timestamp", "status", "steps", "model_id", F.col("config.start_page_title").alias("start_page"), F.col("config.target_page_title").alias("target_page"),
+        F.col("config.max_steps").alias("max_steps"), F.coalesce(F.size(reached), F.lit(0)).alias("successful_moves"), (F.col("status") == "won").alias("target_reached"), F.coalesce("error_message", F.lit("")).alias("error_message"),
+        errors.alias("error_types"), path_taken.alias("path_taken"), *calls,
+    )
+    rows.write.mode("append").option("header", True).csv(path)
+
+
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     """Models of a JSON catalogue ({"data": [..]}): id, name, created and prices for a token; of rows with one id the last counts."""
     schema = "data array<struct<id:string,name:string,created:bigint,pricing:struct<prompt:string,completion:string,request:string,input_cache_read:string,input_cache_write:string>>>"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -80,7 +81,7 @@ def drain(result: DataFrame, mode: str, keys: list[str], write: Callable[[DataFr
     run again replaces itself.
     """
     spark = result.sparkSession
-    base = f"{shared_dir(spark)}/navgraph/stream-{spark.sparkContext.startTime}-{id(result)}"
+    base = f"{shared_dir(spark)}/navgraph/stream-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/out/batch={number}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 import oracle
-from navgraph.plans import graph, live, play, registry  # noqa: F401
+from navgraph.plans import graph, live, play, registry, tasks  # noqa: F401
 
 _graphs: dict = {}
 
@@ -17,6 +17,7 @@ def one_graph(monkeypatch):
     once = lambda spark, sf_dir: _graphs.setdefault(sf_dir, None) or _graphs.update({sf_dir: build(spark, sf_dir)}) or _graphs[sf_dir]
     monkeypatch.setattr(graph, "graph", once)
     monkeypatch.setattr(play, "graph", once)
+    monkeypatch.setattr(tasks, "graph", once)
 
 
 @pytest.mark.parametrize("name", sorted(registry.SQL))
