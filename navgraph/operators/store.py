@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,17 +10,34 @@ from pyspark.sql import functions as F
 from navgraph.functions.titles import fold, readable, sanitize
 
 
-@dataclass
 class GraphStore:
-    """pages (page_id, namespace, title, is_redirect), resolved redirects (source_id, target_id) and edges (src_id, dst_id)."""
+    """pages (page_id, namespace, title, is_redirect; folded, where the title is kept in lower case too), resolved redirects (source_id, target_id) and edges (src_id, dst_id).
 
-    pages: DataFrame
-    redirects: DataFrame
-    edges: DataFrame
+    Edges may be given as functions, which are called when edges are first
+    needed; ``incoming`` has the same edges laid out by dst_id.
+    """
+
+    def __init__(self, pages: DataFrame, redirects: DataFrame, edges: DataFrame | Callable[[], DataFrame], incoming: DataFrame | Callable[[], DataFrame] | None = None) -> None:
+        self.pages, self.redirects, self._edges, self._incoming = pages, redirects, edges, incoming if incoming is not None else edges
+
+    @property
+    def edges(self) -> DataFrame:
+        if callable(self._edges):
+            self._edges = self._edges()
+        return self._edges
+
+    @property
+    def incoming(self) -> DataFrame:
+        if callable(self._incoming):
+            self._incoming = self._incoming()
+        return self._incoming
+
+    def _folded(self) -> Column:
+        return F.col("folded") if "folded" in self.pages.columns else fold(F.col("title"))
 
     def by_title(self, title: str, namespace: int = 0) -> DataFrame:
         """The rows of a title in any case; namespace -1 is any."""
-        found = self.pages.filter(fold(F.col("title")) == fold(sanitize(F.lit(title))))
+        found = self.pages.filter(self._folded() == fold(sanitize(F.lit(title)))).drop("folded")
         return found if namespace == -1 else found.filter(F.col("namespace") == namespace)
 
     def resolve(self, titles: DataFrame, namespace: int = 0) -> DataFrame:
@@ -33,7 +49,7 @@ class GraphStore:
         """
         wanted = sanitize(F.col("title"))
         pages = self.pages if namespace == -1 else self.pages.filter(F.col("namespace") == namespace)
-        pages = pages.select("page_id", F.col("title").alias("_title"), "is_redirect", fold(F.col("title")).alias("_fold"))
+        pages = pages.select("page_id", F.col("title").alias("_title"), "is_redirect", self._folded().alias("_fold"))
         pages = pages.join(self.redirects.withColumnRenamed("source_id", "page_id"), "page_id", "left")
         rank = F.when(~F.col("is_redirect") & (F.col("_title") == F.col("_wanted")), 0).when(~F.col("is_redirect"), 1).otherwise(2)
         found = titles.select("title", wanted.alias("_wanted")).distinct().join(pages, fold(F.col("_wanted")) == F.col("_fold"))
@@ -51,7 +67,7 @@ class GraphStore:
     def neighbours(self, ids: DataFrame, incoming: bool = False) -> DataFrame:
         """The given rows (with page_id) with ``links``, sorted; none: an empty array."""
         here, there = ("dst_id", "src_id") if incoming else ("src_id", "dst_id")
-        near = self.edges.join(ids.select(F.col("page_id").alias(here)), here, "left_semi")
+        near = (self.incoming if incoming else self.edges).join(ids.select(F.col("page_id").alias(here)), here, "left_semi")
         lists = near.groupBy(F.col(here).alias("page_id")).agg(F.sort_array(F.collect_list(there)).alias("links"))
         return ids.join(lists, "page_id", "left").withColumn("links", F.coalesce("links", F.expr("CAST(array() AS array<bigint>)")))
 
@@ -62,7 +78,7 @@ class GraphStore:
     def link_sum(self, ids: DataFrame, incoming: bool = False) -> DataFrame:
         """total_links of the distinct given page_ids; none: 0."""
         here = "dst_id" if incoming else "src_id"
-        near = self.edges.join(ids.select(F.col("page_id").alias(here)), here, "left_semi")
+        near = (self.incoming if incoming else self.edges).join(ids.select(F.col("page_id").alias(here)), here, "left_semi")
         return near.agg(F.count("*").alias("total_links"))
 
 

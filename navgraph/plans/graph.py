@@ -13,7 +13,7 @@ from navgraph.operators.store import GraphStore, null_profile
 from navgraph.operators.store import seeded_sample as sample
 from navgraph.operators.tasks import coverage
 from navgraph.plans.registry import query
-from navgraph.session import materialize
+from navgraph.session import fingerprint, stored
 from navgraph.sources import dumps as D
 from navgraph.sources import views as V
 
@@ -50,11 +50,21 @@ def levels_sql(name: str, starts: str, backward: bool = False, depth: int = 7) -
 
 
 def graph(spark: SparkSession, sf_dir: str) -> GraphStore:
-    """The store of a folder's tables: pruned pages, resolved redirects and edges, all written once."""
+    """The store of a folder's tables: pruned pages, resolved redirects and edges, built when first read.
+
+    Each table is kept in the shared folder under a fingerprint of its source
+    files (names, sizes, times), so later queries reuse it while the sources
+    are the same, and a changed source is built anew. Lookups of titles never
+    build edges.
+    """
     pages = V.pages(spark, sf_dir)
-    resolved = materialize(L.resolve_redirects(L.redirect_ids(V.redirects_raw(spark, sf_dir), pages)), "resolved")
-    found = L.resolved_edges(V.links_raw(spark, sf_dir), V.linktargets(spark, sf_dir), pages, resolved)
-    return GraphStore(materialize(L.pruned_pages(pages, resolved), "pages"), resolved, materialize(found, "edges"))
+    at = fingerprint(spark, [f"{sf_dir}/{t}.parquet" for t in ("part", "lineitem")])
+    redirects = stored(spark, f"graph-{at}/resolved", lambda: L.resolve_redirects(L.redirect_ids(V.redirects_raw(spark, sf_dir), pages)))
+    titles = stored(spark, f"graph-{at}/pages", lambda: L.pruned_pages(pages, redirects).withColumn("folded", fold(F.col("title"))).repartitionByRange("folded").sortWithinPartitions("folded"))
+    found = lambda: L.resolved_edges(V.links_raw(spark, sf_dir), V.linktargets(spark, sf_dir), pages, redirects)
+    edges = lambda: stored(spark, f"graph-{at}/edges", lambda: found().repartitionByRange("src_id").sortWithinPartitions("src_id"))
+    incoming = lambda: stored(spark, f"graph-{at}/edges-in", lambda: edges().repartitionByRange("dst_id").sortWithinPartitions("dst_id"))
+    return GraphStore(titles, redirects, edges, incoming)
 
 
 def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:

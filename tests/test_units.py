@@ -148,3 +148,33 @@ def test_live_counts_lose_only_what_is_later_than_the_lateness(spark, tmp_path):
         os.utime(tmp_path / f"part-{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
     out = events.drain(events.count_by_type(events.once(events.event_stream(spark, str(tmp_path), files_per_trigger=1))), "complete", ["type"])
     assert [(r.type, r.n) for r in out.collect()] == [("move_completed", 5)]
+
+
+def test_stored_tables_are_reused_until_their_source_changes(spark, tmp_path):
+    from navgraph.session import fingerprint, stored
+
+    source, made = str(tmp_path / "source"), []
+
+    def build():
+        made.append(1)
+        return spark.read.parquet(source)
+
+    spark.range(5).write.parquet(source)
+    first = fingerprint(spark, [source])
+    name = f"test-{tmp_path.name}-{tmp_path.stat().st_ino}-{first}"
+    assert stored(spark, name, build).count() == 5 and stored(spark, name, build).count() == 5 and len(made) == 1
+    spark.range(3).write.mode("append").parquet(source)
+    second = fingerprint(spark, [source])
+    assert second != first and fingerprint(spark, [source]) == second
+    assert stored(spark, f"{name}-{second}", build).count() == 8 and len(made) == 2
+
+
+def test_strategies_and_prompts(spark):
+    from navgraph.operators import sessions as S
+
+    assert S.strategy_info("themed") is None and S.strategy_info("custom", target="B") | {"description": ""} == {"strategy": "custom", "language": "en", "description": "", "start_page": "random", "target_page": "B"}
+    row = spark.sql("SELECT array('A', 'B') AS links, CAST(NULL AS array<string>) AS no, map('x', 'y') AS given").select(
+        S.turn_prompt(F.lit("T"), F.col("links"), first=True).alias("p"), S.is_link(F.col("no"), F.lit("A")).alias("l"), S.missing_arguments(["x", "z"], F.col("given")).alias("m"), S.link_page(F.lit("T"), F.array().cast("array<string>")).alias("e")
+    ).first()
+    assert row.p == "You are currently on the page 'T'.\nHere are the available links:\n['A', 'B']"
+    assert row.l is False and row.m == ["z"] and row.e == "Current Page: T\nNo links found on this page."
