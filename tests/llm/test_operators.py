@@ -203,9 +203,13 @@ def test_toxicity(spark):
     labels += [(0, 1, None), (None, 1, 1)]
     label = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     model = toxicity.fit(up(spark, rows), label, ~toxicity.held_out(F.col("doc_id")))
-    out = toxicity.scored(up(spark, [*rows, *ODD], True), model, ["doc_id", "text"]).collect()
-    held = [r for r in out[:500] if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
-    assert np.mean([(r.score >= 0.3) == (r.doc_id % 5 == 0) for r in held]) > 0.95
+    named = up(spark, [*rows, *ODD], True).withColumn("score", F.lit("clash"))
+    out = toxicity.scored(named, model, ["doc_id", "text", "score"]).collect()
+    held = [r for r in out[:500] if zlib.crc32(str(r.doc.doc_id).encode()) % 4 == 2]
+    assert np.mean([(r.score >= 0.3) == (r.doc.doc_id % 5 == 0) for r in held]) > 0.95
+    turned = label.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    again = toxicity.fit(up(spark, rows), turned, ~toxicity.held_out(F.col("doc_id")))
+    assert again.pair == model.pair and np.array_equal(again.weights, model.weights)
     assert len(out) == 500 + len(ODD) and all(0 <= r.score <= 1 for r in out)
     none = toxicity.fit(up(spark, []), label.limit(0), F.lit(True))
     assert toxicity.scored(up(spark, ODD), none, ["doc_id"]).filter("score <> 0").isEmpty()
@@ -317,3 +321,47 @@ def test_secrets_of_very_long_texts(spark):
     assert got[0] == "" and got[1] == f"hex:{len(prose)}:{len(prose) + 32}"
     assert got[2] == ",".join(f"assign:{18 * i}:{18 * i + 16}" for i in range(3000))
     assert secrets.scan(docs.limit(0), ["doc_id"]).count() == 0
+
+
+def test_token_counts_by_document(spark, sf_dir, tmp_path):
+    encode = token_counts.encoding(token_counts.VOCABULARY).encode_ordinary
+    got = {r.doc_id: r.n_tokens for r in token_counts.op7_token_counts(spark, sf_dir).collect()}
+    assert got == {i: len(encode(t or "")) for i, t in texts(spark, sf_dir)}
+    up(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    assert token_counts.op7_token_counts(spark, str(tmp_path)).count() == 0
+
+
+def tree_brute(rows, leaves, spread=None, first=0):
+    """Shards of rows (dims, u, size) by the same cuts, found by sorting."""
+    if leaves == 1 or not rows:
+        return {id(r): first for r in rows}
+    dims = range(len(rows[0][0]))
+    width = [max(r[0][d] for r in rows) - min(r[0][d] for r in rows) for d in dims]
+    spread = spread or [max(1, w) for w in width]
+    d = max(dims, key=lambda k: (width[k] / spread[k], -k))
+    left, want, ordered = leaves // 2, sum(r[2] for r in rows) * (leaves // 2) / leaves, sorted(rows, key=lambda r: (r[0][d], r[1]))
+    units, at = [], 0
+    for r in ordered:  # rows that agree in dimension and hash stay together
+        if units and (units[-1][0][0][d], units[-1][0][1]) == (r[0][d], r[1]):
+            units[-1].append(r)
+        else:
+            units.append([r])
+    before, k = 0, 0
+    while k < len(units) - 1 and before + sum(r[2] for r in units[k]) < want:
+        before += sum(r[2] for r in units[k])
+        k += 1
+    k += want - before > sum(r[2] for r in units[k]) / 2
+    low, high = [r for u in units[:k] for r in u], [r for u in units[k:] for r in u]
+    return tree_brute(low, left, spread, first) | tree_brute(high, leaves - left, spread, first + left)
+
+
+def test_sharding_against_a_sorted_tree(spark, sf_dir):
+    columns = sharding.dimensions()
+    docs = common.documents(spark, sf_dir)
+    slim = docs.select("doc_id", "text", *[c.alias(f"_{k}") for k, c in columns.items()]).collect()
+    rows = [([r[f"_{d}"] for d in sharding.DIMENSIONS], r["_u"], r["_size"]) for r in slim]
+    want = tree_brute(rows, 24)
+    got = {r.doc_id: r for r in sharding.op10_shard(spark, sf_dir).collect()}
+    for r, row in zip(slim, rows):
+        text = (r.text or "").encode()
+        assert (got[r.doc_id]["size"], got[r.doc_id].text_crc32, got[r.doc_id].shard) == (len(text) + 8, zlib.crc32(text), want[id(row)])
