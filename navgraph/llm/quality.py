@@ -90,8 +90,10 @@ RULES = (
 )
 
 
-#: The part of good documents on which a rule may vote bad.
-MAX_FALSE = 0.02
+#: What is believed before any document is seen: the part of good ones, how often a vote is right on good and on bad ones; and
+#: the weight of these beliefs, as so many votes (documents) and as a part of those that there are.
+PRIOR, RIGHT, CAUGHT = 0.85, 0.97, 0.3
+PRIOR_COUNT, PRIOR_PART = 10.0, 0.2
 
 
 @dataclass
@@ -120,16 +122,15 @@ def fit(votes: DataFrame, rules: Sequence[Rule], rounds: int = 60, tolerance: fl
     the number of rules at most), and each round is one aggregate over patterns,
     of which only the parameters reach the driver.
 
-    Accuracies carry a few prior counts and are kept so that a rule's vote never
-    speaks for the other class, and the prior of good is 0.5 at least. So a
-    document on which no rule votes bad is always kept. A rule is taken to be
-    wrong on ``MAX_FALSE`` of the good documents at most: without that, the most
-    alike kind of bad documents draws the bad class to itself and the other
-    kinds pass for good ones.
+    All parameters are those of the most likely mixture given priors (PRIOR,
+    RIGHT, CAUGHT) that weigh PRIOR_PART of the data and PRIOR_COUNT votes: they
+    move with what the rules say of each other, and are bounded by nothing else.
+    The priors tell which of the two classes is the good one. No rows: the priors.
     """
     names = [r.name for r in rules]
     patterns = materialize(votes.groupBy(*names).count(), "vote-patterns")
-    model = Model(0.8, [1 - MAX_FALSE] * len(rules), [0.3] * len(rules))
+    model = Model(PRIOR, [RIGHT] * len(rules), [CAUGHT] * len(rules))
+    believed = lambda hits, n, mean: (hits + (PRIOR_PART * n + PRIOR_COUNT) * mean) / (n + PRIOR_PART * n + PRIOR_COUNT)
     for _ in range(rounds):
         weighed = patterns.withColumn("p", model.posterior(rules))
         good, bad = F.col("count") * F.col("p"), F.col("count") * (1 - F.col("p"))
@@ -137,13 +138,11 @@ def fit(votes: DataFrame, rules: Sequence[Rule], rounds: int = 60, tolerance: fl
         for n in names:
             sums += [F.sum(F.when(F.col(n) == v, y)) for y, v in ((good, 1), (good, 0), (bad, 0), (bad, 1))]
         s = [float(x or 0) for x in weighed.agg(*[c.alias(f"s{i}") for i, c in enumerate(sums)]).first()]
-        following = Model(min(max((s[0] + 8) / (s[1] + 10), 0.5), 0.999), [], [])
+        following = Model(believed(s[0], s[1], PRIOR), [], [])
         for j in range(len(names)):
             right, wrong, caught, missed = s[2 + 4 * j : 6 + 4 * j]
-            a = min(max((right + 19) / (right + wrong + 20), 1 - MAX_FALSE), 0.9999)
-            b = min(max((caught + 3) / (caught + missed + 10), 1 - a), 0.9999)
-            following.good.append(a)
-            following.bad.append(b)
+            following.good.append(believed(right, right + wrong, RIGHT))
+            following.bad.append(believed(caught, caught + missed, CAUGHT))
         moved = max(abs(x - y) for x, y in zip([model.prior, *model.good, *model.bad], [following.prior, *following.good, *following.bad], strict=True))
         model = following
         if moved < tolerance:

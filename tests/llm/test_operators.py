@@ -365,3 +365,35 @@ def test_sharding_against_a_sorted_tree(spark, sf_dir):
     for r, row in zip(slim, rows):
         text = (r.text or "").encode()
         assert (got[r.doc_id]["size"], got[r.doc_id].text_crc32, got[r.doc_id].shard) == (len(text) + 8, zlib.crc32(text), want[id(row)])
+
+
+def test_quality_by_expectation_maximisation(spark, sf_dir):
+    judged = quality.judge(common.documents(spark, sf_dir), ["doc_id"])
+    model = quality.fit(judged, quality.RULES)
+    rows = judged.collect()
+    v = np.array([[r[rule.name] for rule in quality.RULES] for r in rows])
+    share, a, b = quality.PRIOR, np.full(v.shape[1], quality.RIGHT), np.full(v.shape[1], quality.CAUGHT)
+
+    def posterior():
+        odds = math.log(share / (1 - share)) + (np.where(v == 1, np.log(a / (1 - b)), 0) + np.where(v == 0, np.log((1 - a) / b), 0)).sum(1)
+        return 1 / (1 + np.exp(-odds))
+
+    mean = lambda hits, n, m: (hits + (0.2 * n + 10) * m) / (n + 0.2 * n + 10)
+    for _ in range(60):
+        p = posterior()[:, None]
+        good, bad = [(p * (v == k)).sum(0) for k in (1, 0)], [((1 - p) * (v == k)).sum(0) for k in (0, 1)]
+        share, a, b = mean(p.sum(), len(v), quality.PRIOR), mean(good[0], good[0] + good[1], quality.RIGHT), mean(bad[0], bad[0] + bad[1], quality.CAUGHT)
+    assert abs(model.prior - share) < 1e-5 and np.abs(np.array(model.good) - a).max() < 1e-5 and np.abs(np.array(model.bad) - b).max() < 1e-5
+    want = posterior()
+    assert max(abs(r.quality - q) for r, q in zip(rows, want)) < 1e-4
+    assert all(r.kept == (not r.base_failed and q >= 0.5) for r, q in zip(rows, want))
+
+
+def test_quality_of_votes_that_abstain(spark):
+    rules = quality.RULES[:3]
+    votes = spark.createDataFrame([(1, 1, -1)] * 40 + [(0, 0, -1)] * 8 + [(0, 1, 1)] + [(-1, -1, -1)], ", ".join(f"{r.name} int" for r in rules))
+    model = quality.fit(votes, rules)
+    q = {tuple(r[:3]): r.q for r in votes.distinct().withColumn("q", model.posterior(rules)).collect()}
+    assert q[(1, 1, -1)] > 0.9 and q[(0, 0, -1)] < 0.1 and abs(q[(-1, -1, -1)] - model.prior) < 1e-9
+    none = quality.fit(votes.limit(0), rules)
+    assert (none.prior, none.good, none.bad) == (quality.PRIOR, [quality.RIGHT] * 3, [quality.CAUGHT] * 3)
