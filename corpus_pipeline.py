@@ -20,7 +20,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id (operator 2)."""
+    """One document of each group of near duplicates, the one with the smallest id (operator 2, with shingles of five words as for all stages; only the query's contract asks for four)."""
     return near_dedup.one_of_each(docs)
 
 
