@@ -9,6 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import tiktoken
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -72,10 +73,24 @@ def write_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 
 def read_flat(spark: SparkSession, path: str, block_bytes: int = 2 * BLOCK) -> DataFrame:
-    """(file, block, tokens) of flat binary files of two-byte identifiers, up to 2 GB each, at ``path``; file is the path."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
-    cuts = F.when(F.length("content") > 0, F.sequence(F.lit(0), F.expr(f"(length(content) - 1) div {block_bytes}"))).otherwise(F.expr("CAST(array() AS array<bigint>)"))
-    return files.select("file", F.explode(cuts).alias("block"), "content").select("file", F.col("block").cast("long").alias("block"), F.substring("content", (F.col("block") * block_bytes + 1).cast("int"), F.lit(block_bytes)).alias("tokens"))
+    """(file, block, tokens) of flat binary files of two-byte identifiers of any size at ``path``; file is the path.
+
+    Spark lists the files; their blocks are rows that are dealt to tasks, and
+    each task reads its byte ranges from the store that holds the files.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file"), F.col("length").alias("size"))
+    cuts = F.expr(f"sequence(0L, (size - 1) div {block_bytes})")
+    blocks = files.filter("size > 0").select("file", "size", F.explode(cuts).alias("block")).repartition("file", "block")
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, size, block in zip(*(batch[c].to_pylist() for c in ("file", "size", "block")), strict=True):
+                store, place = fs.FileSystem.from_uri(file)
+                with store.open_input_file(place) as f:
+                    tokens = f.read_at(min(block_bytes, size - block * block_bytes), block * block_bytes)
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block]), pa.array([tokens], pa.binary())], ["file", "block", "tokens"])
+
+    return blocks.mapInArrow(ranges, "file string, block long, tokens binary")
 
 
 def count_tokens(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:
@@ -105,9 +120,10 @@ def count_tokens(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["file"], batch["block"], *(pa.array(x, pa.int64()) for x in (ends, head, tail)), lengths], ["file", "block", "ends", "head", "tail", "inner"])
 
     found = materialize(blocks.select("file", "block", "tokens").mapInArrow(searched, f"file {kind.simpleString()}, block long, ends long, head long, tail long, inner array<long>"), "block-ends")
+    # The scan sees a few numbers of each block; lengths of inner documents stay where they are.
     order = Window.partitionBy("file").orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    placed = found.withColumn("first", F.coalesce(F.sum("ends").over(before), F.lit(0)))
+    placed = found.drop("inner").withColumn("first", F.coalesce(F.sum("ends").over(before), F.lit(0)))
     # Blocks between two that hold separators are one run: the tokens carried into a block are its run's tails so far.
     placed = placed.withColumn("run", F.coalesce(F.sum((F.col("ends") > 0).cast("long")).over(before), F.lit(0)))
     carried = Window.partitionBy("file", "run").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -117,8 +133,9 @@ def count_tokens(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:
     placed = placed.withColumn("start", last_tail).withColumn("carry", F.coalesce(F.sum(F.col("start") + opening).over(carried), F.lit(0)) + F.col("start"))
     newest = F.row_number().over(Window.partitionBy("file").orderBy(F.col("block").desc())) == 1
     placed = placed.withColumn("newest", newest)
-    lengths = F.when(F.col("ends") > 0, F.concat(F.array(F.col("carry") + F.col("head")), "inner")).otherwise(F.expr("CAST(array() AS array<bigint>)"))
-    ended = placed.select("file", "first", F.posexplode(lengths).alias("i", "n_tokens")).select("file", (F.col("first") + F.col("i")).alias("ordinal"), "n_tokens", F.lit(True).alias("ended"))
+    lengths = F.concat(F.array(F.col("carry") + F.col("head")), "inner")
+    inner = found.filter("ends > 0").select("file", "block", "inner")
+    ended = placed.filter("ends > 0").join(inner, ["file", "block"]).select("file", "first", F.posexplode(lengths).alias("i", "n_tokens")).select("file", (F.col("first") + F.col("i")).alias("ordinal"), "n_tokens", F.lit(True).alias("ended"))
     rest = F.when(F.col("ends") > 0, F.col("tail")).otherwise(F.col("carry") + F.col("tail"))
     open_end = placed.filter("newest").select("file", (F.col("first") + F.col("ends")).alias("ordinal"), rest.alias("n_tokens"), F.lit(False).alias("ended")).filter("n_tokens > 0")
     return ended.unionByName(open_end)
