@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from navgraph.llm import common, decontam, lm_scoring, mixing, near_dedup, quality, secrets, sharding, suffix_dedup, token_counts, toxicity
 from navgraph.llm.bwt import smallest_owner
 from navgraph.llm.components import components
+from navgraph.llm.pitman_yor import seat, ways
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"word{i % 700}x{i}" for i in range(3000))
@@ -182,6 +183,37 @@ def test_lm_scoring(spark, sf_dir):
     assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def partitions(n):
+    """All ways to seat n customers: sizes of tables."""
+    if n == 0:
+        return [()]
+    return [p for before in partitions(n - 1) for p in [(*before, 1), *((*before[:i], before[i] + 1, *before[i + 1 :]) for i in range(len(before)))]]
+
+
+def test_seats_against_all_seatings():
+    opening, discount, draws = 0.4, 0.75, 40_000
+    for n in (2, 3, 5, 7):
+        weight = Counter()
+        for p in partitions(n):
+            weight[len(p)] += opening ** len(p) * math.prod(k - discount for size in p for k in range(1, size))
+        for t, w in weight.items():
+            assert abs(math.exp(ways(discount)[n, t]) * opening**t - w) < 1e-4 * w
+        got = Counter(seat(np.full(draws, n), np.full(draws, opening), discount, np.random.default_rng(n)).tolist())
+        assert all(abs(got[t] / draws - w / sum(weight.values())) < 0.012 for t, w in weight.items())
+
+
+def test_seats_of_all_sizes():
+    rng, counts = np.random.default_rng(1), np.array([0, 1, 2, 4, 5, 16, 17, 64, 256, 1000, 1024, 1025, 5000, 100_000])
+    for opening in (1e-280, 1e-3, 1.0, 50.0):
+        t = seat(counts, np.full(len(counts), opening), 0.75, rng)
+        assert (t >= np.minimum(counts, 1)).all() and (t <= counts).all()
+    for discount in (0.1, 0.3, 0.5, 0.75):  # the approximation of large dishes goes on where the exact draw ends
+        for opening in (0.01, 1.0, 30.0, 300.0, 3000.0):
+            exact, near = (seat(np.full(2000, n), np.full(2000, opening), discount, rng) for n in (1024, 1025))
+            assert abs(exact.mean() - near.mean()) < 0.5 + 0.05 * exact.mean(), (discount, opening, exact.mean(), near.mean())
+            assert abs(exact.std() - near.std()) < 0.5 + 0.35 * exact.std(), (discount, opening, exact.std(), near.std())
+
+
 def test_lm_scoring_of_odd_rows(spark):
     out = lm_scoring.score_texts(up(spark, ODD, True), F.coalesce(F.col("doc_id") == 10, F.lit(False))).collect()
     assert len(out) == len(ODD) and {r.n_tokens for r in out if r.doc_id in (1, 2, 9)} == {1}
