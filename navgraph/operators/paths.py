@@ -77,11 +77,21 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_paths: int | None = N
     """query_id, length, path (array of nodes): all shortest paths of each query; the same node: one path of it alone.
 
     Paths are walked from the nodes in the middle, only along edges between
-    neighbouring levels. ``max_paths`` keeps the first paths of each query.
+    neighbouring levels. ``max_paths`` keeps so many paths of each query, after
+    each step: as every part of a path goes on to both ends, none is missed that
+    is needed to reach that number.
     """
+
+    def kept(paths: DataFrame) -> DataFrame:
+        if max_paths is None:
+            return paths
+        nth = F.row_number().over(Window.partitionBy("query_id").orderBy("path"))
+        return paths.withColumn("_n", nth).filter(F.col("_n") <= max_paths).drop("_n")
+
+
     fwd, bwd, done = meet(edges, pairs)
     middle = done.join(fwd.withColumnRenamed("level", "fl"), "query_id").filter("fl = a").join(bwd.withColumnRenamed("level", "bl"), ["query_id", "node"]).filter("bl = b")
-    paths = materialize(middle.select("query_id", "a", "b", F.array("node").alias("path")), "paths")
+    paths = materialize(kept(middle.select("query_id", "a", "b", F.array("node").alias("path"))), "paths")
     for reach, side, here, there in ((fwd, "a", "dst_id", "src_id"), (bwd, "b", "src_id", "dst_id")):
         steps = edges.select(F.col(here).alias("node"), F.col(there).alias("next"))
         while True:
@@ -93,11 +103,8 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_paths: int | None = N
             known = reach.select("query_id", F.col("node").alias("next"), "level")
             grown = open_.withColumn("node", end).join(steps, "node").withColumn("level", F.col(side) - 1).join(known, ["query_id", "next", "level"])
             grown = grown.select("query_id", *[(F.col(c) - 1).alias(c) if c == side else F.col(c) for c in ("a", "b")], longer.alias("path"))
-            paths = materialize(paths.filter(F.col(side) <= 0).unionByName(grown), "paths")
-    out = paths.select("query_id", (F.size("path") - 1).alias("length"), "path").distinct()
-    if max_paths is not None:
-        out = out.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("path"))).filter(F.col("_n") <= max_paths).drop("_n")
-    return out
+            paths = materialize(kept(paths.filter(F.col(side) <= 0).unionByName(grown)), "paths")
+    return paths.select("query_id", (F.size("path") - 1).alias("length"), "path").distinct()
 
 
 def titled(paths: DataFrame, pages: DataFrame) -> DataFrame:

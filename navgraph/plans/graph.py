@@ -226,12 +226,13 @@ def page_id_exact(spark, sf_dir):
 
 
 _ASKED = ["Item_10", "ITEM 10", "item_10", "item_1", "ITEM_21", "item_16", "ITEM_3", "No such page", "Item_6"]
-_RESOLVE = GRAPH + f""", asked AS (SELECT unnest({_ASKED}) AS title),
+_BY_TITLE = """
 matched AS (
   SELECT a.title AS asked, CASE WHEN NOT p.is_redirect AND p.title = replace(a.title, ' ', '_') THEN 0 WHEN NOT p.is_redirect THEN 1 ELSE 2 END AS rank, p.page_id, r.target_id
   FROM asked a JOIN pruned p ON lower(p.title) = lower(replace(a.title, ' ', '_')) AND p.namespace = 0 LEFT JOIN resolved r ON r.source_id = p.page_id),
-best AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY rank, page_id) AS n FROM matched)
-SELECT a.title, CASE WHEN b.rank < 2 THEN b.page_id ELSE b.target_id END AS page_id FROM asked a LEFT JOIN best b ON b.asked = a.title AND b.n = 1"""
+best AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY rank, page_id) AS n FROM matched),
+ids AS (SELECT a.title, CASE WHEN b.rank < 2 THEN b.page_id ELSE b.target_id END AS page_id FROM asked a LEFT JOIN best b ON b.asked = a.title AND b.n = 1)"""
+_RESOLVE = GRAPH + f", asked AS (SELECT unnest({_ASKED}) AS title)," + _BY_TITLE + " SELECT title, page_id FROM ids"
 
 
 @query(_RESOLVE)
@@ -356,7 +357,20 @@ def optimal_path_nodes(spark, sf_dir):
 _TASKS = [(1, "Item_3", "Item_40"), (2, "item 10", "Item_99"), (3, "Nowhere", "Item_1"), (4, "Item_1", "Nowhere"), (5, "Item_8", "Item_8")]
 
 
-@query()
+_SOLVED = GRAPH + ", tasks AS (SELECT * FROM (VALUES " + ", ".join(map(str, _TASKS)) + """) AS t(query_id, start, target)),
+asked AS (SELECT start AS title FROM tasks UNION SELECT target FROM tasks),""" + _BY_TITLE + """,
+pairs AS (SELECT t.query_id, s.page_id AS src_id, g.page_id AS dst_id FROM tasks t JOIN ids s ON s.title = t.start JOIN ids g ON g.title = t.target),
+""" + levels_sql("f", "SELECT query_id, src_id AS node FROM pairs WHERE src_id IS NOT NULL AND dst_id IS NOT NULL") + """,
+trail AS (
+  SELECT p.query_id, f.node, f.level, f.level AS length, g.title AS path FROM pairs p JOIN f ON f.query_id = p.query_id AND f.node = p.dst_id JOIN pruned g ON g.page_id = f.node
+  UNION ALL
+  SELECT t.query_id, e.src_id, t.level - 1, t.length, g.title || ' -> ' || t.path
+  FROM trail t JOIN edges e ON e.dst_id = t.node JOIN f ON f.query_id = t.query_id AND f.node = e.src_id AND f.level = t.level - 1 JOIN pruned g ON g.page_id = e.src_id)
+SELECT p.query_id, CASE WHEN p.src_id IS NULL THEN 'start_not_found' WHEN p.dst_id IS NULL THEN 'target_not_found' WHEN w.length IS NULL THEN 'no_path' ELSE 'ok' END AS status, w.length, w.path
+FROM pairs p LEFT JOIN (SELECT * FROM trail WHERE level = 0) w ON w.query_id = p.query_id"""
+
+
+@query(_SOLVED)
 def solved_tasks(spark, sf_dir):
     """Titles to all shortest paths as titles, with a status for each task."""
     store = graph(spark, sf_dir)

@@ -70,6 +70,8 @@ def test_paths_have_one_length(spark):
         got.setdefault(r.query_id, set()).add(tuple(r.path))
     assert got == {1: {(1, 2, 4, 5), (1, 3, 4, 5)}, 2: {(1,)}, 4: {(6, 1, 2)}}
     assert paths.shortest_paths(edges, pairs, max_paths=1).filter("query_id = 1").count() == 1
+    many = paths.shortest_paths(edges, pairs, max_paths=1).collect()
+    assert {(r.query_id, r.length, tuple(r.path) in got[r.query_id]) for r in many} == {(1, 3, True), (2, 0, True), (4, 2, True)} and len(many) == 3
     assert paths.levels(edges, spark.createDataFrame([(1, 1)], "query_id long, node long"), max_levels=1).count() == 3
 
 
