@@ -88,7 +88,6 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_paths: int | None = N
         nth = F.row_number().over(Window.partitionBy("query_id").orderBy("path"))
         return paths.withColumn("_n", nth).filter(F.col("_n") <= max_paths).drop("_n")
 
-
     fwd, bwd, done = meet(edges, pairs)
     middle = done.join(fwd.withColumnRenamed("level", "fl"), "query_id").filter("fl = a").join(bwd.withColumnRenamed("level", "bl"), ["query_id", "node"]).filter("bl = b")
     paths = materialize(kept(middle.select("query_id", "a", "b", F.array("node").alias("path"))), "paths")
