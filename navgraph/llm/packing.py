@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
+import struct
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -25,39 +26,60 @@ from navgraph.llm.common import broadcast_up_to, documents, materialize, text_of
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Tokens of a sequence, and the identifier that ends each document.
 SIZE, END = 2048, 1
-#: Pieces of texts whose identifiers a worker remembers, of so many characters at most; they are then forgotten all at once.
-REMEMBERED, LONGEST = 1 << 18, 64
+#: Words, and parts of words, whose identifiers a worker remembers, of so many characters at most; words are then forgotten all at once.
+REMEMBERED, PARTS_REMEMBERED, LONGEST = 1 << 19, 1 << 17, 64
 #: Rows of the table of ranks (task, length) up to which it is broadcast.
 MAX_BROADCAST_RANKS = 2_000_000
 
 
-class Pieces(dict):
-    """The identifiers of a stretch of text without blanks and newlines, which no token of this kind of vocabulary crosses."""
+# Fixed by the vocabulary: how a word is parted before merging, and how its bytes are written as characters. The class
+# of letters is that of Latin ones, which its normalizer only puts in lower case; words with others are left to it.
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e"
+PLAIN = re.compile(f"[!-~\u00a1\u00ab\u00bb\u00bf{LATIN}]+").fullmatch
+PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9]|[^0-9{LATIN}]+").findall
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+WRITTEN = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in SHOWN)}
+
+
+class Words(dict):
+    """The identifiers of words between blanks or newlines, as little-endian bytes, two each, or four where the vocabulary needs them, made when first asked for."""
 
     def __init__(self, vocabulary: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-
-    def __missing__(self, piece: str) -> list[int]:
-        found = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        if len(piece) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = found
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.merge = self.tokenizer.model.tokenize
+        self.part = lru_cache(PARTS_REMEMBERED)(self.merged)
+
+    def packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def merged(self, part: str) -> bytes:
+        return self.packed([t.id for t in self.merge(part if part.isascii() else part.encode().decode("latin-1").translate(WRITTEN))])
+
+    def __missing__(self, word: str) -> bytes:
+        if len(word) > LONGEST:
+            return self.packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        if PLAIN(word) and "<|" not in word:
+            found = b"".join(map(self.part, PARTS(word.lower())))
+        else:
+            found = self.packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = found
         return found
 
 
 @lru_cache(maxsize=1)
-def pieces_of(vocabulary: str) -> Pieces:
-    return Pieces(vocabulary)
+def words_of(vocabulary: str) -> Words:
+    return Words(vocabulary)
 
 
-def encode(text: str, pieces: Pieces, end: int = END) -> np.ndarray:
-    """The identifiers of a text and ``end``, stretch by stretch: the vocabulary drops white space and merges within words only, so this is what it makes of the whole text."""
-    ids = chain.from_iterable(map(pieces.__getitem__, text.replace("\n", " ").split(" ")))
-    return np.fromiter(chain(ids, (end,)), np.uint32)
+def encode(text: str, words: Words, end: int = END) -> bytes:
+    """The identifiers of a text and ``end``, word by word: the vocabulary drops white space and merges within words only, so this is what it makes of the whole text."""
+    return b"".join(map(words.__getitem__, text.replace("\n", " ").split(" "))) + words.packed([end])
 
 
 class Placed(NamedTuple):
@@ -139,16 +161,15 @@ def tokens_of(docs: DataFrame, keep: Sequence[str], vocabulary: str = VOCABULARY
     rows = docs.select(F.struct(*keep).alias("doc"), text_of().alias("text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, task = pieces_of(vocabulary), TaskContext.get().partitionId()
-        kind = "<u2" if pieces.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        words, task = words_of(vocabulary), TaskContext.get().partitionId()
+        width = len(words.packed([end]))
         seen = np.zeros(size + 1, np.int64)
         for b in byte_slices(batches, "text"):
             ids, total, full_at, rest_at = [], [], [], []
             for text in b["text"].to_pylist():
-                found = encode(text, pieces, end)
-                ids.append(found.astype(kind).tobytes())
-                total.append(len(found))
-                full, rest = divmod(len(found), size)
+                ids.append(encode(text, words, end))
+                total.append(len(ids[-1]) // width)
+                full, rest = divmod(total[-1], size)
                 full_at.append(int(seen[size]))
                 rest_at.append(int(seen[rest]))
                 seen[size] += full

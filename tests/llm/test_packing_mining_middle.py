@@ -101,10 +101,13 @@ def test_pack_with_shuffled_ranks(spark, monkeypatch):
     check_pack([((i, i), "la " * (i % 90)) for i in range(400)], packing.pack(docs, ["doc_id", "n_chars"], size=100).collect(), 100)
 
 
-def test_pieces_of_texts_are_the_tokenizers_own():
+def test_identifiers_of_words_are_the_tokenizers_own():
+    rng = np.random.default_rng(7)
     texts = ["don't I'LL  x y z", "é ́e\ń", "Σας ΣΑΣ Σ ς", "a\x1cb\x85c\x0bd", "<|endoftext|> x<|startoftext|>y", "ﬁ İİ ẞ", "  \n\n ", "12 345,6\t7", "﻿bom ​zero", "𝄞 漢字かな　전각", "'s' 't''re"]
-    pieces = packing.pieces_of(packing.VOCABULARY)
-    assert [packing.encode(t, pieces).tolist() for t in texts] == whole_ids(texts)
+    texts += ["".join(chr(c) for c in rng.integers(low, high, 40) if not 0xD800 <= c < 0xE000) for low, high in ((33, 127), (33, 0x180), (0xA0, 0x250), (0x300, 0x700), (0x20, 0x3000)) for _ in range(40)]
+    texts += [chr(c) + chr(c + 1) + "a" + chr(c) + "'S" for c in range(33, 0x180) if c not in (0x7F, 0xA0)]
+    own = packing.words_of(packing.VOCABULARY)
+    assert [np.frombuffer(packing.encode(t, own), f"<{own.code}").tolist() for t in texts] == whole_ids(texts)
 
 
 def test_placing_of_histograms():
