@@ -15,12 +15,13 @@ from typing import NamedTuple
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from navgraph.llm.arrow import byte_slices
+from navgraph.llm.arrow import SLICE_BYTES, byte_slices
 from navgraph.llm.common import broadcast_up_to, documents, materialize, text_of
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -29,7 +30,7 @@ SIZE, END = 2048, 1
 #: Words, and parts of words, whose identifiers a worker remembers, of so many characters at most; words are then forgotten all at once.
 REMEMBERED, PARTS_REMEMBERED, LONGEST = 1 << 19, 1 << 17, 64
 #: Rows of the table of ranks (task, length) up to which it is broadcast.
-MAX_BROADCAST_RANKS = 2_000_000
+MAX_BROADCAST_RANKS = 1_000_000
 
 
 # Fixed by the vocabulary: how a word is parted before merging, and how its bytes are written as characters. The class
@@ -63,7 +64,7 @@ class Words(dict):
         if len(word) > LONGEST:
             return self.packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
         if PLAIN(word) and "<|" not in word:
-            found = b"".join(map(self.part, PARTS(word.lower())))
+            found = self.merged(word.lower()) if word.isalpha() else b"".join(map(self.part, PARTS(word.lower())))
         else:
             found = self.packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
         if len(self) >= REMEMBERED:
@@ -77,9 +78,42 @@ def words_of(vocabulary: str) -> Words:
     return Words(vocabulary)
 
 
-def encode(text: str, words: Words, end: int = END) -> bytes:
-    """The identifiers of a text and ``end``, word by word: the vocabulary drops white space and merges within words only, so this is what it makes of the whole text."""
-    return b"".join(map(words.__getitem__, text.replace("\n", " ").split(" "))) + words.packed([end])
+def encode(texts: pa.Array, words: Words, end: int = END) -> tuple[np.ndarray, np.ndarray]:
+    """The identifiers of all texts, each followed by ``end``, behind each other, and how many each text has.
+
+    Texts are encoded word by word, each distinct word once: the vocabulary
+    drops white space and merges within words only, so this is what it makes of
+    the whole texts. A column that is too long for that at once is cut at blanks.
+    """
+    if len(texts) == 1 and len(long := texts[0].as_py()) > 4 * SLICE_BYTES:
+        pieces, at = [], 0
+        while at < len(long):
+            cut = long.find(" ", at + SLICE_BYTES)
+            cut = len(long) if cut < 0 else cut
+            pieces.append(encode(pa.array([long[at:cut]]), words, end)[0])
+            at = cut + 1
+        whole = np.concatenate([p[:-1] for p in pieces] + [pieces[-1][-1:]])
+        return whole, np.array([len(whole)])
+    texts = pc.replace_substring(texts, "\n", " ")
+    if not pc.any(pc.match_substring(texts, "<|")).as_py():
+        texts = pc.ascii_lower(texts)  # all but special tokens, which may stand here, are put in lower case anyway
+    # A mark between a letter and a blank is a part of its own.
+    split = pc.split_pattern(pc.replace_substring_regex(texts, r"([\p{L}\p{N}])([.,;:!?]) ", r"\1 \2 "), " ")
+    found = split.flatten().dictionary_encode()
+    known = [words[w] for w in found.dictionary.to_pylist()]
+    kind = np.dtype(f"<{words.code}")
+    size = np.fromiter(map(len, known), np.int64, len(known)) // kind.itemsize
+    each = found.indices.to_numpy()
+    many = size[each]
+    done = np.concatenate([[0], np.cumsum(many)])
+    offsets = split.offsets.to_numpy()
+    total = np.diff(done[offsets - offsets[0]]) + 1
+    last = np.cumsum(total) - 1
+    out = np.full(len(last) + done[-1], end, kind)
+    inner = np.ones(len(out), bool)
+    inner[last] = False
+    out[inner] = np.frombuffer(b"".join(known), kind)[np.repeat((np.cumsum(size) - size)[each] - done[:-1], many) + np.arange(done[-1])]
+    return out, total
 
 
 class Placed(NamedTuple):
@@ -162,19 +196,19 @@ def tokens_of(docs: DataFrame, keep: Sequence[str], vocabulary: str = VOCABULARY
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, task = words_of(vocabulary), TaskContext.get().partitionId()
-        width = len(words.packed([end]))
-        seen = np.zeros(size + 1, np.int64)
+        seen = [0] * (size + 1)
         for b in byte_slices(batches, "text"):
-            ids, total, full_at, rest_at = [], [], [], []
-            for text in b["text"].to_pylist():
-                ids.append(encode(text, words, end))
-                total.append(len(ids[-1]) // width)
-                full, rest = divmod(total[-1], size)
-                full_at.append(int(seen[size]))
-                rest_at.append(int(seen[rest]))
+            flat, total = encode(b["text"], words, end)
+            full_at, rest_at = [], []
+            for n in total.tolist():
+                full, rest = divmod(n, size)
+                full_at.append(seen[size])
+                rest_at.append(seen[rest])
                 seen[size] += full
                 seen[rest] += 1
-            columns = [pa.array(ids, pa.binary()), *(pa.array(x, pa.int64()) for x in (total, [task] * len(ids), full_at, rest_at))]
+            at = np.concatenate([[0], np.cumsum(total)]) * flat.itemsize
+            ids = pa.BinaryArray.from_buffers(pa.binary(), len(total), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(flat)])
+            columns = [ids, *(pa.array(x, pa.int64()) for x in (total, [task] * len(total), full_at, rest_at))]
             yield pa.RecordBatch.from_arrays([b["doc"], *columns], ["doc", "ids", "total", "task", "full_at", "rest_at"])
 
     fields = [T.StructField("ids", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("total", "task", "full_at", "rest_at"))]

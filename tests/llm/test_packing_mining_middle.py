@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -55,8 +56,6 @@ def test_fill_middle(spark, sf_dir, unit):
 
 
 def test_byte_slices():
-    import pyarrow as pa
-
     batch = pa.RecordBatch.from_arrays([pa.array(["aaaa", "", "bb", "c" * 50, "", "", "dd"])], ["t"])
     parts = [b["t"].to_pylist() for b in arrow.byte_slices([batch.slice(1), batch.slice(0, 0)], "t", 6)]
     assert parts == [["", "bb"], ["c" * 50], ["", "", "dd"]] and [x for p in parts for x in p] == batch["t"].to_pylist()[1:]
@@ -101,13 +100,19 @@ def test_pack_with_shuffled_ranks(spark, monkeypatch):
     check_pack([((i, i), "la " * (i % 90)) for i in range(400)], packing.pack(docs, ["doc_id", "n_chars"], size=100).collect(), 100)
 
 
-def test_identifiers_of_words_are_the_tokenizers_own():
+def test_identifiers_of_words_are_the_tokenizers_own(monkeypatch):
     rng = np.random.default_rng(7)
     texts = ["don't I'LL  x y z", "é ́e\ń", "Σας ΣΑΣ Σ ς", "a\x1cb\x85c\x0bd", "<|endoftext|> x<|startoftext|>y", "ﬁ İİ ẞ", "  \n\n ", "12 345,6\t7", "﻿bom ​zero", "𝄞 漢字かな　전각", "'s' 't''re"]
     texts += ["".join(chr(c) for c in rng.integers(low, high, 40) if not 0xD800 <= c < 0xE000) for low, high in ((33, 127), (33, 0x180), (0xA0, 0x250), (0x300, 0x700), (0x20, 0x3000)) for _ in range(40)]
     texts += [chr(c) + chr(c + 1) + "a" + chr(c) + "'S" for c in range(33, 0x180) if c not in (0x7F, 0xA0)]
-    own = packing.words_of(packing.VOCABULARY)
-    assert [np.frombuffer(packing.encode(t, own), f"<{own.code}").tolist() for t in texts] == whole_ids(texts)
+    own, want = packing.words_of(packing.VOCABULARY), whole_ids(texts)
+    for part in (pa.array(texts), pa.array(["x", *texts, "y"]).slice(1, len(texts))):
+        flat, total = packing.encode(part, own)
+        assert [x.tolist() for x in np.split(flat, np.cumsum(total)[:-1])] == want
+    monkeypatch.setattr(packing, "SLICE_BYTES", 50)
+    long = "  ".join(texts)
+    flat, total = packing.encode(pa.array([long]), own)
+    assert flat.tolist() == whole_ids([long])[0] and total.tolist() == [len(flat)]
 
 
 def test_placing_of_histograms():
