@@ -53,12 +53,17 @@ def edges_by_id(links: DataFrame, linktargets: DataFrame, pages: DataFrame) -> D
 
 
 def skip_reasons(links: DataFrame, linktargets: DataFrame, pages: DataFrame) -> DataFrame:
-    """reason, n: how many links lead to an edge (ok), come from no page, have no link target, or no page (red)."""
+    """reason, n: how many links lead to an edge (ok), are no whole line (malformed), come from no page, have no link target, or no page (red).
+
+    A link is malformed where pl_from or pl_target_id is null, as lines of too
+    few or unfit fields are read. All are counted in one pass over the links.
+    """
     lt = linktargets.select("lt_id", F.col("namespace").alias("ns"), F.col("title").alias("t"))
     there = lt.join(pages.select(F.col("namespace").alias("ns"), F.col("title").alias("t"), F.lit(True).alias("page")).distinct(), ["ns", "t"], "left").select("lt_id", "page")
     source = pages.select(F.col("page_id").alias("pl_from"), F.lit(True).alias("source"))
     all_links = links.join(source, "pl_from", "left").join(there, F.col("pl_target_id") == F.col("lt_id"), "left")
-    reason = F.when(F.col("source").isNull(), "missing_source").when(F.col("lt_id").isNull(), "unknown_target").when(F.col("page").isNull(), "red_link").otherwise("ok")
+    fit = F.col("pl_from").isNotNull() & F.col("pl_target_id").isNotNull()
+    reason = F.when(~fit, "malformed").when(F.col("source").isNull(), "missing_source").when(F.col("lt_id").isNull(), "unknown_target").when(F.col("page").isNull(), "red_link").otherwise("ok")
     return all_links.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from navgraph.session import broadcast_up_to, materialize
+from navgraph.session import broadcast_up_to, discard, materialize, numbered
 
 #: Frontiers of up to so many rows are sent to the edges; larger ones are joined by a shuffle.
 MAX_BROADCAST_ROWS = 500_000
@@ -37,6 +37,65 @@ def levels(edges: DataFrame, starts: DataFrame, backward: bool = False, max_leve
     return reached
 
 
+#: Queries of a word: a search holds a bit for each of them.
+BITS = 64
+
+
+def bit_levels(edges: DataFrame, starts: DataFrame, wanted: DataFrame | None = None, backward: bool = False) -> DataFrame:
+    """query_id, node, level as ``levels`` finds them, by one search for all queries, whose frontier is bits.
+
+    Queries are numbered, and 64 of them share a word. A row of the search is a
+    node and a word, with the queries that have reached the node and those that
+    did so last, so a level is one join of such rows with the edges and one
+    aggregate that ORs bits, however many queries pass through a node.
+
+    ``wanted`` (query_id, node) asks for these nodes only. A query leaves the
+    search as soon as all of its wanted nodes are reached, and no row is made
+    for another node in the result; nodes that can't be reached are left out, as
+    they are where all are asked for. Wanted nodes that no edge leaves (or
+    enters, forward) are known to be out of reach without a search.
+    """
+    here, there = ("dst_id", "src_id") if backward else ("src_id", "dst_id")
+    word, bit = F.expr(f"(number - 1) div {BITS}"), F.expr(f"shiftleft(1L, CAST((number - 1) % {BITS} AS INT))")
+    numbers = materialize(numbered(starts.select("query_id").distinct(), ["query_id"], "number").select("query_id", "number", word.alias("word"), bit.alias("bit")), "search-queries")
+    few = broadcast_up_to(numbers.select("query_id", "word", "bit"), MAX_BROADCAST_ROWS)
+    bits = lambda df: df.select("query_id", "node").join(few, "query_id").groupBy("node", "word").agg(F.bit_or("bit").alias("bits"))
+    none = F.lit(0).cast("long")
+    first = bits(starts)
+    state = first.select("node", "word", F.col("bits").alias("seen"), F.col("bits").alias("fresh"), none.alias("want"))
+    if wanted is not None:
+        ends = edges.select(F.col(there).alias("node")).distinct().unionByName(starts.select("node"))
+        asked = bits(wanted.select("query_id", "node").distinct().join(ends, "node", "left_semi"))
+        state = state.unionByName(asked.select("node", "word", none.alias("seen"), none.alias("fresh"), F.col("bits").alias("want")))
+        state = state.groupBy("node", "word").agg(*[F.bit_or(c).alias(c) for c in ("seen", "fresh", "want")])
+    steps, level, found, last = edges.select(F.col(here).alias("node"), F.col(there).alias("next")), 0, [], None
+    while True:
+        news = Observation()
+        counts = [F.count_if(F.expr("fresh <> 0")).alias("fresh"), F.count_if(F.expr("want & ~seen <> 0")).alias("missing")]
+        state = materialize(state.observe(news, *counts), "search")
+        kept = "fresh" if wanted is None else "fresh & want"
+        found.append(materialize(state.filter(F.expr(f"{kept} <> 0")).select("node", "word", F.expr(kept).alias("bits"), F.lit(level).alias("level")), "search-found"))
+        if last is not None:
+            discard(last)
+        if not news.get["fresh"] or (wanted is not None and not news.get["missing"]):
+            discard(state)
+            break
+        front = state.filter("fresh <> 0").select("node", "word", "fresh")
+        if wanted is not None:
+            live = state.filter("want & ~seen <> 0").groupBy("word").agg(F.bit_or(F.expr("want & ~seen")).alias("live"))
+            front = front.join(live, "word").select("node", "word", F.expr("fresh & live").alias("fresh")).filter("fresh <> 0")
+        came = front.join(steps, "node").select(F.col("next").alias("node"), "word", F.col("fresh").alias("came"), none.alias("seen"), none.alias("want"))
+        both = came.unionByName(state.select("node", "word", none.alias("came"), "seen", "want")).groupBy("node", "word").agg(*[F.bit_or(c).alias(c) for c in ("came", "seen", "want")])
+        last, level = state, level + 1
+        state = both.select("node", "word", F.expr("seen | came").alias("seen"), F.expr("came & ~seen").alias("fresh"), "want")
+    rows = found[0]
+    for more in found[1:]:
+        rows = rows.unionByName(more)
+    each = rows.select("node", "level", "word", F.explode(F.expr(f"filter(sequence(0, {BITS - 1}), b -> getbit(bits, b) = 1)")).alias("b"))
+    back = broadcast_up_to(numbers.select("query_id", "number"), MAX_BROADCAST_ROWS)
+    return each.select("node", "level", (F.col("word") * BITS + F.col("b") + 1).alias("number")).join(back, "number").select("query_id", "node", "level")
+
+
 def meet(edges: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Bidirectional search for ``pairs`` (query_id, src_id, dst_id): forward levels, backward levels, and query_id, a, b.
 
@@ -106,6 +165,57 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_paths: int | None = N
     return paths.select("query_id", (F.size("path") - 1).alias("length"), "path").distinct()
 
 
+def single_paths(edges: DataFrame, pairs: DataFrame, max_expansions: int = 10) -> DataFrame:
+    """query_id, length, path: one shortest path of each of ``pairs`` (query_id, src_id, dst_id), for queries that meet within ``max_expansions`` levels of both sides together.
+
+    Every node that is reached keeps one parent, the least of those that reach
+    it, so the search is a tree from each end. Each round expands the smaller
+    frontier of a query, the forward one on ties. The path goes through the
+    least node of those where the trees meet, and is read off by walking
+    parents, one step of all queries a round; nothing is enumerated.
+    """
+    grown = lambda f, here, there: f.select("query_id", "node").join(edges.select(F.col(here).alias("node"), F.col(there).alias("next")), "node").groupBy("query_id", F.col("next").alias("node")).agg(F.min("node").alias("parent"))
+    root = lambda c: pairs.select("query_id", F.col(c).alias("node"), F.lit(None).cast("long").alias("parent"))
+    trees = {"src_id": materialize(root("src_id"), "tree"), "dst_id": materialize(root("dst_id"), "tree")}
+    fronts, open_, met, expansions = dict(trees), pairs.select("query_id"), None, 0
+    while True:
+        # The last level of one side may touch any level of the other, as only one of them grew.
+        both = materialize(open_.join(trees["src_id"].select("query_id", "node"), "query_id").join(trees["dst_id"].select("query_id", "node"), ["query_id", "node"]).groupBy("query_id").agg(F.min("node").alias("node")), "meeting")
+        met = both if met is None else met.unionByName(both)
+        size = {c: f.groupBy("query_id").agg(F.count("*").alias(c)) for c, f in fronts.items()}
+        open_ = materialize(open_.join(both, "query_id", "left_anti").join(size["src_id"], "query_id").join(size["dst_id"], "query_id").select("query_id", (F.col("src_id") <= F.col("dst_id")).alias("forward")), "open")
+        if expansions == max_expansions or open_.isEmpty():
+            break
+        expansions += 1
+        for side, other, flag in (("src_id", "dst_id", True), ("dst_id", "src_id", False)):
+            turn = open_.filter(F.col("forward") == flag).select("query_id")
+            here = fronts[side].join(turn, "query_id", "left_semi")
+            new = materialize(grown(here, side, other).join(trees[side].select("query_id", "node"), ["query_id", "node"], "left_anti"), "tree")
+            trees[side] = trees[side].unionByName(new)
+            fronts[side] = fronts[side].join(turn, "query_id", "left_anti").unionByName(new)
+        open_ = open_.select("query_id")
+    paths = materialize(met.select("query_id", F.array("node").alias("path"), F.col("node").alias("end")), "path")
+    for side in ("src_id", "dst_id"):
+        while True:
+            up = paths.join(trees[side].select("query_id", F.col("node").alias("end"), "parent"), ["query_id", "end"])
+            longer = F.concat(F.array("parent"), "path") if side == "src_id" else F.concat("path", F.array("parent"))
+            stepped = up.select("query_id", F.when(F.col("parent").isNull(), F.col("path")).otherwise(longer).alias("path"), F.coalesce("parent", "end").alias("end"), F.col("parent").isNotNull().alias("moved"))
+            stepped = materialize(stepped, "path")
+            paths = stepped.drop("moved")
+            if stepped.filter("moved").isEmpty():
+                break
+        paths = paths.select("query_id", "path", F.element_at("path", -1).alias("end"))
+    return paths.select("query_id", (F.size("path") - 1).alias("length"), "path")
+
+
+def connected(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """The given rows (query_id, path) with ``connected``: whether every two neighbours on the path are an edge."""
+    keyed = paths.withColumn("_key", F.xxhash64("query_id", "path"))
+    steps = keyed.select("_key", F.explode(F.expr("transform(sequence(1, greatest(size(path) - 1, 1)), i -> struct(get(path, i - 1) AS src_id, get(path, i) AS dst_id))")).alias("s")).select("_key", "s.*").filter("dst_id IS NOT NULL")
+    broken = steps.join(edges.select("src_id", "dst_id"), ["src_id", "dst_id"], "left_anti").select("_key").distinct()
+    return keyed.join(broken.withColumn("_broken", F.lit(True)), "_key", "left").withColumn("connected", F.col("_broken").isNull()).drop("_key", "_broken")
+
+
 def titled(paths: DataFrame, pages: DataFrame) -> DataFrame:
     """Paths as titles; a path through a page without title is dropped."""
     key = F.xxhash64("query_id", "path")

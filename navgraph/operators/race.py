@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from navgraph.operators.games import with_task
-from navgraph.operators.paths import levels
+from navgraph.operators.paths import bit_levels
+from navgraph.session import materialize
 
 
 def page_states(games: DataFrame, moves: DataFrame) -> DataFrame:
@@ -17,14 +18,31 @@ def page_states(games: DataFrame, moves: DataFrame) -> DataFrame:
     return start.unionByName(made)
 
 
-def distances(edges: DataFrame, pages: DataFrame, targets: DataFrame) -> DataFrame:
-    """target_page_title, page_title, distance, for every page that reaches a target: one backward search for all targets."""
-    ids = targets.distinct().join(pages.select(F.col("title").alias("target_page_title"), F.col("page_id").alias("node")), "target_page_title")
-    found = levels(edges, ids.select(F.col("target_page_title").alias("query_id"), "node"), backward=True)
+def _target_nodes(pages: DataFrame, targets: DataFrame) -> DataFrame:
+    return targets.distinct().join(pages.select(F.col("title").alias("target_page_title"), F.col("page_id").alias("node")), "target_page_title").select(F.col("target_page_title").alias("query_id"), "node")
+
+
+def distances(incoming: DataFrame, pages: DataFrame, targets: DataFrame) -> DataFrame:
+    """target_page_title, page_title, distance, for every page that reaches a target: one backward search for all targets. ``incoming`` are the edges, best laid out by dst_id."""
+    found = bit_levels(incoming, _target_nodes(pages, targets), backward=True)
     named = found.join(pages.select(F.col("page_id").alias("node"), F.col("title").alias("page_title")), "node")
     return named.select(F.col("query_id").alias("target_page_title"), "page_title", F.col("level").cast("long").alias("distance"))
 
 
+def distances_in_use(incoming: DataFrame, pages: DataFrame, pairs: DataFrame) -> DataFrame:
+    """target_page_title, page_title, distance, for those of the given pairs (target_page_title, page_title; repeats count once) whose page reaches the target.
+
+    Each distinct pair is solved once. The search of a target ends when its
+    last page is reached, and there is a row for pairs in use only, so nothing
+    grows with targets times pages.
+    """
+    named = pages.select(F.col("page_id").alias("node"), F.col("title").alias("page_title"))
+    asked = materialize(pairs.select("target_page_title", "page_title").distinct().join(named, "page_title"), "pairs-in-use")
+    found = bit_levels(incoming, _target_nodes(pages, pairs.select("target_page_title")), asked.select(F.col("target_page_title").alias("query_id"), "node"), backward=True)
+    least = asked.join(found.withColumnRenamed("query_id", "target_page_title"), ["target_page_title", "node"]).groupBy("target_page_title", "page_title").agg(F.min("level").cast("long").alias("distance"))
+    return least
+
+
 def with_distance(states: DataFrame, known: DataFrame) -> DataFrame:
     """States with the distance from page to target, null where there is none."""
     return states.join(known, ["target_page_title", "page_title"], "left")

@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from navgraph.functions.titles import task_id
+from navgraph.functions.titles import game_id, task_id
 from navgraph.operators.games import FINISHED
+from navgraph.session import materialize
+from navgraph.sources.tables import Commits
 
 # Who gets which events, and the strategies with their descriptions.
 SUBSCRIPTIONS = (
@@ -18,6 +20,13 @@ SUBSCRIPTIONS = (
 STRATEGIES = {"random": "Randomly selected from {language} Wikipedia", "custom": "User-specified task with validation and random fallback", "ranked": None, "themed": None, "campaign": None, "tournament": None}
 
 
+def strategy_columns(kind: Column, language: Column, start: Column, target: Column) -> list[Column]:
+    """description, start_page and target_page as ``strategy_info`` has them, of rows; null for a strategy that nothing selects tasks by, and pages for ``custom`` only."""
+    texts = F.create_map(*[F.lit(x) for k, text in STRATEGIES.items() if text for x in (k, text)])
+    page = lambda c: F.when(kind == "custom", F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("random")))
+    return [F.replace(texts[kind], F.lit("{language}"), language).alias("description"), page(start).alias("start_page"), page(target).alias("target_page")]
+
+
 def strategy_info(kind: str, language: str = "en", start: str | None = None, target: str | None = None) -> dict[str, str] | None:
     """What is told of a strategy; None for one that nothing selects tasks by."""
     text = STRATEGIES.get(kind)
@@ -53,6 +62,29 @@ def create_tasks(requests: DataFrame, pages: DataFrame, models: DataFrame) -> Da
     return rows.select("request_id", F.when(made, task_id(F.col("start"), F.col("target"))).alias("task_id"), "verdict", F.when(made, F.col("players")).alias("players"))
 
 
+def task_tables(requests: DataFrame, created: DataFrame, at: Column) -> dict[str, DataFrame]:
+    """tasks, games and events (task_selected) that the created ones of ``requests`` come to, as of the time ``at``.
+
+    A game's id is of its model, the time, and four letters that request and
+    seat decide, so a commit that is tried again makes the same ids.
+    """
+    made = created.filter("verdict = 'created'").join(requests.select("request_id", "start", "target"), "request_id").withColumn("at", at)
+    suffix = F.substring(F.md5(F.concat_ws("|", F.col("request_id").cast("string"), F.col("p.number").cast("string"))), 1, 4)
+    seats = made.select("request_id", "task_id", "start", "target", "at", F.explode("players").alias("p"))
+    games = seats.select("request_id", "task_id", game_id(F.col("p.model_id"), F.col("at"), suffix).alias("game_id"), F.col("p.model_id").alias("model_id"), F.col("p.number").alias("number"), F.col("start").alias("start_page_title"), F.col("target").alias("target_page_title"), F.lit("not_started").alias("status"))
+    players = games.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("number", "game_id"))).alias("g"))
+    data = F.to_json(F.struct(F.col("start").alias("start_page_title"), F.col("target").alias("target_page_title"), F.col("g.game_id").alias("game_ids")))
+    events = made.join(players, "request_id").select(F.lit("task_selected").alias("type"), F.col("task_id").alias("game_id"), data.alias("data"), F.col("at").alias("timestamp"))
+    return {"tasks": made.select("request_id", "task_id", F.col("start").alias("start_page_title"), F.col("target").alias("target_page_title"), "at"), "games": games, "events": events}
+
+
+def commit_tasks(commits: Commits, requests: DataFrame, pages: DataFrame, models: DataFrame, at: Column) -> DataFrame:
+    """Create tasks and write them, their games and their task_selected events, all of them or nothing; returns the verdicts as ``create_tasks`` has them."""
+    created = materialize(create_tasks(requests, pages, models), "created")
+    commits.append(**task_tables(requests, created, at))
+    return created
+
+
 def emitted(games: DataFrame, moves: DataFrame) -> DataFrame:
     """game_id, seq, type: a move_completed for each move of a game, then game_ended once it is over."""
     made = moves.join(games.select("game_id"), "game_id").select("game_id", F.col("step").cast("long").alias("seq"), F.lit("move_completed").alias("type"))
@@ -60,14 +92,23 @@ def emitted(games: DataFrame, moves: DataFrame) -> DataFrame:
     return made.unionByName(last.select("game_id", (F.coalesce("n", F.lit(0)) + 1).cast("long").alias("seq"), F.lit("game_ended").alias("type")))
 
 
+# What players are told, here and in ``link_page``.
 def system_prompt(template: Column, start: Column, target: Column) -> Column:
-    """The template with its two titles put in."""
-    return F.replace(F.replace(template, F.lit("{start_page_title}"), start), F.lit("{target_page_title}"), target)
+    """The template with its two titles put in; what looks like a place for one in a title stays."""
+    parts = F.transform(F.split(template, r"\{start_page_title\}"), lambda part: F.replace(part, F.lit("{target_page_title}"), target))
+    return F.aggregate(parts, F.lit(None).cast("string"), lambda done, part: F.when(done.isNull(), part).otherwise(F.concat(done, start, part)))
+
+
+def shown_text(text: Column) -> Column:
+    """A text in quotes: single ones, or double ones where it holds an apostrophe and no double quote; backslashes, and apostrophes within single quotes, are escaped."""
+    plain = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    double = F.contains(text, F.lit("'")) & ~F.contains(text, F.lit('"'))
+    return F.when(double, F.concat(F.lit('"'), plain, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("\\'")), F.lit("'")))
 
 
 def turn_prompt(title: Column, links: Column, first: bool = False) -> Column:
-    """What a player is told on a page: its title and the links, as a list in quotes."""
-    shown = F.concat(F.lit("["), F.array_join(F.transform(links, lambda t: F.concat(F.lit("'"), t, F.lit("'"))), ", "), F.lit("]"))
+    """What a player is told on a page: its title and the links, as a list of quoted texts."""
+    shown = F.concat(F.lit("["), F.array_join(F.transform(links, shown_text), ", "), F.lit("]"))
     return F.concat(F.lit("You are currently on the page '" if first else "You are now on the page '"), title, F.lit("'.\nHere are the available links:\n"), shown)
 
 

@@ -8,17 +8,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from navgraph.functions.titles import fold, readable, sanitize
+from navgraph.operators.links import degrees as count_degrees
+from navgraph.sources.tables import Kept
+
+
+#: Keys of a lookup up to which the files that can hold them are chosen beforehand.
+FEW_KEYS = 1000
+
+
+def few_values(column: DataFrame) -> list | None:
+    """The values of a column of a few rows; None if there are more. Rows that are given by value take no job."""
+    found = column.limit(FEW_KEYS + 1).collect()
+    return [r[0] for r in found] if len(found) <= FEW_KEYS else None
 
 
 class GraphStore:
     """pages (page_id, namespace, title, is_redirect; folded, where the title is kept in lower case too), resolved redirects (source_id, target_id) and edges (src_id, dst_id).
 
     Edges may be given as functions, which are called when edges are first
-    needed; ``incoming`` has the same edges laid out by dst_id.
+    needed; ``incoming`` has the same edges laid out by dst_id, ``degrees`` the
+    number of links of each page that has any. ``by_title`` and ``by_id`` (a
+    function) are pages kept by folded title and by id: lookups of a few keys
+    then read only the files that can hold them.
     """
 
-    def __init__(self, pages: DataFrame, redirects: DataFrame, edges: DataFrame | Callable[[], DataFrame], incoming: DataFrame | Callable[[], DataFrame] | None = None) -> None:
+    def __init__(
+        self, pages: DataFrame, redirects: DataFrame, edges: DataFrame | Callable[[], DataFrame], incoming: DataFrame | Callable[[], DataFrame] | None = None,
+        degrees: DataFrame | Callable[[], DataFrame] | None = None, by_title: Kept | None = None, by_id: Callable[[], Kept] | None = None,
+    ) -> None:
         self.pages, self.redirects, self._edges, self._incoming = pages, redirects, edges, incoming if incoming is not None else edges
+        self._degrees, self._by_title, self._by_id = degrees if degrees is not None else lambda: count_degrees(self.edges), by_title, by_id
+
+    @property
+    def degrees(self) -> DataFrame:
+        """page_id, outgoing_count, incoming_count."""
+        if callable(self._degrees):
+            self._degrees = self._degrees()
+        return self._degrees
+
+    def pages_titled(self, titles: DataFrame) -> DataFrame:
+        """Pages among which are all that have one of the given folded titles (the only column)."""
+        few = few_values(titles) if self._by_title else None
+        return self.pages if few is None else self._by_title.holding(few)
+
+    def pages_with(self, ids: DataFrame) -> DataFrame:
+        """Pages among which are all that have one of the given ids (the only column)."""
+        few = few_values(ids) if self._by_id else None
+        return self.pages if few is None else self._by_id().holding(few)
 
     @property
     def edges(self) -> DataFrame:
@@ -37,7 +73,9 @@ class GraphStore:
 
     def by_title(self, title: str, namespace: int = 0) -> DataFrame:
         """The rows of a title in any case; namespace -1 is any."""
-        found = self.pages.filter(self._folded() == fold(sanitize(F.lit(title)))).drop("folded")
+        wanted = fold(sanitize(F.lit(title)))
+        near = self.pages_titled(self.pages.sparkSession.sql("SELECT * FROM VALUES (1) AS t(one)").select(wanted))
+        found = near.filter(self._folded() == wanted).drop("folded")
         return found if namespace == -1 else found.filter(F.col("namespace") == namespace)
 
     def resolve(self, titles: DataFrame, namespace: int = 0) -> DataFrame:
@@ -48,7 +86,8 @@ class GraphStore:
         of the first. Ties go to the smallest id.
         """
         wanted = sanitize(F.col("title"))
-        pages = self.pages if namespace == -1 else self.pages.filter(F.col("namespace") == namespace)
+        pages = self.pages_titled(titles.select(fold(wanted)))
+        pages = pages if namespace == -1 else pages.filter(F.col("namespace") == namespace)
         pages = pages.select("page_id", F.col("title").alias("_title"), "is_redirect", self._folded().alias("_fold"))
         pages = pages.join(self.redirects.withColumnRenamed("source_id", "page_id"), "page_id", "left")
         rank = F.when(~F.col("is_redirect") & (F.col("_title") == F.col("_wanted")), 0).when(~F.col("is_redirect"), 1).otherwise(2)
@@ -59,10 +98,11 @@ class GraphStore:
 
     def titles(self, ids: DataFrame) -> DataFrame:
         """The given rows (with page_id) with the readable title, null if there is none; every repeat is filled."""
-        return ids.join(self.pages.select("page_id", readable(F.col("title")).alias("title")), "page_id", "left")
+        pages = self.pages_with(ids.select("page_id"))
+        return ids.join(pages.select("page_id", readable(F.col("title")).alias("title")), "page_id", "left")
 
     def exists(self, ids: DataFrame) -> DataFrame:
-        return ids.join(self.pages.select("page_id"), "page_id", "left_semi")
+        return ids.join(self.pages_with(ids.select("page_id")).select("page_id"), "page_id", "left_semi")
 
     def neighbours(self, ids: DataFrame, incoming: bool = False) -> DataFrame:
         """The given rows (with page_id) with ``links``, sorted; none: an empty array."""
@@ -93,5 +133,6 @@ def seeded_sample(pages: DataFrame, n: int, seed: int) -> DataFrame:
 
 
 def pick_link(links: Column, seed: int, *key: Column) -> Column:
-    """A uniform choice from an array that seed and key decide; null from an empty one."""
-    return F.when(F.size(links) > 0, F.element_at(links, (F.pmod(F.xxhash64(F.lit(seed), *key), F.size(links)) + 1).cast("int")))
+    """A uniform choice from an array that seed and key (texts) decide, the same in every engine; null from an empty one."""
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *key)), 1, 8), 16, 10).cast("long")
+    return F.when(F.size(links) > 0, F.element_at(links, (drawn % F.greatest(F.size(links), F.lit(1)) + 1).cast("int")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +15,13 @@ from navgraph.operators.store import GraphStore, null_profile
 from navgraph.operators.store import seeded_sample as sample
 from navgraph.operators.tasks import coverage
 from navgraph.plans.registry import query
-from navgraph.session import fingerprint, stored
+from navgraph.session import shared_dir
 from navgraph.sources import dumps as D
 from navgraph.sources import views as V
+from navgraph.sources.tables import fingerprint, kept
 
+#: Goes up whenever the code that makes the graph's tables comes to make others.
+GRAPH_VERSION = 2
 #: The graph as common table expressions: redirect_ids, resolved, edges_raw, edges, pruned.
 GRAPH = f"""WITH RECURSIVE {V.SQL.strip()},
 redirect_ids AS (
@@ -50,21 +55,23 @@ def levels_sql(name: str, starts: str, backward: bool = False, depth: int = 7) -
 
 
 def graph(spark: SparkSession, sf_dir: str) -> GraphStore:
-    """The store of a folder's tables: pruned pages, resolved redirects and edges, built when first read.
+    """The store of a folder's tables: pruned pages, resolved redirects, edges and degrees, each built when first read.
 
     Each table is kept in the shared folder under a fingerprint of its source
-    files (names, sizes, times), so later queries reuse it while the sources
-    are the same, and a changed source is built anew. Lookups of titles never
-    build edges.
+    files (names, sizes, times) and the version of the code that makes it, so
+    later queries reuse it while both are the same. Pages are kept by title and
+    by id, edges by source and by target. Lookups of titles never build edges.
     """
     pages = V.pages(spark, sf_dir)
     at = fingerprint(spark, [f"{sf_dir}/{t}.parquet" for t in ("part", "lineitem")])
-    redirects = stored(spark, f"graph-{at}/resolved", lambda: L.resolve_redirects(L.redirect_ids(V.redirects_raw(spark, sf_dir), pages)))
-    titles = stored(spark, f"graph-{at}/pages", lambda: L.pruned_pages(pages, redirects).withColumn("folded", fold(F.col("title"))).repartitionByRange("folded").sortWithinPartitions("folded"))
-    found = lambda: L.resolved_edges(V.links_raw(spark, sf_dir), V.linktargets(spark, sf_dir), pages, redirects)
-    edges = lambda: stored(spark, f"graph-{at}/edges", lambda: found().repartitionByRange("src_id").sortWithinPartitions("src_id"))
-    incoming = lambda: stored(spark, f"graph-{at}/edges-in", lambda: edges().repartitionByRange("dst_id").sortWithinPartitions("dst_id"))
-    return GraphStore(titles, redirects, edges, incoming)
+    keep = lambda name, build, key=None, filtered=(): kept(spark, f"graph-{GRAPH_VERSION}-{at}-{name}", build, key, filtered, of=f"{name} of {sf_dir}")
+    redirects = keep("resolved", lambda: L.resolve_redirects(L.redirect_ids(V.redirects_raw(spark, sf_dir), pages))).df
+    titles = keep("pages", lambda: L.pruned_pages(pages, redirects).withColumn("folded", fold(F.col("title"))), "folded", ["page_id"])
+    by_id = lambda: keep("pages-by-id", lambda: titles.df, "page_id", ["folded"])
+    edges = lambda: keep("edges", lambda: L.resolved_edges(V.links_raw(spark, sf_dir), V.linktargets(spark, sf_dir), pages, redirects), "src_id", ["dst_id"]).df
+    incoming = lambda: keep("edges-in", edges, "dst_id", ["src_id"]).df
+    degrees = lambda: keep("degrees", lambda: L.degrees(edges()), "page_id").df
+    return GraphStore(titles.df, redirects, edges, incoming, degrees, titles, by_id)
 
 
 def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,10 +82,6 @@ def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.edges_by_id(V.links_raw(spark, sf_dir), V.linktargets(spark, sf_dir), V.pages(spark, sf_dir))
 
 
-def clean_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.resolved_edges(V.links_raw(spark, sf_dir), V.linktargets(spark, sf_dir), V.pages(spark, sf_dir), resolved(spark, sf_dir))
-
-
 def rows(spark: SparkSession, values: list[tuple], schema: str) -> DataFrame:
     """A few rows as a DataFrame without a Python stage."""
     names = [c.split()[0] for c in schema.split(",")]
@@ -98,13 +101,41 @@ def edges_ids_only(spark, sf_dir):
 
 
 @query(GRAPH + """ SELECT reason, count(*) AS n FROM (
-  SELECT CASE WHEN s.page_id IS NULL THEN 'missing_source' WHEN t.lt_id IS NULL THEN 'unknown_target' WHEN p.page_id IS NULL THEN 'red_link' ELSE 'ok' END AS reason
-  FROM v_links_raw l LEFT JOIN v_pages s ON s.page_id = l.pl_from LEFT JOIN v_linktargets t ON t.lt_id = l.pl_target_id AND t.lt_id % 70 <> 0
-  LEFT JOIN v_pages p ON p.namespace = t.namespace AND p.title = t.title AND p.page_id % 11 <> 0) GROUP BY reason""")
+  SELECT CASE WHEN l.pl_from % 13 = 5 THEN 'malformed' WHEN s.page_id IS NULL THEN 'missing_source' WHEN t.lt_id IS NULL THEN 'unknown_target' WHEN p.page_id IS NULL THEN 'red_link' ELSE 'ok' END AS reason
+  FROM v_links_raw l LEFT JOIN v_pages s ON s.page_id = l.pl_from AND s.page_id % 17 <> 3 LEFT JOIN v_linktargets t ON t.lt_id = l.pl_target_id AND t.lt_id % 70 <> 0
+  LEFT JOIN v_pages p ON p.namespace = t.namespace AND p.title = t.title AND p.page_id % 11 <> 0 AND p.page_id % 17 <> 3) GROUP BY reason""")
 def edge_skip_reasons(spark, sf_dir):
-    """With a seventh of the link targets and an eleventh of the pages taken away, so that there is something to skip."""
+    """Links read from a staging file in which some lines are cut short; parts of the link targets and pages are taken away, so that there is something to skip."""
     pages, targets = V.pages(spark, sf_dir), V.linktargets(spark, sf_dir)
-    return L.skip_reasons(V.links_raw(spark, sf_dir), targets.filter("lt_id % 70 <> 0"), pages.withColumn("title", F.when(F.col("page_id") % 11 != 0, F.col("title"))))
+    short = F.col("pl_from") % 13 == 5
+    lines = V.links_raw(spark, sf_dir).select("pl_from", "pl_ns", F.when(~short, F.col("pl_target_id")).alias("pl_target_id"))
+    path = f"{shared_dir(spark)}/navgraph/links-{uuid.uuid4().hex}"
+    D.write_tsv(lines, path)
+    links = D.read_tsv_all(spark, path, lines.schema)
+    known = pages.filter("page_id % 17 <> 3").withColumn("title", F.when(F.col("page_id") % 11 != 0, F.col("title")))
+    return L.skip_reasons(links, targets.filter("lt_id % 70 <> 0"), known)
+
+
+@query(GRAPH + " SELECT src_id, dst_id FROM edges")
+def edges_from_dumps(spark, sf_dir):
+    """The graph from dump files: pages, links, redirects and link targets are written as SQL dumps, read in splits, staged as tables of tabs, and joined."""
+    base = f"{shared_dir(spark)}/navgraph/dumps-{uuid.uuid4().hex}"
+    number, text = (lambda c: F.col(c).cast("string")), D.quoted
+    made = {
+        "page": V.pages(spark, sf_dir).select(number("page_id"), number("namespace"), text("title"), F.col("is_redirect").cast("int").cast("string"), F.lit("0.5"), F.lit("NULL")),
+        "pagelinks": V.links_raw(spark, sf_dir).select(number("pl_from"), number("pl_ns"), number("pl_target_id")),
+        "redirect": V.redirects_raw(spark, sf_dir).select(number("source_id"), number("namespace"), text("target_title"), F.lit("''"), F.lit("NULL")),
+        "linktarget": V.linktargets(spark, sf_dir).select(number("lt_id"), number("namespace"), text("title")),
+    }
+    staged = {}
+    for name, values in made.items():
+        D.write_dump(values, D.DUMP_TABLES[name], f"{base}/{name}.sql")
+        found, _ = D.read_dump(spark, f"{base}/{name}.sql", name)
+        D.write_tsv(found, f"{base}/{name}.txt")
+        staged[name], _ = D.read_tsv(spark, f"{base}/{name}.txt", found.schema)
+    pages = staged["page"].withColumn("is_redirect", F.col("is_redirect") == 1)
+    redirects = L.resolve_redirects(L.redirect_ids(staged["redirect"], pages))
+    return L.resolved_edges(staged["pagelinks"], staged["linktarget"], pages, redirects)
 
 
 @query(GRAPH + " SELECT source_id, target_id FROM redirect_ids")
@@ -124,7 +155,7 @@ def pruned_pages(spark, sf_dir):
 
 @query(GRAPH + " SELECT src_id, dst_id FROM edges")
 def resolved_edges(spark, sf_dir):
-    return clean_edges(spark, sf_dir)
+    return graph(spark, sf_dir).edges
 
 
 def _grouped_sql(by: str, other: str) -> str:
@@ -133,12 +164,12 @@ def _grouped_sql(by: str, other: str) -> str:
 
 @query(_grouped_sql("src_id", "dst_id"))
 def grouped_out(spark, sf_dir):
-    return L.grouped(clean_edges(spark, sf_dir), "src_id", "dst_id").select("page_id", encode_ids(F.col("ids")).alias("ids"))
+    return L.grouped(graph(spark, sf_dir).edges, "src_id", "dst_id").select("page_id", encode_ids(F.col("ids")).alias("ids"))
 
 
 @query(_grouped_sql("dst_id", "src_id"))
 def grouped_in(spark, sf_dir):
-    return L.grouped(clean_edges(spark, sf_dir), "dst_id", "src_id").select("page_id", encode_ids(F.col("ids")).alias("ids"))
+    return L.grouped(graph(spark, sf_dir).edges, "dst_id", "src_id").select("page_id", encode_ids(F.col("ids")).alias("ids"))
 
 
 @query(GRAPH + """ SELECT coalesce(o.page_id, i.page_id) AS page_id, coalesce(outgoing, '') AS outgoing, coalesce(incoming, '') AS incoming,
@@ -146,7 +177,7 @@ def grouped_in(spark, sf_dir):
   FROM (SELECT src_id AS page_id, count(*) AS n, string_agg(CAST(dst_id AS VARCHAR), '|' ORDER BY dst_id) AS outgoing FROM edges GROUP BY 1) o
   FULL JOIN (SELECT dst_id AS page_id, count(*) AS n, string_agg(CAST(src_id AS VARCHAR), '|' ORDER BY src_id) AS incoming FROM edges GROUP BY 1) i ON o.page_id = i.page_id""")
 def adjacency(spark, sf_dir):
-    found = L.adjacency(clean_edges(spark, sf_dir))
+    found = L.adjacency(graph(spark, sf_dir).edges)
     return found.select("page_id", *[encode_ids(F.col(c)).alias(c) for c in ("outgoing", "incoming")], *[F.col(f"{c}_count").cast("long").alias(f"{c}_count") for c in ("outgoing", "incoming")])
 
 
@@ -157,7 +188,7 @@ _DEGREES = """degrees AS (
 
 @query(GRAPH + f", {_DEGREES} SELECT page_id, outgoing_count, incoming_count FROM degrees")
 def degree_counts(spark, sf_dir):
-    return L.degrees(clean_edges(spark, sf_dir))
+    return graph(spark, sf_dir).degrees
 
 
 @query(GRAPH + " SELECT count(*) AS edges, count(DISTINCT (src_id, dst_id)) AS distinct_edges FROM edges_raw")
@@ -193,7 +224,7 @@ def raw_links_all(spark, sf_dir):
   FROM edges e JOIN v_pages s ON s.page_id = e.src_id JOIN v_pages t ON t.page_id = e.dst_id WHERE e.src_id = 17""")
 def edges_for_source(spark, sf_dir):
     pages = V.pages(spark, sf_dir)
-    e = clean_edges(spark, sf_dir).filter("src_id = 17")
+    e = graph(spark, sf_dir).edges.filter("src_id = 17")
     s = pages.select(F.col("page_id").alias("src_id"), F.col("title").alias("src_title"))
     t = pages.select(F.col("page_id").alias("dst_id"), F.col("namespace").alias("dst_namespace"), F.col("title").alias("dst_title"))
     return e.join(s, "src_id").join(t, "dst_id").select("src_id", "src_title", "dst_id", "dst_namespace", "dst_title").orderBy("src_id", "dst_namespace", "dst_title")
@@ -217,12 +248,12 @@ def page_by_title(spark, sf_dir):
 
 @query(GRAPH + " SELECT page_id, replace(title, '_', ' ') AS title FROM pruned WHERE page_id = 21")
 def title_by_id(spark, sf_dir):
-    return graph(spark, sf_dir).pages.filter("page_id = 21").select("page_id", readable(F.col("title")).alias("title"))
+    return graph(spark, sf_dir).pages_with(rows(spark, [(21,)], "page_id long")).filter("page_id = 21").select("page_id", readable(F.col("title")).alias("title"))
 
 
 @query(GRAPH + " SELECT page_id FROM pruned WHERE namespace = 0 AND title = 'Item_10'")
 def page_id_exact(spark, sf_dir):
-    return graph(spark, sf_dir).pages.filter((F.col("namespace") == 0) & (F.col("title") == "Item_10")).select("page_id").limit(1)
+    return graph(spark, sf_dir).by_title("Item_10").filter(F.col("title") == "Item_10").select("page_id").limit(1)
 
 
 _ASKED = ["Item_10", "ITEM 10", "item_10", "item_1", "ITEM_21", "item_16", "ITEM_3", "No such page", "Item_6"]
@@ -302,18 +333,23 @@ def _nested(expr: str, steps: list[tuple[str, str]]) -> str:
     return expr
 
 
-@query("WITH t AS (SELECT unnest([" + ", ".join("'" + t.replace("'", "''") + "'" for t in _ODD) + "]) AS title), "
-       "s AS (SELECT title, " + _nested("trim(title)", [("\\", "\\\\"), ("'", "\\'"), ('"', '\\"'), (" ", "_")]) + " AS stored FROM t) "
-       "SELECT title, stored, " + _nested("stored", [("_", " "), ('\\"', '"'), ("\\'", "'"), ("\\\\", "\\")]) + " AS shown FROM s")
+@query(f"WITH {V.SQL}, odd AS (SELECT unnest([" + ", ".join("'" + t.replace("'", "''") + "'" for t in _ODD) + f"]) AS o, unnest(range({len(_ODD)})) AS k), "
+       f"t AS (SELECT page_id, o || title AS title FROM v_pages JOIN odd ON page_id % {len(_ODD)} = k), "
+       "s AS (SELECT *, " + _nested("trim(title)", [("\\", "\\\\"), ("'", "\\'"), ('"', '\\"'), (" ", "_")]) + " AS stored FROM t) "
+       "SELECT page_id, title, stored, " + _nested("stored", [("_", " "), ('\\"', '"'), ("\\'", "'"), ("\\\\", "\\")]) + " AS shown FROM s")
 def title_roundtrip(spark, sf_dir):
-    titles = rows(spark, [(t,) for t in _ODD], "title string")
+    """Titles of pages behind odd beginnings, stored and shown again."""
+    begins = F.element_at(F.array(*map(F.lit, _ODD)), (F.col("page_id") % len(_ODD) + 1).cast("int"))
+    titles = V.pages(spark, sf_dir).select("page_id", F.concat(begins, "title").alias("title"))
     return titles.withColumn("stored", sanitize(F.col("title"))).withColumn("shown", readable(F.col("stored")))
 
 
-@query("SELECT ids, CAST(len(list_filter(string_split(ids, '|'), lambda x: x <> '')) AS BIGINT) AS n FROM (SELECT unnest(['1|2|33', '', '7']) AS ids)")
+@query(GRAPH + " SELECT pl_from AS page_id, string_agg(CAST(pl_target_id AS VARCHAR), '|' ORDER BY pl_target_id) AS ids, count(*) AS n FROM v_links_raw GROUP BY pl_from UNION ALL SELECT -1, '', 0")
 def id_text_roundtrip(spark, sf_dir):
-    texts = rows(spark, [("1|2|33",), ("",), ("7",)], "ids string").withColumn("a", decode_ids(F.col("ids")))
-    return texts.select(encode_ids(F.col("a")).alias("ids"), F.size("a").cast("long").alias("n"))
+    """The raw links of each page as text, decoded and encoded again, and a page without any."""
+    lists = V.links_raw(spark, sf_dir).groupBy(F.col("pl_from").alias("page_id")).agg(encode_ids(F.sort_array(F.collect_list("pl_target_id"))).alias("text"))
+    texts = lists.unionByName(rows(spark, [(-1, "")], "page_id long,text string")).withColumn("a", decode_ids(F.col("text")))
+    return texts.select("page_id", encode_ids(F.col("a")).alias("ids"), F.size("a").cast("long").alias("n"))
 
 
 @query(GRAPH + ",\n" + levels_sql("f", "SELECT 1 AS query_id, 1 AS node") + " SELECT query_id, node, level FROM f")
@@ -335,6 +371,16 @@ def shortest_path_length(spark, sf_dir):
     return P.path_lengths(graph(spark, sf_dir).edges, _pairs(spark))
 
 
+@query(_REACHED + " SELECT p.query_id, f.level AS length, true AS connected, CAST(1 AS BIGINT) AS paths FROM pairs p JOIN f ON f.query_id = p.query_id AND f.node = p.dst_id")
+def single_shortest_paths(spark, sf_dir):
+    """One path a pair, with whether it is a path, and how many there are."""
+    edges = graph(spark, sf_dir).edges
+    found = P.connected(P.single_paths(edges, _pairs(spark)), edges)
+    ends = _pairs(spark).join(found, "query_id")
+    whole = F.col("connected") & (F.element_at("path", 1) == F.col("src_id")) & (F.element_at("path", -1) == F.col("dst_id"))
+    return ends.groupBy("query_id").agg(F.max("length").alias("length"), F.bool_and(whole).alias("connected"), F.count("*").alias("paths"))
+
+
 _BACK = """,
 trail AS (
   SELECT p.query_id, f.node, f.level, f.level AS length, CAST(f.node AS VARCHAR) AS path FROM pairs p JOIN f ON f.query_id = p.query_id AND f.node = p.dst_id
@@ -380,7 +426,7 @@ def solved_tasks(spark, sf_dir):
 
 @query(GRAPH + " SELECT count(DISTINCT src_id) AS with_outgoing, count(DISTINCT dst_id) AS with_incoming, count(*) AS links FROM edges")
 def coverage_stats(spark, sf_dir):
-    return coverage(clean_edges(spark, sf_dir))
+    return coverage(graph(spark, sf_dir).edges)
 
 
 @query(f"WITH {V.SQL} SELECT lower(title) AS folded, count(*) AS n FROM v_pages GROUP BY 1")

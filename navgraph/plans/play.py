@@ -12,10 +12,9 @@ from navgraph.operators import games as G
 from navgraph.operators import race as R
 from navgraph.operators import ratings as B
 from navgraph.operators import tasks as T
-from navgraph.operators.links import degrees
 from navgraph.plans.graph import _DEGREES, GRAPH, graph, levels_sql, rows
 from navgraph.plans.registry import query
-from navgraph.session import materialize, shared_dir
+from navgraph.session import shared_dir
 from navgraph.sources import dumps as D
 from navgraph.sources import views as V
 
@@ -121,16 +120,19 @@ SELECT c.game_id, CASE WHEN f.game_id IS NULL THEN 0 WHEN f.fate IS NULL THEN f.
 FROM configs c LEFT JOIN firsts f ON f.game_id = c.game_id AND f.n = 1"""
 
 
-@query(VIEWS + _ATTEMPTS)
-def game_outcomes(spark, sf_dir):
-    """Games replayed from moves with made-up failures: some turns fail once, some twice, some for good."""
+def attempts(spark, sf_dir):
+    """Attempts and configs of games that are replayed from moves, with made-up failures: some turns fail once, some twice, some for good."""
     moves, s = V.moves(spark, sf_dir), F.col("step")
     error = F.when(s % 7 == 3, "model_invalid_link").when(s % 11 == 9, "provider_error")
     first = moves.select("game_id", s.alias("turn"), F.lit(1).alias("attempt"), F.when(error.isNull(), F.col("to_page_title")).alias("to_page_title"), error.alias("error"))
     again = F.when(s % 14 == 10, "model_invalid_link")
     second = moves.filter(s % 7 == 3).select("game_id", s.alias("turn"), F.lit(2).alias("attempt"), F.when(again.isNull(), F.col("to_page_title")).alias("to_page_title"), again.alias("error"))
-    configs = V.games(spark, sf_dir).withColumn("max_steps", F.when(F.col("game_id").endswith("5"), 4).otherwise(10))
-    return G.outcomes(first.unionByName(second), configs)
+    return first.unionByName(second), V.games(spark, sf_dir).withColumn("max_steps", F.when(F.col("game_id").endswith("5"), 4).otherwise(10))
+
+
+@query(VIEWS + _ATTEMPTS)
+def game_outcomes(spark, sf_dir):
+    return G.outcomes(*attempts(spark, sf_dir))
 
 
 _SUMMARY = """count(*) AS total, count(*) FILTER (status = 'won') AS successes, round(count(*) FILTER (status = 'won') / count(*), 6) AS success_rate,
@@ -238,11 +240,13 @@ def _states(spark, sf_dir):
 
 def _known(spark, sf_dir):
     store = graph(spark, sf_dir)
-    return R.distances(store.edges, store.pages, V.games(spark, sf_dir).select("target_page_title"))
+    return R.distances(store.incoming, store.pages, V.games(spark, sf_dir).select("target_page_title"))
 
 
 def _seen(spark, sf_dir):
-    return R.with_distance(_states(spark, sf_dir), _known(spark, sf_dir))
+    """Page states with distances, which are looked up for the pairs of page and target that the states have."""
+    store, states = graph(spark, sf_dir), _states(spark, sf_dir)
+    return R.with_distance(states, R.distances_in_use(store.incoming, store.pages, states))
 
 
 @query(VIEWS + _STATES + " SELECT task_id, game_id, move_index, page_title FROM states")
@@ -381,13 +385,17 @@ def connection_rollup(spark, sf_dir):
     return G.connection_rollup(G.latest(V.events(spark, sf_dir), "ts").select((F.col("game_id") % 20).alias("task_id"), state.alias("state")))
 
 
-_ODD_TITLES = ["Item_1", "", "   ", "Category:Birds", "category:Birds", "Draft:New", "User talk:Someone", "Tag:x", "Portal", None]
+_TURNS = ["", "Category:", "category:", "Draft:", "User talk:", "Tag:", "Portal"]
 
 
-@query("SELECT title, coalesce(trim(title) <> '' AND NOT (" + " OR ".join(f"starts_with(title, '{p}')" for p in EXCLUDED_PREFIXES)
-       + "), false) AS usable FROM (SELECT unnest([" + ", ".join("NULL" if t is None else f"'{t}'" for t in _ODD_TITLES) + "]) AS title)")
+@query(VIEWS + f""", t AS (SELECT page_id, CASE page_id % 10 WHEN 7 THEN '' WHEN 8 THEN '   ' WHEN 9 THEN NULL ELSE [{", ".join(f"'{p}'" for p in _TURNS)}][page_id % 10 + 1] || title END AS title FROM v_pages)
+SELECT page_id, coalesce(trim(title) <> '' AND NOT ({" OR ".join(f"starts_with(title, '{p}')" for p in EXCLUDED_PREFIXES)}), false) AS usable FROM t""")
 def valid_titles(spark, sf_dir):
-    return rows(spark, [(t,) for t in _ODD_TITLES], "title string").select("title", usable(F.col("title")).alias("usable"))
+    """Titles of pages, most of them put into some namespace by a prefix, some of them blank or missing."""
+    turn = F.col("page_id") % 10
+    prefix = F.element_at(F.array(*map(F.lit, _TURNS)), (turn + 1).cast("int"))
+    title = F.when(turn == 7, "").when(turn == 8, "   ").when(turn < 7, F.concat(F.when(turn < 7, prefix), "title"))
+    return V.pages(spark, sf_dir).select("page_id", usable(title).alias("usable"))
 
 
 @query(GRAPH + f""", {_DEGREES}, c AS (
@@ -397,11 +405,7 @@ s AS (SELECT title FROM k WHERE o > 0 ORDER BY n LIMIT 1)
 SELECT s.title AS start_page_title, (SELECT k.title FROM k WHERE i > 0 AND k.title <> (SELECT title FROM s) ORDER BY n LIMIT 1) AS target_page_title FROM s""")
 def random_task(spark, sf_dir):
     store = graph(spark, sf_dir)
-    return T.random_task(store.pages, _degrees(store), 7)
-
-
-def _degrees(store):
-    return materialize(degrees(store.edges), "degrees")
+    return T.random_task(store.pages, store.degrees, 7)
 
 
 _PAIRS = [("Item_1", "Item_2"), ("Item_3", "Item_3"), ("Nowhere", "Item_1"), ("Item_1", "Nowhere"), ("ITEM_3", "Item_7")]
@@ -413,7 +417,7 @@ SELECT a.start, a.target, CASE WHEN a.start = a.target THEN 'same_page' WHEN s.t
 FROM asked a LEFT JOIN k s ON s.title = a.start LEFT JOIN k t ON t.title = a.target""")
 def valid_task_pairs(spark, sf_dir):
     store = graph(spark, sf_dir)
-    return T.check_pairs(rows(spark, _PAIRS, "start string,target string"), store.pages, _degrees(store))
+    return T.check_pairs(rows(spark, _PAIRS, "start string,target string"), store.pages, store.degrees)
 
 
 #: A catalogue made of customers: segment as provider, name, and prices from the balance.

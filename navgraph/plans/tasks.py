@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 from navgraph.operators import games as G
 from navgraph.operators import sessions as S
 from navgraph.operators import tasks as T
-from navgraph.operators.links import degrees
-from navgraph.plans.graph import _DEGREES, GRAPH, clean_edges, graph, resolved, rows
+from navgraph.operators.snapshots import Snapshots
+from navgraph.operators.store import pick_link
+from navgraph.plans.graph import _DEGREES, GRAPH, graph, resolved, rows
 from navgraph.plans.play import _MODELS, _NODES, _SEEN, VIEWS, _models, _nodes, _seen
 from navgraph.plans.registry import query
 from navgraph.session import numbered, shared_dir
 from navgraph.sources import dumps as D
 from navgraph.sources import views as V
+from navgraph.sources.tables import Commits
 
 _NOBODY = "nobody/none"
 
@@ -76,13 +78,13 @@ def system_prompts(spark, sf_dir):
     return games.select("game_id", S.system_prompt(F.lit(_TEMPLATE), F.col("start_page_title"), F.col("target_page_title")).alias("prompt"))
 
 
-_OUT = """, lists AS (SELECT s.title, list(t.title ORDER BY t.title) AS links FROM edges e JOIN pruned s ON s.page_id = e.src_id JOIN pruned t ON t.page_id = e.dst_id WHERE e.src_id <= 40 GROUP BY s.title)"""
+_OUT = """, lists AS (SELECT s.title, list(t.title ORDER BY t.title) AS links FROM edges e JOIN pruned s ON s.page_id = e.src_id JOIN pruned t ON t.page_id = e.dst_id GROUP BY s.title)"""
 
 
 def _lists(spark, sf_dir):
     store = graph(spark, sf_dir)
     named = store.pages.select("page_id", "title")
-    near = store.edges.filter("src_id <= 40").join(named.withColumnRenamed("page_id", "src_id"), "src_id").join(named.select(F.col("page_id").alias("dst_id"), F.col("title").alias("link")), "dst_id")
+    near = store.edges.join(named.withColumnRenamed("page_id", "src_id"), "src_id").join(named.select(F.col("page_id").alias("dst_id"), F.col("title").alias("link")), "dst_id")
     return near.groupBy("title").agg(F.sort_array(F.collect_list("link")).alias("links"))
 
 
@@ -97,6 +99,34 @@ def link_pages(spark, sf_dir):
     return _lists(spark, sf_dir).select("title", S.link_page(F.col("title"), F.col("links")).alias("page"))
 
 
+@query(GRAPH + _OUT + """, every AS (SELECT DISTINCT p.title, coalesce(links, []) AS links FROM pruned p LEFT JOIN lists l ON l.title = p.title)
+SELECT title, links[CAST('0x' || substr(md5('13|' || title || '|1'), 1, 8) AS BIGINT) % greatest(len(links), 1) + 1] AS page, CASE WHEN len(links) = 0 THEN 'model_no_tool_call' END AS error FROM every""")
+def random_moves(spark, sf_dir):
+    """What the random player does on each page in its first turn: a link by chance, or no call where there is none."""
+    pages = graph(spark, sf_dir).pages.select("title").distinct().join(_lists(spark, sf_dir), "title", "left")
+    links = F.coalesce("links", F.array().cast("array<string>"))
+    return pages.select("title", pick_link(links, 13, F.col("title"), F.lit("1")).alias("page"), F.when(F.size(links) == 0, "model_no_tool_call").alias("error"))
+
+
+@query(VIEWS + f""", r AS (SELECT game_id, data AS page_title, CAST(floor(value) AS BIGINT) AS length, ts, event_id FROM v_events WHERE type = 'shortest_paths_found' AND game_id IS NOT NULL),
+ends AS (SELECT game_id, max(ts) AS e FROM v_events WHERE type = 'game_ended' GROUP BY 1),
+held AS (SELECT r.*, row_number() OVER (PARTITION BY r.game_id, page_title ORDER BY ts DESC, event_id DESC) AS n FROM r LEFT JOIN ends USING (game_id) WHERE e IS NULL OR ts > e)
+SELECT game_id, page_title, length, event_id FROM held WHERE n = 1""")
+def replayed_results(spark, sf_dir):
+    """The solver results that hold at the end, by snapshots on two days: a viewer who left after the first gets what has changed since."""
+    kinds = F.col("type").isin("shortest_paths_found", "game_ended")
+    end = F.col("type") == "game_ended"
+    rows_ = V.events(spark, sf_dir).filter(kinds & F.col("game_id").isNotNull()).select(
+        "game_id", F.when(~end, F.col("data")).alias("page_title"), F.when(~end, F.floor("value")).alias("length"), F.when(~end, F.array("data")).alias("paths"), F.col("ts").alias("at"), "event_id", end.alias("ended")
+    )
+    shots = Snapshots(Commits(spark, f"{shared_dir(spark)}/navgraph/results-{uuid.uuid4().hex}"))
+    first, last = rows_.agg((F.min("at") + (F.max("at") - F.min("at")) / 2), F.max("at")).first()
+    left = shots.advance(rows_, first)
+    seen = shots.state(left)
+    shots.advance(rows_, last)
+    return shots.caught_up(seen, left).select("game_id", "page_title", "length", "event_id")
+
+
 @query(VIEWS + """ SELECT game_id, pos, concat_ws(',', CASE WHEN input_tokens IS NULL THEN 'page' END, CASE WHEN length(content) % 2 = 0 THEN 'reason' END) AS missing FROM v_messages""")
 def missing_arguments(spark, sf_dir):
     """A message names a page if it has metrics, and a reason if its length is odd."""
@@ -186,15 +216,43 @@ def distance_rings(spark, sf_dir):
     return found.select("task_id", F.col("max_distance").cast("long").alias("max_distance"), F.array_join(F.col("rings").cast("array<string>"), ",").alias("rings"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(map(str, S.SUBSCRIPTIONS)) + ") AS s(topic, handler)")
-def subscriptions(spark, sf_dir):
-    return rows(spark, list(S.SUBSCRIPTIONS), "topic string,handler string")
+_KINDS = list(S.STRATEGIES)
 
 
-@query("SELECT * FROM (VALUES ('random', 'Randomly selected from en Wikipedia', NULL, NULL), ('custom', 'User-specified task with validation and random fallback', 'Item_1', 'random')) AS s(strategy, description, start_page, target_page)")
+@query(VIEWS + f""", asked AS (SELECT game_id, [{", ".join(f"'{k}'" for k in _KINDS)}][CAST(substr(game_id, 2) AS BIGINT) % {len(_KINDS)} + 1] AS strategy,
+  CASE WHEN steps % 2 = 0 THEN start_page_title ELSE ' ' END AS s, CASE WHEN steps % 3 = 0 THEN target_page_title END AS t FROM v_games)
+SELECT game_id, strategy, CASE strategy WHEN 'random' THEN 'Randomly selected from en Wikipedia' WHEN 'custom' THEN 'User-specified task with validation and random fallback' END AS description,
+  CASE WHEN strategy = 'custom' THEN CASE WHEN s <> ' ' THEN s ELSE 'random' END END AS start_page, CASE WHEN strategy = 'custom' THEN coalesce(t, 'random') END AS target_page FROM asked""")
 def strategies(spark, sf_dir):
-    found = [S.strategy_info("random"), S.strategy_info("custom", start="Item_1"), *map(S.strategy_info, ("ranked", "themed", "campaign", "tournament"))]
-    return rows(spark, [tuple(i.get(k) for k in ("strategy", "description", "start_page", "target_page")) for i in found if i], "strategy string,description string,start_page string,target_page string")
+    """What is told of the strategy of each game, which takes its turn among all; pages are given to some."""
+    games = V.games(spark, sf_dir)
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.substring("game_id", 2, 20).cast("long") % len(_KINDS) + 1).cast("int"))
+    start, target = F.when(F.col("steps") % 2 == 0, F.col("start_page_title")).otherwise(" "), F.when(F.col("steps") % 3 == 0, F.col("target_page_title"))
+    asked = games.select("game_id", kind.alias("strategy"), start.alias("s"), target.alias("t"))
+    return asked.select("game_id", "strategy", *S.strategy_columns(F.col("strategy"), F.lit("en"), F.col("s"), F.col("t")))
+
+
+_ASKED_TASKS = VIEWS + f""", asked AS (
+  SELECT start_page_title AS s, target_page_title AS t, list_sort(list_distinct(list(model_id))) AS models, CAST(regexp_extract(start_page_title, '[0-9]+') AS BIGINT) AS k FROM v_games GROUP BY 1, 2),
+made AS (SELECT s, t, k, models FROM asked WHERE k % 7 <> 3 AND k % 11 <> 5)"""
+
+
+@query(_ASKED_TASKS + """ SELECT s || '__to__' || t AS task_id, CAST(len(models) AS BIGINT) AS games, array_to_string(models, ',') AS models, CAST(1 AS BIGINT) AS selected, CAST(len(models) AS BIGINT) AS told FROM made""")
+def committed_tasks(spark, sf_dir):
+    """Each task of the games as a request, some of them with a page or a model that isn't known, committed in two parts and read again."""
+    games, key = V.games(spark, sf_dir), F.regexp_extract("start", "[0-9]+", 0).cast("long")
+    asked = games.groupBy(F.col("start_page_title").alias("start"), F.col("target_page_title").alias("target")).agg(F.sort_array(F.collect_set("model_id")).alias("model_ids"))
+    asked = asked.withColumns({"request_id": key, "model_ids": F.when(key % 7 == 3, F.concat("model_ids", F.array(F.lit(_NOBODY)))).otherwise(F.col("model_ids"))})
+    asked = asked.withColumn("start", F.when(key % 11 == 5, F.lit("Nowhere")).otherwise(F.col("start")))
+    models = games.select(F.col("model_id").alias("id")).distinct()
+    commits = Commits(spark, f"{shared_dir(spark)}/navgraph/tasks-{uuid.uuid4().hex}")
+    for half in (0, 1):
+        S.commit_tasks(commits, asked.filter(F.col("request_id") % 2 == half), V.pages(spark, sf_dir), models, F.lit("2024-01-02 03:04:05").cast("timestamp_ntz"))
+    version = commits.version()
+    games = commits.read("games", version).groupBy("task_id").agg(F.countDistinct("game_id").alias("games"), F.array_join(F.sort_array(F.collect_list("model_id")), ",").alias("models"))
+    told = F.size(F.from_json("data", "game_ids array<string>")["game_ids"])
+    events = commits.read("events", version).groupBy(F.col("game_id").alias("task_id")).agg(F.count_if(F.col("type") == "task_selected").alias("selected"), F.sum(told).cast("long").alias("told"))
+    return commits.read("tasks", version).select("task_id").join(games, "task_id").join(events, "task_id")
 
 
 @query(GRAPH + " SELECT source_id, target_id, row_number() OVER (ORDER BY source_id) AS pos FROM resolved")
@@ -206,7 +264,7 @@ def sorted_redirects(spark, sf_dir):
 @query(GRAPH + " SELECT src_id AS page_id, string_agg(CAST(dst_id AS VARCHAR), '|' ORDER BY CAST(dst_id AS VARCHAR)) AS ids FROM edges GROUP BY 1")
 def grouped_out_by_text(spark, sf_dir):
     """The links of each page as a sort by whole lines leaves them: in the order of their digits."""
-    return clean_edges(spark, sf_dir).groupBy(F.col("src_id").alias("page_id")).agg(F.array_join(F.sort_array(F.collect_list(F.col("dst_id").cast("string"))), "|").alias("ids"))
+    return graph(spark, sf_dir).edges.groupBy(F.col("src_id").alias("page_id")).agg(F.array_join(F.sort_array(F.collect_list(F.col("dst_id").cast("string"))), "|").alias("ids"))
 
 
 @query(VIEWS + " SELECT DISTINCT title, replace(url_encode(replace(title, '_', ' ')), '+', '%20') AS encoded FROM v_pages")
@@ -222,7 +280,7 @@ WHERE EXISTS (SELECT 1 FROM pruned p JOIN degrees d ON d.page_id = p.page_id WHE
 def filled_task(spark, sf_dir):
     """A task of a given target and a start that is filled in."""
     store = graph(spark, sf_dir)
-    return T.custom_task(store.pages, degrees(store.edges), 11, target="Item_10")
+    return T.custom_task(store.pages, store.degrees, 11, target="Item_10")
 
 
 @query(VIEWS + " SELECT game_id, status, CAST(steps AS BIGINT) AS steps, start_page_title AS start_page, max_steps FROM v_games WHERE status IN ('won', 'lost_max_steps')")

@@ -6,7 +6,6 @@ import gc
 import tempfile
 import time
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -63,30 +62,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return kept
 
 
-def fingerprint(spark: SparkSession, paths: list[str]) -> str:
-    """A hash of the names, sizes and times of the files at ``paths``, which change when the data do; their contents aren't read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
-    each = F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")  # summed, as the order of files means nothing
-    return files.agg(F.md5(F.concat_ws(" ", F.count("*").cast("string"), F.sum(each).cast("string")))).first()[0]
-
-
-def stored(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table ``name`` of the shared folder; if it isn't there as a whole, it is built and written first.
-
-    It is written beside its place and then moved there, so no other job sees a
-    part of it; of two that build it at once the first one's stays.
-    """
-    path, jvm = f"{shared_dir(spark)}/navgraph/{name}", spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")):
-        made = f"{path}-{uuid.uuid4().hex}"
-        build().write.parquet(made)
-        if fs.exists(place) or not fs.rename(jvm.org.apache.hadoop.fs.Path(made), place):
-            fs.delete(jvm.org.apache.hadoop.fs.Path(made), True)
-    return spark.read.parquet(path)
-
-
 def discard(*tables: DataFrame) -> None:
     """Delete materialized tables that nothing reads any more: what was made of them is written itself."""
     for table in tables:

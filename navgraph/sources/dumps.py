@@ -30,6 +30,14 @@ DUMP_TABLES = {t.name: t for t in (PAGE, PAGELINKS, REDIRECT, LINKTARGET)}
 TUPLE = r"\(((?:[^'()]|'(?:[^'\\]|\\.)*')*)\)"
 
 
+def _tuples(lines: DataFrame, table: DumpTable, compat: bool) -> DataFrame:
+    head = rf"^INSERT INTO `{table.name}` VALUES (.+);$"
+    payload = lines.select(F.regexp_extract("value", head, 1).alias("p")).filter("p <> ''")
+    if compat:
+        return payload.select(F.explode(F.split(F.regexp_replace("p", r"^\(|\)$", ""), r"\),\(")).alias("r"))
+    return payload.select(F.explode(F.regexp_extract_all("p", F.lit(TUPLE), F.lit(1))).alias("r"))
+
+
 def parse_inserts(lines: DataFrame, table: DumpTable, compat: bool = False) -> DataFrame:
     """The records of INSERT lines (column ``value``); other lines, and tuples that aren't records, are skipped.
 
@@ -37,23 +45,42 @@ def parse_inserts(lines: DataFrame, table: DumpTable, compat: bool = False) -> D
     loses its record, as the format's customary reader does; else tuples are
     taken apart with regard to quotes.
     """
-    head = rf"^INSERT INTO `{table.name}` VALUES (.+);$"
-    payload = lines.select(F.regexp_extract("value", head, 1).alias("p")).filter("p <> ''")
-    if compat:
-        bare = F.regexp_replace("p", r"^\(|\)$", "")
-        tuples = payload.select(F.explode(F.split(bare, r"\),\(")).alias("r"))
-    else:
-        tuples = payload.select(F.explode(F.regexp_extract_all("p", F.lit(TUPLE), F.lit(1))).alias("r"))
-    found = tuples.filter(F.col("r").rlike(table.record))
+    found = _tuples(lines, table, compat).filter(F.col("r").rlike(table.record))
     return found.select(*[F.regexp_extract("r", table.record, k).cast(kind).alias(c) for k, (c, kind) in enumerate(table.columns, 1)])
 
 
-def read_dump(spark: SparkSession, path: str, name: str, compat: bool = False) -> DataFrame:
-    return parse_inserts(spark.read.text(path), DUMP_TABLES[name], compat)
+def read_dump(spark: SparkSession, path: str, name: str, compat: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The records of dump files (compressed or not) and the tuples and lines that aren't any, but for blank lines and those that begin with ``--``.
+
+    Spark deals the byte ranges of uncompressed files to tasks and stitches the
+    lines that are cut; dumps have lines of about a megabyte, so a line is the
+    unit of work and no tuple is ever cut.
+    """
+    table, lines = DUMP_TABLES[name], spark.read.text(path)
+    head = rf"^INSERT INTO `{table.name}` VALUES (.+);$"
+    strange = lines.filter(~F.col("value").rlike(head) & ~F.col("value").rlike(r"^(\s*|--.*)$"))
+    tuples = _tuples(lines, table, compat).filter(~F.col("r").rlike(table.record)).select(F.col("r").alias("value"))
+    return parse_inserts(lines, table, compat), strange.unionByName(tuples)
 
 
-def read_tsv(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """Typed rows of tab-separated files without header, and the lines that have too few or unfit fields; further fields are ignored."""
+def quoted(column: str) -> Column:
+    """A text as it stands in a dump: in quotes, with backslashes before quotes and backslashes."""
+    return F.concat(F.lit("'"), F.replace(F.replace(F.col(column), F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'"))
+
+
+def write_dump(values: DataFrame, table: DumpTable, path: str, tuples_a_line: int = 1000) -> None:
+    """Write rows (columns as they stand in the dump, in their order) as INSERT lines of at most so many tuples."""
+    names = [f"c{k}" for k in range(len(values.columns))]
+    record = F.concat(F.lit("("), F.concat_ws(",", *names), F.lit(")"))
+    # The lower bits of the id number the rows of a task.
+    line = F.expr(f"pmod(id, 8589934592) div {tuples_a_line}")
+    rows = values.toDF(*names).select(record.alias("r"), F.monotonically_increasing_id().alias("id")).select("r", F.shiftright("id", 33).alias("task"), line.alias("line"))
+    lines = rows.groupBy("task", "line").agg(F.array_join(F.collect_list("r"), ",").alias("v"))
+    lines.select(F.concat(F.lit(f"INSERT INTO `{table.name}` VALUES "), "v", F.lit(";")).alias("value")).write.text(path)
+
+
+def _fields(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, Column, list[Column]]:
+    """Lines, whether one has all fields and fit ones, and its typed fields."""
     parts = F.split("value", "\t")
     lines = spark.read.text(path).select("value", parts.alias("p"))
     typed = [F.get("p", k).try_cast(f.dataType).alias(f.name) for k, f in enumerate(schema)]
@@ -61,7 +88,19 @@ def read_tsv(spark: SparkSession, path: str, schema: T.StructType) -> tuple[Data
     for k, f in enumerate(schema):
         if not isinstance(f.dataType, T.StringType):
             fit &= F.get("p", k).try_cast(f.dataType).isNotNull()
-    return lines.filter(fit).select(*typed), lines.filter(~F.coalesce(fit, F.lit(False))).select("value")
+    return lines, F.coalesce(fit, F.lit(False)), typed
+
+
+def read_tsv(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """Typed rows of tab-separated files without header, and the lines that have too few or unfit fields; further fields are ignored."""
+    lines, fit, typed = _fields(spark, path, schema)
+    return lines.filter(fit).select(*typed), lines.filter(~fit).select("value")
+
+
+def read_tsv_all(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """As ``read_tsv``, in one table: lines that don't fit are rows of nulls."""
+    lines, fit, typed = _fields(spark, path, schema)
+    return lines.select(*[F.when(fit, c).alias(f.name) for c, f in zip(typed, schema, strict=True)])
 
 
 def write_tsv(df: DataFrame, path: str) -> None:
@@ -110,8 +149,3 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     flat = rows.select("at", "m.id", "m.name", "m.created", *[price(n) for n in ("prompt", "completion", "request", "input_cache_read", "input_cache_write")])
     last = flat.groupBy("id").agg(F.max("at").alias("at"))
     return flat.join(last, ["id", "at"]).drop("at")
-
-
-def insert_line(table: DumpTable, *columns: Column) -> Column:
-    """A record as it stands in an INSERT line; text columns are quoted by the caller."""
-    return F.concat(F.lit(f"INSERT INTO `{table.name}` VALUES ("), F.concat_ws(",", *columns), F.lit(");"))

@@ -75,7 +75,15 @@ def fold_games(stream: DataFrame) -> DataFrame:
 
 
 def drain(result: DataFrame, mode: str, keys: list[str], write: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
-    """Run a stream over all that is there now and return its result table: the last row of each key.
+    """Run a stream over all that is there now and return its result table: the last row of each key."""
+    out = run_through(result, mode, write)
+    others = [c for c in result.columns if c not in keys]
+    last = out.groupBy(*keys).agg(F.max_by(F.struct(*others), "_batch").alias("_last"))
+    return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in others])
+
+
+def run_through(result: DataFrame, mode: str, write: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
+    """Run a stream over all that is there now and return all rows that it gave, with their batch as ``_batch``.
 
     Batches are written under their number in the shared folder, so one that is
     run again replaces itself.
@@ -88,7 +96,4 @@ def drain(result: DataFrame, mode: str, keys: list[str], write: Callable[[DataFr
 
     query = result.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/check").trigger(availableNow=True).foreachBatch(write or put).start()
     query.awaitTermination()
-    out = spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in result.schema)}, _batch int").parquet(f"{base}/out/*")
-    others = [c for c in result.columns if c not in keys]
-    last = out.groupBy(*keys).agg(F.max_by(F.struct(*others), "_batch").alias("_last"))
-    return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in others])
+    return spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in result.schema)}, _batch int").parquet(f"{base}/out/*")

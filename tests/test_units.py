@@ -152,25 +152,6 @@ def test_live_counts_lose_only_what_is_later_than_the_lateness(spark, tmp_path):
     assert [(r.type, r.n) for r in out.collect()] == [("move_completed", 5)]
 
 
-def test_stored_tables_are_reused_until_their_source_changes(spark, tmp_path):
-    from navgraph.session import fingerprint, stored
-
-    source, made = str(tmp_path / "source"), []
-
-    def build():
-        made.append(1)
-        return spark.read.parquet(source)
-
-    spark.range(5).write.parquet(source)
-    first = fingerprint(spark, [source])
-    name = f"test-{tmp_path.name}-{tmp_path.stat().st_ino}-{first}"
-    assert stored(spark, name, build).count() == 5 and stored(spark, name, build).count() == 5 and len(made) == 1
-    spark.range(3).write.mode("append").parquet(source)
-    second = fingerprint(spark, [source])
-    assert second != first and fingerprint(spark, [source]) == second
-    assert stored(spark, f"{name}-{second}", build).count() == 8 and len(made) == 2
-
-
 def test_strategies_and_prompts(spark):
     from navgraph.operators import sessions as S
 
