@@ -6,6 +6,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ BINS = 1024
 #: Rows of a (shard, bucket) that are numbered together, about.
 SLOT_ROWS = 50_000
 DIMENSIONS = ("d_size", "d_lang", "d_source", "d_id")
-#: ``u`` breaks ties along a dimension: 62 bits of a hash of the row.
+#: ``u`` breaks ties along a dimension: 62 bits, the upper half a hash of what a row holds, the lower of where it stands.
 U_BITS = 62
 
 
@@ -33,8 +34,21 @@ class Node:
     kids: list[Node] = field(default_factory=list)
 
 
-def dimensions() -> dict[str, Column]:
+def placed_rows(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """The rows as files hold them, and a hash of a row's file and place there: the one thing in which repeated rows differ. Rows that are in no file are written first."""
+    try:
+        own = docs.metadataColumn("_metadata")
+        docs.select(own["row_index"])
+    except AnalysisException:
+        docs = materialize(docs, "shard-rows")
+        own = docs.metadataColumn("_metadata")
+    return docs, F.xxhash64(own["file_path"], own["row_index"])
+
+
+def dimensions(row: Column | None = None) -> dict[str, Column]:
     """Integer metadata dimensions; text values count by their CRC, nulls as empty or 0."""
+    half = U_BITS // 2
+    part = lambda h: F.shiftrightunsigned(h, 64 - half)
     code = lambda c: F.crc32(F.coalesce(F.col(c), F.lit("")).cast("binary"))
     size = (F.octet_length(text_of()) + F.lit(8)).cast("long")
     crc = F.crc32(text_of().cast("binary"))
@@ -45,7 +59,7 @@ def dimensions() -> dict[str, Column]:
         "d_lang": code("lang"),
         "d_source": code("source"),
         "d_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")),
-        "u": F.shiftrightunsigned(F.xxhash64(F.lit(10), F.col("doc_id"), crc, F.col("source"), F.col("lang")), 64 - U_BITS),
+        "u": F.shiftleft(part(F.xxhash64(F.lit(10), F.col("doc_id"), crc, F.col("source"), F.col("lang"))), half).bitwiseOR(part(F.lit(0).cast("long") if row is None else row)),
     }
 
 
@@ -126,7 +140,7 @@ def fit_tree(rows: DataFrame, leaves: int) -> Node:
                 _narrow(placed, todo, "dim")
         for s in live.values():
             s |= {"dim_lo": s["lo"], "dim_hi": s["hi"], "lo": 0, "hi": 1 << U_BITS, "rows": 2}
-        for k in range(4):
+        for k in range(math.ceil(U_BITS / math.log2(BINS))):
             if todo := {n: s for n, s in live.items() if s["rows"] > 1 or not k}:
                 _narrow(placed, todo, "u")
         following = []
@@ -150,13 +164,15 @@ def shard(docs: DataFrame, keep: Sequence[str], shards: int = 24) -> DataFrame:
 
     The tree is fitted on one slim table of integers in the shared folder and
     applied as an expression, so texts are not shuffled to be placed. A tie
-    along every dimension is cut by a hash of the row; rows equal in id, text,
-    source and language stay together, and one document is never split, so
-    shards differ by about one such unit a level. No rows: no result rows.
+    along every dimension is cut by a hash of the row, and rows equal in id,
+    text, source and language by a hash of where they stand in their file; one
+    document is never split, so shards differ by about one document a level. No
+    rows: no result rows.
 
     Slots follow hash buckets of about ``SLOT_ROWS`` rows, then the order inside.
     """
-    columns = dimensions()
+    docs, row = placed_rows(docs)
+    columns = dimensions(row)
     slim = materialize(docs.select(*[c.alias(k) for k, c in columns.items()]), "shard-keys")
     root = fit_tree(slim, shards)
     buckets = max(16, math.ceil(slim.count() / (SLOT_ROWS * shards)))

@@ -324,6 +324,25 @@ def test_sharding(spark, sf_dir):
     assert len(odd) == len(ODD) and sharding.shard(up(spark, []), ["doc_id"]).count() == 0
 
 
+@pytest.mark.parametrize("kept", [True, False])
+def test_sharding_of_repeated_rows(spark, tmp_path, kept):
+    """3,000 equal rows among 3,000 others: no tie holds them together."""
+    rows = [(5, "the same text again", "en", "a", 1)] * 3000 + [(100 + k, "own text of some kind", "en", "b", 1) for k in range(3000)]
+    docs = up(spark, rows).repartition(6)
+    if kept:
+        docs.write.parquet(str(tmp_path / "docs"))
+        docs = spark.read.parquet(str(tmp_path / "docs"))
+    out = sharding.shard(docs.filter("doc_id > 0").select("doc_id", "text", "lang", "source"), ["doc_id"]).collect()
+    sizes, slots, equal = Counter(), {}, Counter()
+    for r in out:
+        sizes[r.shard] += r["size"]
+        slots.setdefault(r.shard, []).append(r.slot)
+        equal[r.shard] += r.doc.doc_id == 5
+    assert len(out) == 6000 and len(sizes) == 24 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    # Every cut is at most a row off its share: five levels.
+    assert max(sizes.values()) - min(sizes.values()) <= 2 * 5 * 29 and sum(n > 0 for n in equal.values()) >= 12
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
