@@ -9,11 +9,17 @@ from navgraph.session import materialize
 
 
 def redirect_ids(redirects: DataFrame, pages: DataFrame) -> DataFrame:
-    """source_id, target_id: redirect targets by title alone, the page with the greatest id winning; sources must exist."""
-    by_title = pages.groupBy("title").agg(F.max("page_id").alias("target_id"))
-    known = redirects.join(pages.select(F.col("page_id").alias("source_id")), "source_id", "left_semi")
-    found = known.join(by_title, known["target_title"] == by_title["title"]).select("source_id", "target_id")
-    return found.groupBy("source_id").agg(F.max("target_id").alias("target_id"))
+    """source_id, target_id: redirect targets by title alone; sources must exist.
+
+    Of several pages with the title, and of several redirects of a source, the
+    last one counts. Which is last tells the column ``_order``, where it is
+    there (``sources.dumps.in_order``); else the greatest id is.
+    """
+    last = lambda df, key, value: df.groupBy(key).agg((F.max_by(value, "_order") if "_order" in df.columns else F.max(value)).alias("target_id"))
+    by_title = last(pages, "title", "page_id")
+    known = redirects.join(pages.select(F.col("page_id").alias("source_id")).distinct(), "source_id", "left_semi")
+    found = known.join(by_title, known["target_title"] == by_title["title"]).select("source_id", F.col("target_id").alias("found"), *[c for c in ("_order",) if c in redirects.columns])
+    return last(found, "source_id", "found")
 
 
 def resolve_redirects(direct: DataFrame, max_hops: int = 100) -> DataFrame:

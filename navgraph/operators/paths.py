@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from navgraph.session import broadcast_up_to, discard, materialize, numbered
+from navgraph.session import broadcast_up_to, materialize, numbered
 
 #: Frontiers of up to so many rows are sent to the edges; larger ones are joined by a shuffle.
 MAX_BROADCAST_ROWS = 500_000
@@ -39,9 +39,11 @@ def levels(edges: DataFrame, starts: DataFrame, backward: bool = False, max_leve
 
 #: Queries of a word: a search holds a bit for each of them.
 BITS = 64
+#: Words up to which the driver tells a search which of its queries still look for something; else a join does.
+TOLD_WORDS = 64
 
 
-def bit_levels(edges: DataFrame, starts: DataFrame, wanted: DataFrame | None = None, backward: bool = False) -> DataFrame:
+def bit_levels(edges: DataFrame, starts: DataFrame, wanted: DataFrame | None = None, backward: bool = False, ends: DataFrame | None = None) -> DataFrame:
     """query_id, node, level as ``levels`` finds them, by one search for all queries, whose frontier is bits.
 
     Queries are numbered, and 64 of them share a word. A row of the search is a
@@ -53,46 +55,54 @@ def bit_levels(edges: DataFrame, starts: DataFrame, wanted: DataFrame | None = N
     search as soon as all of its wanted nodes are reached, and no row is made
     for another node in the result; nodes that can't be reached are left out, as
     they are where all are asked for. Wanted nodes that no edge leaves (or
-    enters, forward) are known to be out of reach without a search.
+    enters, forward) are known to be out of reach without a search; ``ends`` has
+    the others (node), if it is known beforehand.
     """
     here, there = ("dst_id", "src_id") if backward else ("src_id", "dst_id")
-    word, bit = F.expr(f"(number - 1) div {BITS}"), F.expr(f"shiftleft(1L, CAST((number - 1) % {BITS} AS INT))")
-    numbers = materialize(numbered(starts.select("query_id").distinct(), ["query_id"], "number").select("query_id", "number", word.alias("word"), bit.alias("bit")), "search-queries")
-    few = broadcast_up_to(numbers.select("query_id", "word", "bit"), MAX_BROADCAST_ROWS)
-    bits = lambda df: df.select("query_id", "node").join(few, "query_id").groupBy("node", "word").agg(F.bit_or("bit").alias("bits"))
+    queries = materialize(starts.select("query_id").distinct(), "search-queries")
+    count = queries.count()
+    if count <= MAX_BROADCAST_ROWS:
+        numbers = queries.select("query_id", F.row_number().over(Window.orderBy("query_id")).alias("number"))
+    else:
+        numbers = materialize(numbered(queries, ["query_id"], "number"), "search-numbers")
+    bit = F.expr(f"shiftleft(1L, CAST((number - 1) % {BITS} AS INT))")
+    known = broadcast_up_to(numbers.select("query_id", F.expr(f"CAST((number - 1) div {BITS} AS BIGINT)").alias("word"), bit.alias("bit")), MAX_BROADCAST_ROWS)
+    bits = lambda df: df.select("query_id", "node").join(known, "query_id").groupBy("node", "word").agg(F.bit_or("bit").alias("bits"))
     none = F.lit(0).cast("long")
-    first = bits(starts)
-    state = first.select("node", "word", F.col("bits").alias("seen"), F.col("bits").alias("fresh"), none.alias("want"))
+    state = bits(starts).select("node", "word", F.col("bits").alias("seen"), F.col("bits").alias("fresh"), none.alias("want"))
     if wanted is not None:
-        ends = edges.select(F.col(there).alias("node")).distinct().unionByName(starts.select("node"))
-        asked = bits(wanted.select("query_id", "node").distinct().join(ends, "node", "left_semi"))
+        out_of = ends.select("node") if ends is not None else edges.select(F.col(there).alias("node")).distinct()
+        asked = bits(wanted.select("query_id", "node").join(out_of.unionByName(starts.select("node")), "node", "left_semi"))
         state = state.unionByName(asked.select("node", "word", none.alias("seen"), none.alias("fresh"), F.col("bits").alias("want")))
         state = state.groupBy("node", "word").agg(*[F.bit_or(c).alias(c) for c in ("seen", "fresh", "want")])
-    steps, level, found, last = edges.select(F.col(here).alias("node"), F.col(there).alias("next")), 0, [], None
+    steps, level, found = edges.select(F.col(here).alias("node"), F.col(there).alias("next")), 0, []
+    words = -(-count // BITS)
+    told = [f"w{k}" for k in range(words)] if wanted is not None and words <= TOLD_WORDS else []
+    kept = "fresh" if wanted is None else "fresh & want"
     while True:
         news = Observation()
         counts = [F.count_if(F.expr("fresh <> 0")).alias("fresh"), F.count_if(F.expr("want & ~seen <> 0")).alias("missing")]
+        counts += [F.bit_or(F.expr(f"CASE WHEN word = {k} THEN want & ~seen END")).alias(c) for k, c in enumerate(told)]
         state = materialize(state.observe(news, *counts), "search")
-        kept = "fresh" if wanted is None else "fresh & want"
-        found.append(materialize(state.filter(F.expr(f"{kept} <> 0")).select("node", "word", F.expr(kept).alias("bits"), F.lit(level).alias("level")), "search-found"))
-        if last is not None:
-            discard(last)
+        found.append(state.filter(F.expr(f"{kept} <> 0")).select("node", "word", F.expr(kept).alias("bits"), F.lit(level).alias("level")))
         if not news.get["fresh"] or (wanted is not None and not news.get["missing"]):
-            discard(state)
             break
         front = state.filter("fresh <> 0").select("node", "word", "fresh")
-        if wanted is not None:
+        if told:
+            live = F.element_at(F.array(*[F.lit(news.get[c] or 0).cast("long") for c in told]), (F.col("word") + 1).cast("int"))
+            front = front.select("node", "word", F.col("fresh").bitwiseAND(live).alias("fresh")).filter("fresh <> 0")
+        elif wanted is not None:
             live = state.filter("want & ~seen <> 0").groupBy("word").agg(F.bit_or(F.expr("want & ~seen")).alias("live"))
             front = front.join(live, "word").select("node", "word", F.expr("fresh & live").alias("fresh")).filter("fresh <> 0")
         came = front.join(steps, "node").select(F.col("next").alias("node"), "word", F.col("fresh").alias("came"), none.alias("seen"), none.alias("want"))
         both = came.unionByName(state.select("node", "word", none.alias("came"), "seen", "want")).groupBy("node", "word").agg(*[F.bit_or(c).alias(c) for c in ("came", "seen", "want")])
-        last, level = state, level + 1
+        level += 1
         state = both.select("node", "word", F.expr("seen | came").alias("seen"), F.expr("came & ~seen").alias("fresh"), "want")
     rows = found[0]
     for more in found[1:]:
         rows = rows.unionByName(more)
     each = rows.select("node", "level", "word", F.explode(F.expr(f"filter(sequence(0, {BITS - 1}), b -> getbit(bits, b) = 1)")).alias("b"))
-    back = broadcast_up_to(numbers.select("query_id", "number"), MAX_BROADCAST_ROWS)
+    back = broadcast_up_to(numbers.select("query_id", F.col("number").cast("long").alias("number")), MAX_BROADCAST_ROWS)
     return each.select("node", "level", (F.col("word") * BITS + F.col("b") + 1).alias("number")).join(back, "number").select("query_id", "node", "level")
 
 

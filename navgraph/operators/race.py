@@ -29,16 +29,18 @@ def distances(incoming: DataFrame, pages: DataFrame, targets: DataFrame) -> Data
     return named.select(F.col("query_id").alias("target_page_title"), "page_title", F.col("level").cast("long").alias("distance"))
 
 
-def distances_in_use(incoming: DataFrame, pages: DataFrame, pairs: DataFrame) -> DataFrame:
+def distances_in_use(incoming: DataFrame, pages: DataFrame, pairs: DataFrame, degrees: DataFrame | None = None) -> DataFrame:
     """target_page_title, page_title, distance, for those of the given pairs (target_page_title, page_title; repeats count once) whose page reaches the target.
 
     Each distinct pair is solved once. The search of a target ends when its
     last page is reached, and there is a row for pairs in use only, so nothing
-    grows with targets times pages.
+    grows with targets times pages. ``degrees`` (page_id, outgoing_count), if
+    known, tell beforehand which pages lead nowhere.
     """
     named = pages.select(F.col("page_id").alias("node"), F.col("title").alias("page_title"))
     asked = materialize(pairs.select("target_page_title", "page_title").distinct().join(named, "page_title"), "pairs-in-use")
-    found = bit_levels(incoming, _target_nodes(pages, pairs.select("target_page_title")), asked.select(F.col("target_page_title").alias("query_id"), "node"), backward=True)
+    ends = None if degrees is None else degrees.filter("outgoing_count > 0").select(F.col("page_id").alias("node"))
+    found = bit_levels(incoming, _target_nodes(pages, asked.select("target_page_title")), asked.select(F.col("target_page_title").alias("query_id"), "node"), True, ends)
     least = asked.join(found.withColumnRenamed("query_id", "target_page_title"), ["target_page_title", "node"]).groupBy("target_page_title", "page_title").agg(F.min("level").cast("long").alias("distance"))
     return least
 
@@ -85,20 +87,26 @@ def visit_shares(states: DataFrame) -> DataFrame:
     return own.select("task_id", "page_title", "game_id", "visits", (F.col("visits") / total * 100).alias("share"), ((total >= 2) & (games >= 2)).alias("shared"))
 
 
-def nodes(states: DataFrame) -> DataFrame:
+def nodes(states: DataFrame, optimal: DataFrame | None = None) -> DataFrame:
     """task_id, page_title, kind (start, target, visited), visits, distance, radius.
 
     A page that is the target counts as that, then as start. The distance is
-    that of the states; a target's is 0. The radius is 30 for the target, else
-    20 times the root of the visits.
+    that of the states; a target's is 0. The radius is 30 for the target, 15 for
+    pages of ``optimal`` (task_id, page_title: those on shortest paths that are
+    shown), which are nodes (of kind ``optimal``) even if nobody visits them,
+    else 20 times the root of the visits.
     """
     visits = states.groupBy("task_id", "page_title").agg(
         F.count("*").alias("visits"), F.min("distance").alias("distance"), F.max((F.col("move_index") == 0).cast("int")).alias("start"), F.max((F.col("page_title") == F.col("target_page_title")).cast("int")).alias("target")
     )
     targets = states.select("task_id", F.col("target_page_title").alias("page_title")).distinct()
     both = visits.join(targets.withColumn("is_target", F.lit(True)), ["task_id", "page_title"], "full_outer")
-    kind = F.when(F.col("is_target"), "target").when(F.col("start") == 1, "start").otherwise("visited")
-    radius = F.when(F.col("is_target"), 30.0).otherwise(20.0 * F.greatest(F.lit(1.0), F.sqrt("visits")))
+    if optimal is None:
+        both = both.withColumn("is_optimal", F.lit(None).cast("boolean"))
+    else:
+        both = both.join(optimal.select("task_id", "page_title").distinct().withColumn("is_optimal", F.lit(True)), ["task_id", "page_title"], "full_outer")
+    kind = F.when(F.col("is_target"), "target").when(F.col("start") == 1, "start").when(F.col("visits").isNull(), "optimal").otherwise("visited")
+    radius = F.when(F.col("is_target"), 30.0).when(F.col("is_optimal"), 15.0).otherwise(20.0 * F.greatest(F.lit(1.0), F.sqrt("visits")))
     return both.select("task_id", "page_title", kind.alias("kind"), F.coalesce("visits", F.lit(0)).alias("visits"), F.when(F.col("is_target"), F.lit(0)).otherwise(F.col("distance")).alias("distance"), radius.alias("radius"))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,8 +67,3 @@ def leaderboard(games: DataFrame, iterations: int = 20, base: int = 1200) -> Dat
     """model, rating, best first; only models that met another on some task."""
     found = strengths(win_matrix(comparisons(per_task(games))), iterations)
     return elo(found, base).orderBy(F.col("rating").desc(), "model")
-
-
-def elo_floor(base: int = 1200) -> int:
-    """The rating of a model without strength."""
-    return round(base + 400 * math.log10(1e-9))

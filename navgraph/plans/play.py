@@ -14,7 +14,7 @@ from navgraph.operators import ratings as B
 from navgraph.operators import tasks as T
 from navgraph.plans.graph import _DEGREES, GRAPH, graph, levels_sql, rows
 from navgraph.plans.registry import query
-from navgraph.session import shared_dir
+from navgraph.session import materialize, shared_dir
 from navgraph.sources import dumps as D
 from navgraph.sources import views as V
 
@@ -245,8 +245,8 @@ def _known(spark, sf_dir):
 
 def _seen(spark, sf_dir):
     """Page states with distances, which are looked up for the pairs of page and target that the states have."""
-    store, states = graph(spark, sf_dir), _states(spark, sf_dir)
-    return R.with_distance(states, R.distances_in_use(store.incoming, store.pages, states))
+    store, states = graph(spark, sf_dir), materialize(_states(spark, sf_dir), "states")
+    return R.with_distance(states, R.distances_in_use(store.incoming, store.pages, states, store.degrees))
 
 
 @query(VIEWS + _STATES + " SELECT task_id, game_id, move_index, page_title FROM states")

@@ -11,6 +11,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Seconds after which the driver's garbage is collected again.
+COLLECT_EVERY_S = 3
+_collected = 0.0
+
+
 def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A single-machine session for tests and benchmarks."""
     spark = (
@@ -45,18 +50,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, always: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back; lineage ends there.
 
     A lost executor then costs a re-read, not a recomputation, and steps that
     read the table more than once see the same rows. The write's shuffle files
     are of no more use; Spark deletes them when the driver collects its garbage,
-    which is asked for here, as jobs of many steps would else hold them all.
+    which is asked for here, as jobs of many steps would else hold them all, but
+    not again within a few seconds, in which small steps leave little (unless
+    ``always``).
     """
+    global _collected
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/navgraph/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    if always or time.monotonic() - _collected > COLLECT_EVERY_S:
+        spark.sparkContext._jvm.System.gc()
+        _collected = time.monotonic()
     kept = spark.read.schema(df.schema).parquet(path)
     kept.kept_at = path
     return kept

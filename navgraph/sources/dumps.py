@@ -8,6 +8,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from navgraph.sources.tables import list_files
+
+
+def in_order(lines: DataFrame) -> DataFrame:
+    """Lines of files with ``_order``, by which a later line of a file is greater, and all of a file greater than those of files before it by name.
+
+    A split knows its place in its file, and its lines are read one after the
+    other, so nothing is sorted for it.
+    """
+    m = lines.metadataColumn("_metadata")
+    return lines.select("*", F.struct(m["file_path"].alias("file"), m["file_block_start"].alias("at"), F.monotonically_increasing_id().alias("line")).alias("_order"))
+
 
 @dataclass(frozen=True)
 class DumpTable:
@@ -32,10 +44,11 @@ TUPLE = r"\(((?:[^'()]|'(?:[^'\\]|\\.)*')*)\)"
 
 def _tuples(lines: DataFrame, table: DumpTable, compat: bool) -> DataFrame:
     head = rf"^INSERT INTO `{table.name}` VALUES (.+);$"
-    payload = lines.select(F.regexp_extract("value", head, 1).alias("p")).filter("p <> ''")
-    if compat:
-        return payload.select(F.explode(F.split(F.regexp_replace("p", r"^\(|\)$", ""), r"\),\(")).alias("r"))
-    return payload.select(F.explode(F.regexp_extract_all("p", F.lit(TUPLE), F.lit(1))).alias("r"))
+    order = [c for c in lines.columns if c == "_order"]
+    payload = lines.select(F.regexp_extract("value", head, 1).alias("p"), *order).filter("p <> ''")
+    parts = F.split(F.regexp_replace("p", r"^\(|\)$", ""), r"\),\(") if compat else F.regexp_extract_all("p", F.lit(TUPLE), F.lit(1))
+    each = payload.select(F.posexplode(parts).alias("nth", "r"), *order)
+    return each.select("r", *[F.struct(F.col(f"{c}.*"), "nth").alias(c) for c in order])
 
 
 def parse_inserts(lines: DataFrame, table: DumpTable, compat: bool = False) -> DataFrame:
@@ -46,21 +59,23 @@ def parse_inserts(lines: DataFrame, table: DumpTable, compat: bool = False) -> D
     taken apart with regard to quotes.
     """
     found = _tuples(lines, table, compat).filter(F.col("r").rlike(table.record))
-    return found.select(*[F.regexp_extract("r", table.record, k).cast(kind).alias(c) for k, (c, kind) in enumerate(table.columns, 1)])
+    return found.select(*[F.regexp_extract("r", table.record, k).cast(kind).alias(c) for k, (c, kind) in enumerate(table.columns, 1)], *[c for c in found.columns if c == "_order"])
 
 
-def read_dump(spark: SparkSession, path: str, name: str, compat: bool = False) -> tuple[DataFrame, DataFrame]:
+def read_dump(spark: SparkSession, path: str, name: str, compat: bool = False, ordered: bool = False) -> tuple[DataFrame, DataFrame]:
     """The records of dump files (compressed or not) and the tuples and lines that aren't any, but for blank lines and those that begin with ``--``.
 
     Spark deals the byte ranges of uncompressed files to tasks and stitches the
     lines that are cut; dumps have lines of about a megabyte, so a line is the
-    unit of work and no tuple is ever cut.
+    unit of work and no tuple is ever cut. ``ordered`` adds ``_order``, the
+    place of each record in its file.
     """
     table, lines = DUMP_TABLES[name], spark.read.text(path)
+    lines = in_order(lines) if ordered else lines
     head = rf"^INSERT INTO `{table.name}` VALUES (.+);$"
     strange = lines.filter(~F.col("value").rlike(head) & ~F.col("value").rlike(r"^(\s*|--.*)$"))
     tuples = _tuples(lines, table, compat).filter(~F.col("r").rlike(table.record)).select(F.col("r").alias("value"))
-    return parse_inserts(lines, table, compat), strange.unionByName(tuples)
+    return parse_inserts(lines, table, compat), strange.select("value").unionByName(tuples)
 
 
 def quoted(column: str) -> Column:
@@ -114,12 +129,13 @@ GAME = """game_id string, model_id string, config struct<start_page_title:string
   total_input_tokens bigint, total_output_tokens bigint, total_tokens bigint, total_estimated_cost_usd double, total_api_time_ms double, average_response_time_ms double, api_call_count bigint"""
 
 
-def read_games(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Stored games of JSON lines, and the lines that are no valid game (no JSON, or without id, model, config or status)."""
-    lines = spark.read.text(path).filter("trim(value) <> ''")
-    parsed = lines.select("value", F.from_json("value", f"{GAME}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("g"))
+def read_games(spark: SparkSession, path: str, ordered: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Stored games of JSON lines, and the lines that are no valid game (no JSON, or without id, model, config or status); ``ordered`` adds ``_order``, their place in their file."""
+    lines = spark.read.text(path)
+    lines = (in_order(lines) if ordered else lines).filter("trim(value) <> ''")
+    parsed = lines.select("*", F.from_json("value", f"{GAME}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("g"))
     valid = F.col("g._corrupt").isNull() & F.col("g.game_id").isNotNull() & F.col("g.model_id").isNotNull() & F.col("g.config.start_page_title").isNotNull() & F.col("g.config.target_page_title").isNotNull() & F.col("g.status").isNotNull()
-    return parsed.filter(valid).select("g.*").drop("_corrupt"), parsed.filter(~valid).select("value")
+    return parsed.filter(valid).select("g.*", *[c for c in parsed.columns if c == "_order"]).drop("_corrupt"), parsed.filter(~valid).select("value")
 
 
 def append_games(games: DataFrame, path: str) -> None:
@@ -141,11 +157,23 @@ def write_summary(games: DataFrame, path: str) -> None:
     rows.write.mode("append").option("header", True).csv(path)
 
 
-def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """Models of a JSON catalogue ({"data": [..]}): id, name, created and prices for a token; of rows with one id the last counts."""
+#: A model that needs no provider: it chooses links by chance and costs nothing.
+RANDOM_MODEL = ("local/random", "Random", 0, 0.0, 0.0)
+
+
+def read_catalogue(spark: SparkSession, *paths: str, chance: bool = False) -> DataFrame:
+    """Models of a JSON catalogue ({"data": [..]}): id, name, created and prices for a token; of rows with one id the last counts.
+
+    Of several paths the first that exists is read; none: no models. ``chance``
+    adds the random player, unless the catalogue has its id.
+    """
     schema = "data array<struct<id:string,name:string,created:bigint,pricing:struct<prompt:string,completion:string,request:string,input_cache_read:string,input_cache_write:string>>>"
-    rows = spark.read.schema(schema).json(path, multiLine=True).select(F.posexplode("data").alias("at", "m"))
+    there = next((p for p in paths if list_files(spark, p)), None)
+    rows = (spark.read.schema(schema).json(there, multiLine=True) if there else spark.createDataFrame([], schema)).select(F.posexplode("data").alias("at", "m"))
     price = lambda name: F.col(f"m.pricing.{name}").try_cast("double").alias(f"{name}_price")
     flat = rows.select("at", "m.id", "m.name", "m.created", *[price(n) for n in ("prompt", "completion", "request", "input_cache_read", "input_cache_write")])
+    if chance:
+        own = spark.createDataFrame([(-1, *RANDOM_MODEL)], "at int, id string, name string, created bigint, prompt_price double, completion_price double")
+        flat = flat.unionByName(own, allowMissingColumns=True)
     last = flat.groupBy("id").agg(F.max("at").alias("at"))
     return flat.join(last, ["id", "at"]).drop("at")
