@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from navgraph.session import broadcast_up_to, discard, materialize, release, shared_dir
+from navgraph import session
+from navgraph.session import broadcast_up_to, discard, release, shared_dir
 
 __all__ = ["broadcast_up_to", "discard", "documents", "lower_az", "materialize", "release", "row_numbers", "shared_dir", "text_of", "words", "words_of"]
 
+#: Corpus steps leave shuffle files as large as their tables, so each is cleaned up after at once.
+materialize = partial(session.materialize, always=True)
+
 #: Between words: the blank and the ASCII control characters tab to carriage return.
 GAP = r"[\x20\x09-\x0D]+"
 
