@@ -93,7 +93,7 @@ RULES = (
 #: What is believed before any document is seen: the part of good ones, how often a vote is right on good and on bad ones; and
 #: the weight of these beliefs, as so many votes (documents) and as a part of those that there are.
 PRIOR, RIGHT, CAUGHT = 0.85, 0.97, 0.3
-PRIOR_COUNT, PRIOR_PART = 10.0, 0.2
+PRIOR_COUNT, PRIOR_PART = 10.0, 0.05
 
 
 @dataclass
@@ -157,12 +157,14 @@ def judge(docs: DataFrame, keep: Sequence[str], rules: Sequence[Rule] = RULES, t
     column for each rule, quality, base_failed and kept. A document goes if it
     has under ``min_words`` words or over ``max_repeat_percent`` of them lie in
     repeated 3-word windows (base_failed), or if its posterior is under
-    ``threshold``. Null and empty texts have no words, so they go. Rows are
+    ``threshold``. Accuracies are learnt from the documents that the posterior
+    has a say on, those that don't fail by the base: how a rule votes on short
+    junk tells nothing of how it votes among the others. Null and empty texts have no words, so they go. Rows are
     judged one by one: rows that repeat get equal verdicts.
     """
     judged = materialize(features(docs, keep).select("doc", *FEATURES, *[r.vote() for r in rules]), "quality")
-    model = fit(judged, rules)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+    model = fit(judged.filter(~failed), rules)
     out = judged.withColumns({"quality": model.posterior(rules), "base_failed": failed})
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
 

@@ -156,7 +156,9 @@ def test_token_counts(spark, sf_dir, monkeypatch):
         assert counts.filter(~F.col("ended")).isEmpty()
 
 
-def test_separator_scan_against_whole_files(spark, tmp_path):
+@pytest.mark.parametrize("stretch", [1, 3, 4096])
+def test_separator_scan_against_whole_files(spark, tmp_path, monkeypatch, stretch):
+    monkeypatch.setattr(token_counts, "STRETCH", stretch)
     rng = np.random.default_rng(2)
     for k in range(3):
         rng.choice([7, 8, 9, token_counts.SEPARATOR], 500, p=[0.4, 0.3, 0.28, 0.02]).astype("<u2").tofile(tmp_path / f"{k}.bin")
@@ -420,26 +422,44 @@ def test_sharding_against_a_sorted_tree(spark, sf_dir):
 
 def test_quality_by_expectation_maximisation(spark, sf_dir):
     judged = quality.judge(common.documents(spark, sf_dir), ["doc_id"])
-    model = quality.fit(judged, quality.RULES)
+    model = quality.fit(judged.filter("NOT base_failed"), quality.RULES)
     rows = judged.collect()
-    v = np.array([[r[rule.name] for rule in quality.RULES] for r in rows])
+    every = np.array([[r[rule.name] for rule in quality.RULES] for r in rows])
+    v = every[[not r.base_failed for r in rows]]
     share, a, b = quality.PRIOR, np.full(v.shape[1], quality.RIGHT), np.full(v.shape[1], quality.CAUGHT)
 
-    def posterior():
+    def posterior(v):
         odds = math.log(share / (1 - share)) + (np.where(v == 1, np.log(a / (1 - b)), 0) + np.where(v == 0, np.log((1 - a) / b), 0)).sum(1)
         return 1 / (1 + np.exp(-odds))
 
-    mean = lambda hits, n, m: (hits + (0.2 * n + 10) * m) / (n + 0.2 * n + 10)
+    part = quality.PRIOR_PART
+    mean = lambda hits, n, m: (hits + (part * n + 10) * m) / (n + part * n + 10)
     for _ in range(60):
-        p = posterior()[:, None]
+        p = posterior(v)[:, None]
         good, bad = [(p * (v == k)).sum(0) for k in (1, 0)], [((1 - p) * (v == k)).sum(0) for k in (0, 1)]
         share, a, b = mean(p.sum(), len(v), quality.PRIOR), mean(good[0], good[0] + good[1], quality.RIGHT), mean(bad[0], bad[0] + bad[1], quality.CAUGHT)
     assert abs(model.prior - share) < 1e-5 and np.abs(np.array(model.good) - a).max() < 1e-5 and np.abs(np.array(model.bad) - b).max() < 1e-5
-    want = posterior()
+    want = posterior(every)
     assert max(abs(r.quality - q) for r, q in zip(rows, want)) < 1e-4
     assert all(r.kept == (not r.base_failed and q >= 0.5) for r, q in zip(rows, want))
 
 
+def test_quality_is_no_count_of_bad_votes(spark):
+    """A rule that is right whenever it says bad outweighs seven that say good; two that go wrong by themselves don't."""
+    rng = np.random.default_rng(9)
+    names = ["sure", "also", "weak1", "weak2", "calm1", "calm2", "calm3", "calm4"]
+    rules = [quality.Rule(n, "FALSE", "FALSE") for n in names]
+    rows = []
+    for i in range(6000):
+        bad = i % 10 == 0
+        rows.append((int(not bad), int(not (bad and rng.random() < 0.6)), *(int(rng.random() > 0.05) for _ in range(2)), *(int(rng.random() > 0.004) for _ in range(4))))
+    model = quality.fit(spark.createDataFrame(rows, ", ".join(f"{n} int" for n in names)), rules)
+    cases = {"sure": [0, 1, 1, 1, 1, 1, 1, 1], "weak": [1, 1, 0, 0, 1, 1, 1, 1], "weak and calm": [1, 1, 0, 1, 0, 1, 1, 1], "sure and also": [0, 0, 1, 1, 1, 1, 1, 1], "none": [1] * 8}
+    got = spark.createDataFrame([(k, *v) for k, v in cases.items()], "k string, " + ", ".join(f"{n} int" for n in names)).withColumn("q", model.posterior(rules))
+    assert {r.k: r.q > 0.5 for r in got.collect()} == {"sure": False, "weak": True, "weak and calm": True, "sure and also": False, "none": True}
+    assert abs(model.prior - 0.9) < 0.02
+
+
 def test_quality_of_votes_that_abstain(spark):
     rules = quality.RULES[:3]
     votes = spark.createDataFrame([(1, 1, -1)] * 40 + [(0, 0, -1)] * 8 + [(0, 1, 1)] + [(-1, -1, -1)], ", ".join(f"{r.name} int" for r in rules))
