@@ -24,6 +24,8 @@ SEPARATOR = 50_256
 KIND = np.dtype("<u2")
 #: Tokens of a block; blocks are cut without regard to documents.
 BLOCK = 1 << 18
+#: Blocks of a file that are scanned together; their sums are then scanned as one row.
+STRETCH = 4096
 
 BLOCKS = "file long, block long, tokens binary, first long, ids array<long>"
 
@@ -93,6 +95,28 @@ def read_flat(spark: SparkSession, path: str, block_bytes: int = 2 * BLOCK) -> D
     return blocks.mapInArrow(ranges, "file string, block long, tokens binary")
 
 
+def _scan(rows: DataFrame, within: list[str], order: str) -> DataFrame:
+    """With first and carry: the separators of all rows before one in its group, and the tokens after the last of them (or all, if there is none)."""
+    own = Window.partitionBy(*within).orderBy(order)
+    before = own.rowsBetween(Window.unboundedPreceding, -1)
+    # Rows between two that hold separators are one run; the tail of the row that ends a run opens the next one.
+    runs = rows.withColumns({"first": F.coalesce(F.sum("ends").over(before), F.lit(0)), "run": F.coalesce(F.sum((F.col("ends") > 0).cast("long")).over(before), F.lit(0)), "opened": F.lag(F.when(F.col("ends") > 0, F.col("tail")).otherwise(F.lit(0)), 1, 0).over(own)})
+    so_far = Window.partitionBy(*within, "run").orderBy(order)
+    passed = F.sum("opened").over(so_far) + F.coalesce(F.sum(F.when(F.col("ends") > 0, F.lit(0)).otherwise(F.col("tail"))).over(so_far.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return runs.withColumn("carry", passed).drop("run", "opened")
+
+
+def carried(blocks: DataFrame) -> DataFrame:
+    """Blocks (file, stretch, block, ends, head, tail) with first and carry over the whole file: a scan in each stretch, and one over what the stretches come to."""
+    inside = _scan(blocks, ["file", "stretch"], "block")
+    left = F.when(F.col("ends") > 0, F.col("tail")).otherwise(F.col("carry") + F.col("tail"))
+    sums = inside.groupBy("file", "stretch").agg(F.sum("ends").alias("ends"), F.max_by(left, "block").alias("tail"))
+    outside = _scan(sums, ["file"], "stretch").select("file", "stretch", F.col("first").alias("_first"), F.col("carry").alias("_carry"))
+    both = inside.join(outside, ["file", "stretch"])
+    carry = F.col("carry") + F.when(F.col("first") == 0, F.col("_carry")).otherwise(F.lit(0))
+    return both.withColumn("carry", carry).withColumn("first", F.col("first") + F.col("_first")).drop("_first", "_carry")
+
+
 def count_tokens(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:
     """The documents of flat token files: file, ordinal (from 0, in the file's order), n_tokens (without separator), ended.
 
@@ -100,8 +124,9 @@ def count_tokens(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:
     searched on its own; what it knows is its inner documents' lengths, the
     tokens before its first separator and those after its last. A scan over a
     file's blocks, one small row each, adds up the separators before a block
-    and the tokens carried into it since the last separator. A document may
-    span any number of blocks. Tokens after a file's last separator are a
+    and the tokens carried into it since the last separator; it goes over
+    stretches of a file's blocks first, and over the stretches' sums then, so no
+    task has all blocks of a file. A document may span any number of blocks. Tokens after a file's last separator are a
     document that is not ended. A file without tokens has no documents.
     """
     kind = blocks.schema["file"].dataType
@@ -121,23 +146,14 @@ def count_tokens(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:
 
     found = materialize(blocks.select("file", "block", "tokens").mapInArrow(searched, f"file {kind.simpleString()}, block long, ends long, head long, tail long, inner array<long>"), "block-ends")
     # The scan sees a few numbers of each block; lengths of inner documents stay where they are.
-    order = Window.partitionBy("file").orderBy("block")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    placed = found.drop("inner").withColumn("first", F.coalesce(F.sum("ends").over(before), F.lit(0)))
-    # Blocks between two that hold separators are one run: the tokens carried into a block are its run's tails so far.
-    placed = placed.withColumn("run", F.coalesce(F.sum((F.col("ends") > 0).cast("long")).over(before), F.lit(0)))
-    carried = Window.partitionBy("file", "run").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    opening = F.when(F.col("ends") > 0, F.lit(0)).otherwise(F.col("tail"))
-    # The tail of the block that ends a run belongs to the next run; it is carried from there.
-    last_tail = F.lag(F.when(F.col("ends") > 0, F.col("tail")).otherwise(F.lit(0)), 1, 0).over(order)
-    placed = placed.withColumn("start", last_tail).withColumn("carry", F.coalesce(F.sum(F.col("start") + opening).over(carried), F.lit(0)) + F.col("start"))
-    newest = F.row_number().over(Window.partitionBy("file").orderBy(F.col("block").desc())) == 1
-    placed = placed.withColumn("newest", newest)
+    placed = carried(found.drop("inner").withColumn("stretch", F.expr(f"block div {STRETCH}")))
+    placed = placed.withColumn("newest", F.col("block") == F.max("block").over(Window.partitionBy("file", "stretch")))
     lengths = F.concat(F.array(F.col("carry") + F.col("head")), "inner")
     inner = found.filter("ends > 0").select("file", "block", "inner")
     ended = placed.filter("ends > 0").join(inner, ["file", "block"]).select("file", "first", F.posexplode(lengths).alias("i", "n_tokens")).select("file", (F.col("first") + F.col("i")).alias("ordinal"), "n_tokens", F.lit(True).alias("ended"))
     rest = F.when(F.col("ends") > 0, F.col("tail")).otherwise(F.col("carry") + F.col("tail"))
-    open_end = placed.filter("newest").select("file", (F.col("first") + F.col("ends")).alias("ordinal"), rest.alias("n_tokens"), F.lit(False).alias("ended")).filter("n_tokens > 0")
+    last = placed.filter("newest").join(placed.groupBy("file").agg(F.max("stretch").alias("stretch")), ["file", "stretch"])
+    open_end = last.select("file", (F.col("first") + F.col("ends")).alias("ordinal"), rest.alias("n_tokens"), F.lit(False).alias("ended")).filter("n_tokens > 0")
     return ended.unionByName(open_end)
 
 
