@@ -43,7 +43,7 @@ CLASSES = (("^[0-9A-Fa-f-]+$", 3.05), ("^[A-Za-z/_=-]+$", 4.25), ("^[0-9+/_=-]+$
 ALLOWED = r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|example|sample|placeholder|dummy|xxxx|0000|12345678|abcdefgh|(^|/)[a-z]+/[a-z]+/|--|__|=="
 
 #: The classes of the parts of a candidate, below what nearly all random strings of their alphabets reach.
-PARTS = (("^[0-9+/_=-]+$", 2.45), ("^[0-9A-Fa-f-]+$", 3.05), ("^[A-Za-z+/_=-]+$", 3.15), ("", 3.75))
+PARTS = (("^[0-9+/_=-]+$", 2.45), ("^[0-9A-Fa-f-]+$", 3.05), ("^[A-Za-z+/_=-]+$", 3.15), ("", 3.3))
 #: Parts that are not secrets as a whole: identifiers, placeholders, alphabets, numbers that begin with a date.
 PLAIN = (
     r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|^(?:[a-z]+[-_]){0,4}(?:example|sample|placeholder|dummy|abcdefgh|0?12345678)|(?:example|placeholder)(?:[-_]?key)?$"

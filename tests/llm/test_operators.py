@@ -468,3 +468,11 @@ def test_quality_of_votes_that_abstain(spark):
     assert q[(1, 1, -1)] > 0.9 and q[(0, 0, -1)] < 0.1 and abs(q[(-1, -1, -1)] - model.prior) < 1e-9
     none = quality.fit(votes.limit(0), rules)
     assert (none.prior, none.good, none.bad) == (quality.PRIOR, [quality.RIGHT] * 3, [quality.CAUGHT] * 3)
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789"])
+def test_random_secrets_are_hardly_ever_missed(spark, letters):
+    """Of random strings of 20 letters and digits, under one in a hundred."""
+    rng = np.random.default_rng(5)
+    rows = [(i, f"see {''.join(rng.choice(list(letters), 20))} here", "en", "a", 1) for i in range(1500)]
+    assert secrets.scan(up(spark, rows), ["doc_id"]).filter("size(spans) = 0").count() < 15
