@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from navgraph.operators.games import with_task
 from navgraph.session import materialize
 
+#: Models up to which their strengths are broadcast to the pairs.
+MAX_BROADCAST_MODELS = 1_000_000
+
 
 def per_task(games: DataFrame) -> DataFrame:
     """task_id, model_id, steps, n: games by task, alike ones counted. Pairs are made of these, not of the games."""
@@ -44,9 +47,11 @@ def strengths(matrix: DataFrame, iterations: int = 20) -> DataFrame:
     """
     back = matrix.select(F.col("model").alias("opponent"), F.col("opponent").alias("model"), F.col("wins").alias("lost"))
     pairs = materialize(matrix.join(back, ["model", "opponent"]).withColumn("met", F.col("wins") + F.col("lost")), "pairs")
-    current = pairs.select("model").distinct().withColumn("p", F.lit(1.0))
+    current = materialize(pairs.select("model").distinct().withColumn("p", F.lit(1.0)), "strengths")
+    # Strengths have a row for each model, in every round as many as in the first.
+    sent = F.broadcast if current.count() <= MAX_BROADCAST_MODELS else lambda df: df
     for step in range(iterations):
-        both = pairs.join(F.broadcast(current), "model").join(F.broadcast(current.select(F.col("model").alias("opponent"), F.col("p").alias("q"))), "opponent")
+        both = pairs.join(sent(current), "model").join(sent(current.select(F.col("model").alias("opponent"), F.col("p").alias("q"))), "opponent")
         sums = both.groupBy("model").agg(F.sum("wins").alias("w"), F.sum(F.when(F.col("p") + F.col("q") > 0, F.col("met") / (F.col("p") + F.col("q"))).otherwise(0.0)).alias("d"), F.first("p").alias("p"))
         p = F.when(F.col("d") > 0, F.col("w") / F.col("d")).when(F.col("w") == 0, F.col("p")).otherwise(1.0)
         raw = sums.select("model", p.alias("raw"))

@@ -154,8 +154,15 @@ def latest_paths(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     return rows.withColumn("latest", F.coalesce(found, F.expr("CAST(array() AS array<string>)")))
 
 
-def task_lengths(results: DataFrame) -> DataFrame:
-    """task_id, length: of solver results (task_id, at, length) the first that isn't 0; tasks without one are left out."""
+def task_lengths(results: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """task_id, length: of solver results (task_id, at, length) the first that isn't 0; tasks without one are left out.
+
+    With ``starts`` (task_id, start_page_title) only results from a task's start
+    page count, which ``results`` then tell as page_title.
+    """
+    if starts is not None:
+        own = starts.select("task_id", F.col("start_page_title").alias("page_title")).distinct()
+        results = results.join(own, ["task_id", "page_title"], "left_semi")
     return results.filter("length > 0").groupBy("task_id").agg(F.min_by("length", "at").alias("length"))
 
 

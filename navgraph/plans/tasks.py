@@ -165,11 +165,15 @@ def latest_optimal_paths(spark, sf_dir):
     return S.latest_paths(V.events(spark, sf_dir).withColumn("paths", found), ["ts"]).select("game_id", "event_id", F.array_join("latest", ",").alias("latest"))
 
 
-@query(VIEWS + """ SELECT game_id % 20 AS task_id, arg_min(length, ts) AS length FROM (SELECT *, CAST(floor(value) AS BIGINT) % 4 AS length FROM v_events WHERE type = 'shortest_paths_found')
-  WHERE length > 0 GROUP BY 1""")
+@query(VIEWS + """, r AS (SELECT game_id % 20 AS task_id, ts, data AS page_title, CAST(floor(value) AS BIGINT) % 4 AS length FROM v_events WHERE type = 'shortest_paths_found'),
+starts AS (SELECT game_id % 20 AS task_id, min(data) AS start FROM v_events WHERE type = 'task_selected' GROUP BY 1)
+SELECT r.task_id, arg_min(length, ts) AS length FROM r JOIN starts s ON s.task_id = r.task_id AND s.start = r.page_title WHERE length > 0 GROUP BY 1""")
 def task_lengths(spark, sf_dir):
-    found = V.events(spark, sf_dir).filter("type = 'shortest_paths_found'")
-    return S.task_lengths(found.select((F.col("game_id") % 20).alias("task_id"), F.col("ts").alias("at"), (F.floor("value") % 4).alias("length")))
+    """The first length known of each task, from results on its start page, which the events' data stand for."""
+    task, e = (F.col("game_id") % 20).alias("task_id"), V.events(spark, sf_dir)
+    starts = e.filter("type = 'task_selected'").groupBy(task).agg(F.min("data").alias("start_page_title"))
+    found = e.filter("type = 'shortest_paths_found'")
+    return S.task_lengths(found.select(task, F.col("ts").alias("at"), F.col("data").alias("page_title"), (F.floor("value") % 4).alias("length")), starts)
 
 
 _PLAYERS = VIEWS + ", players AS (SELECT game_id % 20 AS task_id, game_id, bool_or(type = 'game_ended') AS ended FROM v_events GROUP BY 1, 2)"

@@ -167,3 +167,11 @@ def test_branches_that_tables_do_not_reach(spark, tmp_path):
     ids = spark.createDataFrame([(1, "a"), (0, ""), (-1, " "), (None, None)], "i long, t string").select(is_page_id(F.col("i")).alias("i"), is_title(F.col("t")).alias("t")).collect()
     assert [(r.i, r.t) for r in ids] == [(True, True), (False, False), (False, True), (False, False)]
     assert ratings.elo(spark.createDataFrame([("m", 0.0), ("n", 1.0)], "model string, strength double")).orderBy("model").first().rating == -2400
+
+
+def test_the_first_length_is_that_of_the_start_page(spark):
+    rows = [("t", 1, "B", 7), ("t", 2, "A", 0), ("t", 3, "A", 4), ("t", 4, "A", 5), ("u", 1, "B", 2)]
+    results = spark.createDataFrame(rows, "task_id string, at int, page_title string, length int")
+    starts = spark.createDataFrame([("t", "A"), ("u", "A")], "task_id string, start_page_title string")
+    assert {r.task_id: r.length for r in sessions.task_lengths(results, starts).collect()} == {"t": 4}
+    assert {r.task_id: r.length for r in sessions.task_lengths(results).collect()} == {"t": 7, "u": 2}
