@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from navgraph.session import shared_dir
 from navgraph.sources import views as V
@@ -47,31 +45,17 @@ def count_by_type(stream: DataFrame) -> DataFrame:
     return stream.groupBy("type").agg(F.count("*").alias("n"))
 
 
-STATE = "game_id bigint, moves bigint, solved bigint, ended boolean, last_event bigint"
-
-
 def fold_games(stream: DataFrame) -> DataFrame:
-    """Each game's state after each micro-batch that has events of it: moves, solver results, whether it ended, its last event.
+    """Each game's state after each micro-batch that has events of it: moves, solver results, whether it ended, its last event by time.
 
-    State is kept by game and updated by the batch's rows in the order of their
-    time; rows after the end still count. The state of a game is four numbers.
+    Built-in aggregates keep the state, one row a game; rows after the end still count. What is to go when
+    nobody touches it is kept by ``state.lifetimes``.
     """
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        moves, solved, ended, last_ts, last = state.get if state.exists else (0, 0, False, -1, -1)
-        for rows in batches:
-            kind = rows["type"]
-            moves += int((kind == "move_completed").sum())
-            solved += int((kind == "shortest_paths_found").sum())
-            ended = ended or bool((kind == "game_ended").any())
-            at = rows["at"].idxmax()
-            if rows["at"][at] > last_ts:
-                last_ts, last = int(rows["at"][at]), int(rows["event_id"][at])
-        state.update((moves, solved, ended, last_ts, last))
-        yield pd.DataFrame({"game_id": [key[0]], "moves": [moves], "solved": [solved], "ended": [ended], "last_event": [last]})
-
-    rows = stream.select("game_id", "type", "event_id", F.unix_micros("ts").alias("at"))
-    return rows.groupBy("game_id").applyInPandasWithState(fold, STATE, "moves bigint, solved bigint, ended boolean, ts bigint, last bigint", "update", GroupStateTimeout.NoTimeout)
+    kind = F.col("type")
+    return stream.groupBy("game_id").agg(
+        F.count_if(kind == "move_completed").alias("moves"), F.count_if(kind == "shortest_paths_found").alias("solved"),
+        F.bool_or(kind == "game_ended").alias("ended"), F.max_by("event_id", "ts").alias("last_event"),
+    )
 
 
 def drain(result: DataFrame, mode: str, keys: list[str], write: Callable[[DataFrame, int], None] | None = None) -> DataFrame:

@@ -94,6 +94,12 @@ def test_a_failing_handler_recovers_by_itself(spark, tmp_path):
     assert s.state == "done" and s.restarts == 1 and tries == [0, 1, 1, 2] and ids(spark, str(tmp_path / "out")) == [0, 1, 2]
 
 
+def test_game_states_over_batches_out_of_order(spark, tmp_path):
+    batches = [[event(1, 5 * HOUR, 1, "click"), event(2, HOUR, 2, "purchase")], [event(3, 2 * HOUR, 1, "view"), event(4, 3 * HOUR, 2, "click")], [event(5, 4 * HOUR, 1, "click")]]
+    out = events.drain(events.fold_games(events.event_stream(spark, write_files(spark, tmp_path, batches, SOURCE), 1)), "update", ["game_id"])
+    assert {r.game_id: (r.moves, r.solved, r.ended, r.last_event) for r in out.collect()} == {1: (2, 1, False, 1), 2: (1, 0, True, 4)}
+
+
 ENTRY = "key bigint, ts timestamp, event_id bigint, put boolean, value string"
 
 
