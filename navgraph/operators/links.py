@@ -74,7 +74,12 @@ def skip_reasons(links: DataFrame, linktargets: DataFrame, pages: DataFrame) ->
 
 
 def resolved_edges(links: DataFrame, linktargets: DataFrame, pages: DataFrame, resolved: DataFrame) -> DataFrame:
-    """The graph: distinct src_id, dst_id after redirects, both ends pages, no self-links.
+    """The graph: distinct src_id, dst_id after redirects, both ends pages, no self-links."""
+    return linked(links, linktargets, pages, resolved).distinct()
+
+
+def linked(links: DataFrame, linktargets: DataFrame, pages: DataFrame, resolved: DataFrame) -> DataFrame:
+    """The graph's edges as ``resolved_edges`` has them, with repeats.
 
     Redirects are applied to the maps of targets and sources, which have one row
     for each page, so the links themselves are joined twice and no more.
@@ -83,7 +88,7 @@ def resolved_edges(links: DataFrame, linktargets: DataFrame, pages: DataFrame, r
     ends = link_targets(linktargets, pages).join(final, "page_id").select("lt_id", F.col("final").alias("dst_id"))
     starts = final.select(F.col("page_id").alias("pl_from"), F.col("final").alias("src_id"))
     found = links.join(ends, links["pl_target_id"] == F.col("lt_id")).join(starts, "pl_from")
-    return found.filter("src_id <> dst_id").select("src_id", "dst_id").distinct()
+    return found.filter("src_id <> dst_id").select("src_id", "dst_id")
 
 
 def grouped(edges: DataFrame, by: str, other: str) -> DataFrame:

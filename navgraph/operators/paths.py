@@ -58,8 +58,17 @@ def bit_levels(edges: DataFrame, starts: DataFrame, wanted: DataFrame | None = N
     enters, forward) are known to be out of reach without a search; ``ends`` has
     the others (node), if it is known beforehand.
     """
-    here, there = ("dst_id", "src_id") if backward else ("src_id", "dst_id")
-    queries = materialize(starts.select("query_id").distinct(), "search-queries")
+    known, numbers, count = numbered_queries(starts.select("query_id"))
+    bits = lambda df: df.select("query_id", "node").join(known, "query_id").groupBy("node", "word").agg(F.bit_or("bit").alias("bits"))
+    rows = bit_rows(edges, bits(starts), None if wanted is None else bits(wanted), -(-count // BITS), backward, ends)
+    each = rows.select("node", "level", "word", F.explode(F.expr(f"filter(sequence(0, {BITS - 1}), b -> getbit(bits, b) = 1)")).alias("b"))
+    back = broadcast_up_to(numbers.select("query_id", F.col("number").cast("long").alias("number")), MAX_BROADCAST_ROWS)
+    return each.select("node", "level", (F.col("word") * BITS + F.col("b") + 1).alias("number")).join(back, "number").select("query_id", "node", "level")
+
+
+def numbered_queries(ids: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Of a column of queries: query_id, word, bit (to be joined with); query_id, number; and how many there are."""
+    queries = materialize(ids.toDF("query_id").distinct(), "search-queries")
     count = queries.count()
     if count <= MAX_BROADCAST_ROWS:
         numbers = queries.select("query_id", F.row_number().over(Window.orderBy("query_id")).alias("number"))
@@ -67,16 +76,20 @@ def bit_levels(edges: DataFrame, starts: DataFrame, wanted: DataFrame | None = N
         numbers = materialize(numbered(queries, ["query_id"], "number"), "search-numbers")
     bit = F.expr(f"shiftleft(1L, CAST((number - 1) % {BITS} AS INT))")
     known = broadcast_up_to(numbers.select("query_id", F.expr(f"CAST((number - 1) div {BITS} AS BIGINT)").alias("word"), bit.alias("bit")), MAX_BROADCAST_ROWS)
-    bits = lambda df: df.select("query_id", "node").join(known, "query_id").groupBy("node", "word").agg(F.bit_or("bit").alias("bits"))
+    return known, numbers, count
+
+
+def bit_rows(edges: DataFrame, starts: DataFrame, wanted: DataFrame | None, words: int, backward: bool = False, ends: DataFrame | None = None) -> DataFrame:
+    """node, word, bits, level: the search of ``bit_levels`` from and for rows of node, word and bits, which are one a node and word."""
+    here, there = ("dst_id", "src_id") if backward else ("src_id", "dst_id")
     none = F.lit(0).cast("long")
-    state = bits(starts).select("node", "word", F.col("bits").alias("seen"), F.col("bits").alias("fresh"), none.alias("want"))
+    state = starts.select("node", "word", F.col("bits").alias("seen"), F.col("bits").alias("fresh"), none.alias("want"))
     if wanted is not None:
         out_of = ends.select("node") if ends is not None else edges.select(F.col(there).alias("node")).distinct()
-        asked = bits(wanted.select("query_id", "node").join(out_of.unionByName(starts.select("node")), "node", "left_semi"))
+        asked = wanted.join(out_of.unionByName(starts.select("node")), "node", "left_semi")
         state = state.unionByName(asked.select("node", "word", none.alias("seen"), none.alias("fresh"), F.col("bits").alias("want")))
         state = state.groupBy("node", "word").agg(*[F.bit_or(c).alias(c) for c in ("seen", "fresh", "want")])
     steps, level, found = edges.select(F.col(here).alias("node"), F.col(there).alias("next")), 0, []
-    words = -(-count // BITS)
     told = [f"w{k}" for k in range(words)] if wanted is not None and words <= TOLD_WORDS else []
     kept = "fresh" if wanted is None else "fresh & want"
     while True:
@@ -101,9 +114,7 @@ def bit_levels(edges: DataFrame, starts: DataFrame, wanted: DataFrame | None = N
     rows = found[0]
     for more in found[1:]:
         rows = rows.unionByName(more)
-    each = rows.select("node", "level", "word", F.explode(F.expr(f"filter(sequence(0, {BITS - 1}), b -> getbit(bits, b) = 1)")).alias("b"))
-    back = broadcast_up_to(numbers.select("query_id", F.col("number").cast("long").alias("number")), MAX_BROADCAST_ROWS)
-    return each.select("node", "level", (F.col("word") * BITS + F.col("b") + 1).alias("number")).join(back, "number").select("query_id", "node", "level")
+    return rows
 
 
 def meet(edges: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

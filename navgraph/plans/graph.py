@@ -18,10 +18,10 @@ from navgraph.plans.registry import query
 from navgraph.session import shared_dir
 from navgraph.sources import dumps as D
 from navgraph.sources import views as V
-from navgraph.sources.tables import fingerprint, kept
+from navgraph.sources.tables import fingerprint, is_kept, kept
 
 #: Goes up whenever the code that makes the graph's tables comes to make others.
-GRAPH_VERSION = 2
+GRAPH_VERSION = 3
 #: The graph as common table expressions: redirect_ids, resolved, edges_raw, edges, pruned.
 GRAPH = f"""WITH RECURSIVE {V.SQL.strip()},
 redirect_ids AS (
@@ -60,16 +60,21 @@ def graph(spark: SparkSession, sf_dir: str) -> GraphStore:
     Each table is kept in the shared folder under a fingerprint of its source
     files (names, sizes, times) and the version of the code that makes it, so
     later queries reuse it while both are the same. Pages are kept by title and
-    by id, edges by source and by target. Lookups of titles never build edges.
+    by id, edges by source and by target, of which the one that is asked for
+    first is made of the links and the other of it. Lookups of titles never build
+    edges.
     """
     pages = V.pages(spark, sf_dir)
     at = fingerprint(spark, [f"{sf_dir}/{t}.parquet" for t in ("part", "lineitem")])
-    keep = lambda name, build, key=None, filtered=(): kept(spark, f"graph-{GRAPH_VERSION}-{at}-{name}", build, key, filtered, of=f"{name} of {sf_dir}")
+    named = lambda name: f"graph-{GRAPH_VERSION}-{at}-{name}"
+    keep = lambda name, build, key=None, filtered=(), distinct=False: kept(spark, named(name), build, key, filtered, f"{name} of {sf_dir}", distinct)
     redirects = keep("resolved", lambda: L.resolve_redirects(L.redirect_ids(V.redirects_raw(spark, sf_dir), pages))).df
     titles = keep("pages", lambda: L.pruned_pages(pages, redirects).withColumn("folded", fold(F.col("title"))), "folded", ["page_id"])
     by_id = lambda: keep("pages-by-id", lambda: titles.df, "page_id", ["folded"])
-    edges = lambda: keep("edges", lambda: L.resolved_edges(V.links_raw(spark, sf_dir), V.linktargets(spark, sf_dir), pages, redirects), "src_id", ["dst_id"]).df
-    incoming = lambda: keep("edges-in", edges, "dst_id", ["src_id"]).df
+    linked = lambda: L.linked(V.links_raw(spark, sf_dir), V.linktargets(spark, sf_dir), pages, redirects)
+    other = lambda name, there: there() if is_kept(spark, named(name)) else None
+    edges = lambda: keep("edges", lambda: other("edges-in", incoming) or linked(), "src_id", ["dst_id"], True).df
+    incoming = lambda: keep("edges-in", lambda: other("edges", edges) or linked(), "dst_id", ["src_id"], True).df
     degrees = lambda: keep("degrees", lambda: L.degrees(edges()), "page_id").df
     return GraphStore(titles.df, redirects, edges, incoming, degrees, titles, by_id)
 

@@ -117,7 +117,17 @@ def fingerprint(spark: SparkSession, paths: list[str]) -> str:
     return hashlib.md5(json.dumps([list_files(spark, p) for p in paths]).encode()).hexdigest()
 
 
-def kept(spark: SparkSession, name: str, build: Callable[[], DataFrame], key: str | None = None, filtered: Iterable[str] = (), of: str = "") -> Kept:
+def _kept_at(spark: SparkSession, name: str) -> tuple[str, str]:
+    base = f"{shared_dir(spark)}/navgraph/kept"
+    return base, f"{base}/{name}.json"
+
+
+def is_kept(spark: SparkSession, name: str) -> bool:
+    """Whether the table is there already."""
+    return read_text(spark, _kept_at(spark, name)[1]) is not None
+
+
+def kept(spark: SparkSession, name: str, build: Callable[[], DataFrame], key: str | None = None, filtered: Iterable[str] = (), of: str = "", distinct: bool = False) -> Kept:
     """The table ``name`` of the shared folder; if it isn't there, it is built first.
 
     A table lies in a folder of its own, named by chance, which no one finds
@@ -125,18 +135,19 @@ def kept(spark: SparkSession, name: str, build: Callable[[], DataFrame], key: st
     being written, or whose writer was lost, is never read, and of several that
     build it at once all use the first one's. ``key`` lays it out by ranges of
     that column, sorted, and the pointer then knows each file's range;
-    ``filtered`` columns get Bloom filters. ``of`` says what the table is made
+    ``filtered`` columns get Bloom filters; ``distinct`` drops repeated rows of a
+    table with a key, where they lie together. ``of`` says what the table is made
     of: once it is there, older tables of the same kind are taken away, their
     pointers at once and their folders a day after.
     """
-    base = f"{shared_dir(spark)}/navgraph/kept"
-    pointer = f"{base}/{name}.json"
+    base, pointer = _kept_at(spark, name)
     text = read_text(spark, pointer)
     if text is None:
         folder = f"{base}/{name}-{uuid.uuid4().hex}"
         df = build()
         if key:
-            df = df.repartitionByRange(key).sortWithinPartitions(key)
+            df = df.repartitionByRange(key)
+            df = (df.distinct() if distinct else df).sortWithinPartitions(key)
         writer = df.write
         for c in filtered:
             writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")

@@ -178,3 +178,41 @@ def test_created_tasks_appear_with_their_games_and_events_or_not_at_all(spark, t
     with pytest.raises(Exception, match="lost"):
         commits.append(**broken)
     assert commits.read("tasks").count() == 1 and commits.read("games").count() == 3
+
+
+def test_states_look_up_distances_without_rows_for_pairs(spark, net, monkeypatch):
+    """Targets are bits from the first aggregate on: what is written has a row a page and word, not one a pair; states keep their repeats and nulls, and of pages with one title the nearest counts."""
+    edges, back = net
+    pages = spark.createDataFrame([(k, f"P{k}") for k in range(300)] + [(400, "P7")], "page_id long, title string")
+    rows = [(f"P{t}", f"P{k}", k) for t in range(70) for k in range(0, 300, 7)] * 2 + [("P5", "Nowhere", 0), ("Nowhere", "P5", 1), (None, "P5", 2)]
+    states = spark.createDataFrame(rows, "target_page_title string, page_title string, move_index long")
+    made, keep = {}, race.materialize
+    monkeypatch.setattr(race, "materialize", lambda df, label: made.setdefault(label, keep(df, label)))
+    got = race.with_distance(states, edges, pages)
+    assert got.columns == ["target_page_title", "page_title", "move_index", "distance"]
+    assert made["pages-in-use"].count() <= 2 * 45 and made["distances"].count() <= 2 * 44  # pairs in use are 3,013
+    near = {f"P{t}": bfs(back, t) for t in range(70)}
+    both = bfs(back, 400)
+    near["P7"] = {n: min(near["P7"].get(n, 99), both.get(n, 99)) for n in {*near["P7"], *both}}  # a target of two pages is searched from both
+    nodes = lambda p: [7, 400] if p == "P7" else [int(p[1:])]
+    least = lambda t, p: min((near[t][n] for n in nodes(p) if n in near[t]), default=-1) if t in near and p != "Nowhere" else -1
+    assert sorted((str(r[0]), r[1], r[2], -1 if r[3] is None else r[3]) for r in got.collect()) == sorted((str(t), p, k, least(t, p)) for t, p, k in rows)
+
+
+def test_repeated_rows_of_a_kept_table_are_dropped_where_they_lie_together(spark):
+    name = f"test-{random.random()}"
+    rows = [(k % 5, k % 3) for k in range(60)]
+    made = tables.kept(spark, name, lambda: spark.createDataFrame(rows, "a long, b long"), "a", distinct=True)
+    assert sorted(map(tuple, made.df.collect())) == sorted(set(rows)) and tables.is_kept(spark, name) and not tables.is_kept(spark, name + "x")
+
+
+def test_moves_are_ordered_by_all_that_shows(spark, tmp_path):
+    """Lines that tie on number and part differ in nothing that moves show, so no other column is dealt."""
+    from navgraph.sources import views
+
+    lines = [(1, 2, 7, 1, 5.0), (1, 1, 9, 2, 1.0), (1, 2, 3, 1, 9.0), (1, 2, 7, 0, 4.0), (2, 1, 4, 1, 1.0)]
+    kinds = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double"
+    spark.createDataFrame(lines, kinds).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = sorted((r.game_id, r.step, r.from_page_title, r.to_page_title) for r in views.moves(spark, str(tmp_path)).collect())
+    assert got == [("g1", 1, "ITEM_4", "ITEM_1"), ("g1", 2, "ITEM_1", "ITEM_3"), ("g1", 3, "ITEM_3", "ITEM_3")]
+    assert sorted((r.pl_from, r.pl_target_id) for r in views.links_raw(spark, str(tmp_path)).collect()) == [(4, 80), (8, 80), (10, 40)]
