@@ -80,15 +80,16 @@ def cache_lifetimes(spark, sf_dir):
 
 
 def _played(spark, sf_dir, parts=3):
-    """The games of ``attempts``, streamed file by file: rows are dealt to ``parts`` files by their hash, so that attempts come long before their turn, their game or each other."""
+    """The games of ``attempts``, streamed in about ``parts`` batches: rows are dealt to their files by their hash, so that attempts come long before their turn, their game or each other. A batch has a file for each core."""
     tries, configs = attempts(spark, sf_dir)
     players = with_task(configs).groupBy("task_id").agg(F.count("*").alias("players"))
     made = with_task(configs).join(players, "task_id").select("game_id", "task_id", "target_page_title", F.col("max_steps").cast("long").alias("max_steps"), "players")
     rows = made.unionByName(tries.select("game_id", F.col("turn").cast("long").alias("turn"), F.col("attempt").cast("long").alias("attempt"), "to_page_title", "error"), allowMissingColumns=True)
     path = f"{shared_dir(spark)}/navgraph/attempts-{uuid.uuid4().hex}"
-    rows.repartition(parts, F.xxhash64("game_id", "turn", "attempt")).write.parquet(path)
+    files = max(1, spark.sparkContext.defaultParallelism)
+    rows.repartition(parts * files, F.xxhash64("game_id", "turn", "attempt")).write.parquet(path)
     S.use_rocksdb(spark)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
     return E.run_through(S.played(stream), "append")
 
 

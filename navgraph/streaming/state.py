@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -82,42 +85,103 @@ def lifetimes(events: DataFrame, ttl_seconds: float, delay: str = "0 seconds") -
     return rows.groupBy("key").transformWithState(Entries(int(ttl_seconds * 1000)), "key bigint, at bigint, kind string, value string, hits bigint", "Append", "EventTime")
 
 
+#: Groups that games are dealt to by hash; a group's games are one state, and its rows of a batch are worked off together.
+GROUPS = 256
+#: Statuses by number: what a game is known to be, the finished ones from 2 on; -1 before it is created.
+STATUSES = ("not_started", "in_progress", *FINISHED)
+WON, LOST_STEPS, LOST_MOVES, ERROR = (STATUSES.index(s) for s in ("won", "lost_max_steps", "lost_invalid_move", "error"))
+_GAME = {"game_id": "object", "task_id": "object", "target_page_title": "object", "max_steps": "int64", "players": "int64", "status": "int64", "steps": "int64", "turn": "int64", "failed": "int64"}
+_TRY = {"game_id": "object", "turn": "int64", "attempt": "int64", "to_page_title": "object", "error": "object"}
+
+
+def _empty(columns: dict[str, str]) -> pd.DataFrame:
+    return pd.DataFrame({c: pd.Series(dtype=kind) for c, kind in columns.items()})
+
+
+def _packed(df: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    table = pa.Table.from_pandas(df, preserve_index=False)
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes, columns: dict[str, str]) -> pd.DataFrame:
+    return pa.ipc.open_stream(bytes(data)).read_all().to_pandas().astype(columns)
+
+
+def play(games: pd.DataFrame, tries: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Take each game's attempts in the order of turn and attempt, as far as they are there: the games after it, and attempts that still wait.
+
+    ``tries`` are one a game, turn and attempt. All games go on by one attempt at
+    a time together, so there are as many rounds as the longest game has attempts.
+    """
+    games, order = games.reset_index(drop=True), pd.Index(games["game_id"])
+    tries = tries.assign(game=order.get_indexer(tries["game_id"])).sort_values(["game", "turn", "attempt"], kind="stable", ignore_index=True)
+    game, when, nth = (tries[c].to_numpy() for c in ("game", "turn", "attempt"))
+    failed_try = tries["error"].notna().to_numpy()
+    fatal = failed_try & ~tries["error"].isin(RETRY_ERRORS).to_numpy()
+    target = games["target_page_title"].to_numpy(object)
+    hit = ~failed_try & tries["to_page_title"].notna().to_numpy() & (tries["to_page_title"].to_numpy(object) == target[np.maximum(game, 0)] if len(games) else np.zeros(len(tries), bool))
+    status, steps, turn, failed = (games[c].to_numpy(copy=True) for c in ("status", "steps", "turn", "failed"))
+    most, known = games["max_steps"].to_numpy(), games["task_id"].notna().to_numpy()
+    status[known & (status < 0)] = 0
+    at, end = np.searchsorted(game, np.arange(len(games)), "left"), np.searchsorted(game, np.arange(len(games)), "right")
+    live = np.flatnonzero(known & (status < 2) & (at < end))
+    while len(live):
+        x, t, f = at[live], turn[live], failed[live] + 1
+        early = (when[x] < t) | ((when[x] == t) & (nth[x] < f))  # an attempt that is over
+        due = (when[x] == t) & (nth[x] == f)
+        g, x = live[due], x[due]
+        bad, dead = failed_try[x], fatal[x]
+        good = g[~bad]
+        steps[good] += 1
+        turn[good] += 1
+        failed[good] = 0
+        failed[g[bad & ~dead]] += 1
+        status[g] = 1
+        status[good[steps[good] >= most[good]]] = LOST_STEPS
+        status[g[hit[x]]] = WON
+        status[g[dead]] = ERROR
+        status[g[bad & ~dead & (failed[g] >= MAX_ATTEMPTS)]] = LOST_MOVES
+        live = live[early | due]
+        at[live] += 1
+        live = live[(status[live] < 2) & (at[live] < end[live])]
+    games = games.assign(status=status, steps=steps, turn=turn, failed=failed)
+    left = (when > turn[game]) | ((when == turn[game]) & (nth > failed[game])) if len(games) else np.zeros(len(tries), bool)
+    return games, tries.loc[left & (status[game] < 2) if len(games) else left, list(_TRY)]
+
+
 class Games(StatefulProcessor):
-    """A game's turns: attempts are taken in the order of turn and attempt, however they come, until one ends the game."""
+    """The turns of a group of games: attempts are taken in the order of turn and attempt, however they come, until one ends the game."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.game = handle.getValueState(
-            "game", "task_id string, target string, max_steps bigint, players bigint, status string, steps bigint, turn bigint, failed bigint, waiting array<struct<turn:bigint,attempt:bigint,page:string,error:string>>"
-        )
-
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        held = self.game.get()
-        task, target, most, players, status, steps, turn, failed, waiting = held or (None, None, None, None, None, 0, 1, 0, [])
-        open_ = {(w[0], w[1]): (w[2], w[3]) for w in waiting}
-        before = (status, steps)
-        for r in rows:
-            if r.turn is None:
-                task, target, most, players = r.task_id, r.target_page_title, r.max_steps, r.players
-            else:
-                open_[(r.turn, r.attempt)] = (r.to_page_title, r.error)
-        if task is not None:
-            status = status or "not_started"
-            while status not in FINISHED and (turn, failed + 1) in open_:
-                page, error = open_.pop((turn, failed + 1))
-                status = "in_progress"
-                if error is None:
-                    steps, turn, failed = steps + 1, turn + 1, 0
-                    status = "won" if page == target else "lost_max_steps" if steps >= most else status
-                elif error not in RETRY_ERRORS:
-                    status = "error"
-                else:
-                    failed += 1
-                    status = "lost_invalid_move" if failed >= MAX_ATTEMPTS else status
-            if status in FINISHED:
-                open_ = {}
-        self.game.update((task, target, most, players, status, steps, turn, failed, [(*k, *v) for k, v in open_.items()]))
-        if status is not None and (status, steps) != before:
-            yield Row(task_id=task, game_id=key[0], status=status, steps=steps, players=players, ended=status in FINISHED)
+        self.group = handle.getValueState("group", "games binary, waiting binary")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        held = self.group.get() if self.group.exists() else None
+        games, waiting = (_unpacked(held[0], _GAME), _unpacked(held[1], _TRY)) if held else (_empty(_GAME), _empty(_TRY))
+        new = pd.concat(list(rows), ignore_index=True)
+        is_try = new["turn"].notna()
+        made = new.loc[~is_try, ["game_id", "task_id", "target_page_title", "max_steps", "players"]].drop_duplicates("game_id", keep="last")
+        more = new.loc[is_try & new["attempt"].notna(), list(_TRY)].astype(_TRY)
+        tries = (pd.concat([waiting, more], ignore_index=True) if len(waiting) else more).drop_duplicates(["game_id", "turn", "attempt"], keep="last")
+        unknown = pd.Index(made["game_id"]).append(pd.Index(tries["game_id"])).unique().difference(pd.Index(games["game_id"]), sort=False)
+        fresh = pd.DataFrame({"game_id": unknown, "task_id": None, "target_page_title": None, "max_steps": 0, "players": 0, "status": -1, "steps": 0, "turn": 1, "failed": 0}).astype(_GAME)
+        games = pd.concat([games, fresh], ignore_index=True) if len(games) else fresh
+        place = pd.Index(games["game_id"]).get_indexer(made["game_id"])
+        for c in ("task_id", "target_page_title", "max_steps", "players"):
+            values = games[c].to_numpy(copy=True)
+            values[place] = made[c].astype(_GAME[c]).to_numpy()
+            games[c] = values
+        before = games["status"].to_numpy(), games["steps"].to_numpy()
+        games, waiting = play(games, tries)
+        self.group.update((_packed(games), _packed(waiting)))
+        status, steps = games["status"].to_numpy(), games["steps"].to_numpy()
+        told = games[(status >= 0) & ((status != before[0]) | (steps != before[1]))]
+        if len(told):
+            code = told["status"].to_numpy()
+            yield pd.DataFrame({"task_id": told["task_id"].to_numpy(), "game_id": told["game_id"].to_numpy(), "status": np.array(STATUSES, object)[code], "steps": told["steps"].to_numpy(), "players": told["players"].to_numpy(), "ended": code >= 2})
 
     def close(self) -> None:
         pass
@@ -129,22 +193,25 @@ class Tasks(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.task = handle.getValueState("task", "players bigint, ended bigint")
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        held = self.task.get()
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        held = self.task.get() if self.task.exists() else None
         players, ended = held or (None, 0)
+        none = lambda n: pd.array([None] * n, "Int64")
         for r in rows:
-            players = r.players
-            ended += r.ended
-            yield Row(type="game_ended" if r.ended else "game_state", task_id=key[0], game_id=r.game_id, status=r.status, steps=r.steps, games=None, finished=None)
+            if not len(r):
+                continue
+            over = r["ended"].to_numpy(bool)
+            players, ended = int(r["players"].iloc[-1]), ended + int(over.sum())
+            yield pd.DataFrame({"type": np.where(over, "game_ended", "game_state"), "task_id": key[0], "game_id": r["game_id"].to_numpy(), "status": r["status"].to_numpy(), "steps": r["steps"].to_numpy(), "games": none(len(r)), "finished": none(len(r))})
         self.task.update((players, ended))
         if held is None or ended != held[1]:
-            yield Row(type="task_ended" if ended == players else "task_state", task_id=key[0], game_id=None, status=None, steps=None, games=players, finished=ended)
+            yield pd.DataFrame({"type": ["task_ended" if ended == players else "task_state"], "task_id": [key[0]], "game_id": [None], "status": [None], "steps": none(1), "games": [players], "finished": [ended]})
 
     def close(self) -> None:
         pass
 
 
-def played(rows: DataFrame) -> DataFrame:
+def played(rows: DataFrame, groups: int = GROUPS) -> DataFrame:
     """type, task_id, game_id, status, steps, games, finished: what a stream of games and attempts comes to.
 
     ``rows`` has game_id, and either task_id, target_page_title, max_steps and
@@ -156,7 +223,11 @@ def played(rows: DataFrame) -> DataFrame:
     are dealt to batches: an attempt that comes early waits for its turn. An
     attempt after a game's end is dropped, as is its state's list of waiting
     ones. A turn whose second attempt never comes stays open.
+
+    Games are dealt to ``groups`` by hash, so the state is read and written once
+    a group and batch, and attempts are worked off as columns.
     """
     kinds = "task_id string, game_id string, status string, steps bigint, players bigint, ended boolean"
-    games = rows.groupBy("game_id").transformWithState(Games(), kinds, "Append", "None")
-    return games.groupBy("task_id").transformWithState(Tasks(), "type string, task_id string, game_id string, status string, steps bigint, games bigint, finished bigint", "Append", "None")
+    dealt = rows.withColumn("_group", F.pmod(F.xxhash64("game_id"), F.lit(groups)))
+    games = dealt.groupBy("_group").transformWithStateInPandas(Games(), kinds, "Append", "None")
+    return games.groupBy("task_id").transformWithStateInPandas(Tasks(), "type string, task_id string, game_id string, status string, steps bigint, games bigint, finished bigint", "Append", "None")

@@ -186,3 +186,16 @@ def test_played_games_for_any_batches(spark, tmp_path, cut):
     tasks = {r.task_id: (r.games, r.finished) for r in sorted((r for r in out if r.game_id is None), key=lambda r: (r._batch, r.finished))}
     assert tasks == {f"t{k}": (6, sum(int(g[1:]) % 4 == k for g in over)) for k in range(4)}
     assert sorted(r.task_id for r in out if r.type == "task_ended") == sorted(t for t, (n, done) in tasks.items() if n == done)
+
+
+def test_games_of_a_group_share_a_state_and_are_played_together(spark, tmp_path):
+    """One group for all games, in two batches, the second of which has the games themselves: nothing is told before, and all as by one window a game."""
+    attempts, configs = played_rows()
+    rows = [[(g, None, None, None, None, *rest) for g, *rest in attempts], [(g, t, target, most, n, None, None, None, None) for g, t, target, most, n in configs]]
+    source = write_files(spark, tmp_path, rows, PLAY)
+    state.use_rocksdb(spark)
+    out = events.run_through(state.played(spark.readStream.schema(PLAY).option("maxFilesPerTrigger", 1).parquet(source), groups=1), "append").collect()
+    tries = spark.createDataFrame(attempts, "game_id string, turn int, attempt int, to_page_title string, error string")
+    made = spark.createDataFrame(configs, "game_id string, task_id string, target_page_title string, max_steps int, players int")
+    want = {r.game_id: (r.status, r.steps) for r in games.outcomes(tries, made).collect()}
+    assert {r._batch for r in out} == {1} and sorted((r.game_id, r.status, r.steps) for r in out if r.game_id) == sorted((g, *s) for g, s in want.items())
