@@ -71,7 +71,8 @@ def graph(spark: SparkSession, sf_dir: str) -> GraphStore:
     redirects = keep("resolved", lambda: L.resolve_redirects(L.redirect_ids(V.redirects_raw(spark, sf_dir), pages))).df
     titles = keep("pages", lambda: L.pruned_pages(pages, redirects).withColumn("folded", fold(F.col("title"))), "folded", ["page_id"])
     by_id = lambda: keep("pages-by-id", lambda: titles.df, "page_id", ["folded"])
-    linked = lambda: L.linked(V.links_raw(spark, sf_dir), V.linktargets(spark, sf_dir), pages, redirects)
+    links = lambda: V.links_of(parts_kept(spark, sf_dir)) if is_kept(spark, _parts_name(spark, sf_dir)) else V.links_raw(spark, sf_dir)
+    linked = lambda: L.linked(links(), V.linktargets(spark, sf_dir), pages, redirects)
     other = lambda name, there: there() if is_kept(spark, named(name)) else None
     edges = lambda: keep("edges", lambda: other("edges-in", incoming) or linked(), "src_id", ["dst_id"], True).df
     incoming = lambda: keep("edges-in", lambda: other("edges", edges) or linked(), "dst_id", ["src_id"], True).df
@@ -79,6 +80,15 @@ def graph(spark: SparkSession, sf_dir: str) -> GraphStore:
     return GraphStore(titles.df, redirects, edges, incoming, degrees, titles, by_id)
 
 
+def _parts_name(spark: SparkSession, sf_dir: str) -> str:
+    return f"parts-{GRAPH_VERSION}-{fingerprint(spark, [f'{sf_dir}/lineitem.parquet'])}"
+
+
+def parts_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of each order, kept like the graph's tables: games are walked from them, and links made of them, without dealing the lines again."""
+    return kept(spark, _parts_name(spark, sf_dir), lambda: V.orders_parts(spark, sf_dir), of=f"parts of {sf_dir}").df
+
+
 def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.resolve_redirects(L.redirect_ids(V.redirects_raw(spark, sf_dir), V.pages(spark, sf_dir)))
 

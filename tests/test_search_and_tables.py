@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from navgraph.operators import paths, race, sessions
 from navgraph.operators.store import GraphStore
+from navgraph.plans import play
 from navgraph.session import shared_dir
-from navgraph.sources import tables
+from navgraph.sources import tables, views
 
 
 def bfs(edges, start):
@@ -216,3 +217,31 @@ def test_moves_are_ordered_by_all_that_shows(spark, tmp_path):
     got = sorted((r.game_id, r.step, r.from_page_title, r.to_page_title) for r in views.moves(spark, str(tmp_path)).collect())
     assert got == [("g1", 1, "ITEM_4", "ITEM_1"), ("g1", 2, "ITEM_1", "ITEM_3"), ("g1", 3, "ITEM_3", "ITEM_3")]
     assert sorted((r.pl_from, r.pl_target_id) for r in views.links_raw(spark, str(tmp_path)).collect()) == [(4, 80), (8, 80), (10, 40)]
+
+
+def test_states_of_walks(spark, tmp_path):
+    """Walks give the states of games and moves, and their distances, for lines that tie, parts that are missing and orders without lines."""
+    spark.createDataFrame([(50, 1, 100), (50, 2, 7), (50, 2, 100), (1, 1, 5), (1, 2, None), (1, 3, 102), (2, 1, 8), (9, 1, 100)], "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, 0, "O", None) for k in (50, 1, 2, 3)], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate date").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k,) for k in (0, 2, 5, 7, 100, 102)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    games, pages = views.games(spark, str(tmp_path)), views.pages(spark, str(tmp_path))
+    parts, edges = views.orders_parts(spark, str(tmp_path)), spark.createDataFrame([(8, 101), (1, 8), (6, 101)], "src_id long, dst_id long")
+    plain = race.page_states(games, views.moves(spark, str(tmp_path)))
+    walked = race.walked_with_distance(views.configs(spark, str(tmp_path)), views.walks_of(parts), views.title_of, edges, pages)
+    columns = ["task_id", "game_id", "target_page_title", "move_index", "page_title", "distance"]
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(walked.select(columns)) == rows(race.with_distance(plain, edges, pages).select(columns))
+    assert {r.distance for r in walked.collect()} == {None, 0, 1, 2}
+    assert rows(views.links_of(parts)) == rows(views.links_raw(spark, str(tmp_path)))
+
+
+def test_windows_of_walked_states_deal_nothing(spark, sf_dir):
+    """What is windowed by game is not dealt after states are made, where games and walks are too large to be broadcast."""
+    df = play.distance_change(spark, sf_dir)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = df.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    above = plan[plan.index("Window") : plan.index("Generate")]
+    assert "hashpartitioning(game_id" not in above
