@@ -216,7 +216,8 @@ def run_durations(spark, sf_dir):
 
 @query(_NODES + " SELECT task_id, CAST(max(distance) AS BIGINT) AS max_distance, array_to_string(range(1, CAST(max(distance) AS BIGINT) + 3), ',') AS rings FROM nodes WHERE distance IS NOT NULL GROUP BY 1")
 def distance_rings(spark, sf_dir):
-    found = S.rings(_nodes(spark, sf_dir))
+    """A task's farthest node is its farthest state; its target, a node at distance 0, stands in for states without a distance."""
+    found = S.rings(_seen(spark, sf_dir).select("task_id", F.coalesce("distance", F.lit(0)).alias("distance")))
     return found.select("task_id", F.col("max_distance").cast("long").alias("max_distance"), F.array_join(F.col("rings").cast("array<string>"), ",").alias("rings"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from navgraph.operators import paths, race, sessions
 from navgraph.operators.store import GraphStore
-from navgraph.plans import play
+from navgraph.plans import play, tasks
 from navgraph.session import shared_dir
 from navgraph.sources import tables, views
 
@@ -253,3 +253,8 @@ def test_visits_need_no_graph(spark, sf_dir, monkeypatch):
 
     monkeypatch.setattr(play, "graph", built)
     assert play.visit_histogram(spark, sf_dir).count() and play.node_sizes(spark, sf_dir).count()
+
+
+def test_rings_are_read_off_states(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(race, "nodes", None)
+    assert tasks.distance_rings(spark, sf_dir).count() == play.task_completion(spark, sf_dir).count()
