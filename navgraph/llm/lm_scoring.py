@@ -1,4 +1,10 @@
-"""Operator 6: texts scored by a hierarchical Pitman-Yor language model."""
+"""Operator 6: texts scored by a hierarchical Pitman-Yor language model, in which each word is drawn in the context of the word before.
+
+Words are known by 64 bits of BLAKE2b. Rows of the tables between the steps are
+arrays of one kind, sent to a group: a group of pairs of words (a word and the
+one before), a group of words (a word's home), or a block of documents. Spark
+deals, groups and keeps them; the tasks work on a group's arrays.
+"""
 
 from __future__ import annotations
 
@@ -11,27 +17,30 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navgraph.llm.common import documents, materialize
-from navgraph.llm.hashing import as_bytes, grouped, slices
-from navgraph.llm.pitman_yor import CONTEXTS, Draw, seat_spelling, seat_words, spell
+from navgraph.llm.common import discard, documents, materialize, release
+from navgraph.llm.hashing import Codes, as_bytes, grouped, mix, slices
+from navgraph.llm.pitman_yor import CONTEXTS, WORDS, Draw, seat, seat_spelling, spell
 
 #: Draws that are thrown away at first, and draws whose predictive probabilities are averaged.
 BURN_IN, DRAWS = 2, 3
-#: Contexts: the last two bytes of the word before, five bits of each, which tell letters apart.
-KINDS = 1024
-#: A word with at least 1 / FREQUENT of all tokens is looked up in the tasks (so FREQUENT words at most); others are joined.
-FREQUENT = 20_000
-#: Words of an inner numpy step, about.
-STEP = 100_000
-#: Tokens whose scores a task holds before it adds them up by document.
-HELD = 1_000_000
-#: Bytes of the texts of a block, about; a longer text is a block of its own. What a block asks for is added up in one task.
-BLOCK = 1 << 24
-
-#: Of a document: row to score; of a rare word in a block of documents: the block's first row, word and at (row in the block * KINDS + context).
-RATED = pa.schema(
-    [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("word", pa.binary()), ("at", pa.list_(pa.int32()))]
+#: Pairs lie with their second word, unless it has 1 / FREQUENT of the tokens of the first HEAD documents; then with the first, or by themselves.
+FREQUENT, HEAD = 20_000, 1024
+#: Bytes of the texts of a block, about; a longer text is a block of its own.
+BLOCK = 1 << 23
+#: Bytes of text for which there is a group of words and one of pairs, about, and the least number of groups.
+GROUP, LEAST_GROUPS = 1 << 23, 8
+
+#: A block's documents, its pairs with the documents that have them, and its words; a group's words with what never changes, all its pairs, where blocks ask for them, the words it asks for.
+BLOCKS, ASKED, SPELT, HOME, PAIRS, ASKING, ALL = range(7)
+#: Pairs that occur twice or more; tables by word sent home and the answers; a draw's sums; sums over kept draws; the last answers, and scores by block.
+ACTIVE, PART, ANSWER, SUMS, SEATS, LEVEL, LEFT, LAST, SCORES = range(7, 16)
+ROW = pa.schema(
+    [("to", pa.int64()), ("kind", pa.int32()), ("src", pa.int64())]
+    + [(c, pa.list_(pa.int64())) for c in "ab"] + [(c, pa.list_(pa.int32())) for c in "ijk"] + [(c, pa.list_(pa.float64())) for c in "xy"] + [("data", pa.binary())]
 )
+ROW_DDL = "to long, kind int, src long, a array<long>, b array<long>, i array<int>, j array<int>, k array<int>, x array<double>, y array<double>, data binary"
+TYPES = {c: ROW.field(c).type for c in ROW.names}
+RATED_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def held_out(doc_id: Column) -> Column:
@@ -47,234 +56,341 @@ class Numbered(dict):
         return found
 
 
-def tokens(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Of many texts: A-Z lower-cased words, each text's followed by an end (the empty word); contexts; numbers of tokens by text."""
-    words, ends = [], []
-    for t in texts:
-        words += t.lower().split()
-        words.append(b"")
-        ends.append(len(words))
-    data = np.frombuffer(b"  " + b" ".join(words), np.uint8)
-    last = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)  # each word's last byte; a blank precedes the first
-    kind = ((data[last - 1] & 31).astype(np.int64) << 5) | (data[last] & 31)
-    before = np.concatenate([[0], kind[:-1]])
-    before[ends[:-1]] = 0  # a text begins anew
-    return words, before, np.diff([0, *ends])
+def tokens(texts: list[bytes], number: Numbered) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of many texts: numbers of the A-Z lower-cased words, each text's followed by an end (the empty word, which must be 0); of the words before, an end before a text's first; tokens by text."""
+    found, sizes = [], []
+    for group in grouped(texts):
+        words = []
+        for t in group:
+            at = len(words)
+            words += t.lower().split()
+            words.append(b"")
+            sizes.append(len(words) - at)
+        found.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
+    word = np.concatenate([*found, np.empty(0, np.int64)])
+    return word, np.concatenate([[0], word])[:-1], np.array(sizes, np.int64)
+
+
+def home(codes: np.ndarray, groups: int) -> np.ndarray:
+    """The group of each word."""
+    return (codes.view(np.uint64) % np.uint64(groups)).astype(np.int64)
+
+
+def pair_codes(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(mix(before.view(np.uint64)) + word.view(np.uint64))
+
+
+def rows(kind: int, to: object, sizes: object = None, **columns: object) -> pa.RecordBatch:
+    """Rows of one kind; arrays of values are cut into lists of ``sizes`` (default: one row has all); ``data`` has a row's bytes."""
+    to = np.asarray(to, np.int64)
+    out = {"to": pa.array(to), "kind": pa.array(np.full(len(to), kind, np.int32))}
+    for c, values in columns.items():
+        if c == "src":
+            out[c] = pa.array(np.broadcast_to(np.asarray(values, np.int64), len(to)))
+        elif c == "data":
+            out[c] = pa.array(values, pa.binary())
+        else:
+            ends = np.cumsum(np.append(0, [len(values)] if sizes is None else sizes)).astype(np.int32)
+            values = values if isinstance(values, pa.Array) else pa.array(np.asarray(values).astype(TYPES[c].value_type.to_pandas_dtype()))
+            out[c] = pa.ListArray.from_arrays(pa.array(ends), values)
+    return pa.RecordBatch.from_arrays([out[c] if c in out else pa.nulls(len(to), TYPES[c]) for c in ROW.names], schema=ROW)
+
+
+def pick(group: pa.Table, kind: int) -> pa.Table:
+    """A group's rows of a kind, by sender."""
+    some = group.filter(pc.equal(group["kind"], kind))
+    return some.take(pc.sort_indices(some["src"])).combine_chunks() if len(some) > 1 else some.combine_chunks()
+
+
+def flat(part: pa.Table | pa.RecordBatch, column: str) -> np.ndarray:
+    """All values of a column's lists."""
+    return np.asarray(pc.list_flatten(part[column]))
+
+
+def names_of(part: pa.Table) -> list[bytes]:
+    """Words of all rows, which keep them with blanks between."""
+    return [x for data in part["data"].to_pylist() for x in data.split(b" ")]
+
+
+def lengths(part: pa.Table, column: str) -> np.ndarray:
+    return pc.list_value_length(part[column]).to_numpy()
+
 
+def stage(*tables: DataFrame, work: object, schema: str = ROW_DDL) -> DataFrame:
+    """What ``work`` makes of the rows of each group; rows that it makes go to other groups."""
+    all_rows = tables[0]
+    for t in tables[1:]:
+        all_rows = all_rows.unionByName(t)
+    return all_rows.groupBy("to").applyInArrow(work, schema)
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """Every word of the rows of ``docs`` (text, held_out) that are not held out: word, ks (contexts), cs (counts in them)."""
+
+def table(batches: list[pa.RecordBatch]) -> pa.Table:
+    return pa.Table.from_batches(batches, ROW)
+
+
+def of_kind(df: DataFrame, *kinds: int) -> DataFrame:
+    return df.filter(F.col("kind").isin(*kinds))
+
+
+def frequent_codes(docs: DataFrame) -> np.ndarray:
+    """Codes of words that are frequent in the first HEAD documents. They say where pairs are worked on, and change no count."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, n, codes = Numbered({b"": 0}), np.zeros(0, np.int64), Codes()
         for batch in batches:
-            number, keys, counts = Numbered(), [], []
-            learnt = [t for t, held in zip(as_bytes(batch["text"]), batch["held_out"].to_pylist(), strict=True) if not held]
-            for group in grouped(learnt):
-                words, before, _ = tokens(group)
-                found, n = np.unique(np.fromiter(map(number.__getitem__, words), np.int64, len(words)) * KINDS + before, return_counts=True)
-                keys.append(found)
-                counts.append(n)
-            if not keys:
-                continue
-            found, where = np.unique(np.concatenate(keys), return_inverse=True)
-            names = pa.array(list(number), pa.binary())
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(found // KINDS)), pa.array(found % KINDS, pa.int32()), pa.array(np.bincount(where, np.concatenate(counts)).astype(np.int64))], ["word", "k", "c"])
-
-    # Dealt by word once; sums by (word, context) and lists by word need no other shuffle. A word has KINDS contexts at most.
-    dealt = docs.select("text", "held_out").mapInArrow(counted, "word binary, k int, c long").repartition("word")
-    listed = dealt.groupBy("word", "k").agg(F.sum("c").alias("c")).groupBy("word").agg(F.sort_array(F.collect_list(F.struct("k", "c"))).alias("l"))
-    return materialize(listed.select("word", F.col("l.k").alias("ks"), F.col("l.c").alias("cs")), "word-counts")
-
-
-def in_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
-    """Words; number of the word, context and count of each pair."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, STEP):
-            part = batch.slice(at, STEP)
-            ks = part["ks"]
-            yield part["word"], part["word"].to_pylist(), np.repeat(np.arange(len(ks)), ks.value_lengths().to_numpy()), ks.flatten().to_numpy(), part["cs"].flatten().to_numpy()
-
-
-def seated_sums(words: DataFrame, draw: Draw | None, number: int, seed: int) -> DataFrame:
-    """Sums over all words, seated given a draw: customers of each spelling cell, and under negative numbers what else is shared."""
-
-    base, draw = (draw.base() if draw else None), draw.shared() if draw else None
-
-    def seated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng([seed, number, TaskContext.get().partitionId()])
-        for _, w, word, context, count in in_steps(batches):
-            cells, start = spell(w)
-            spelt = np.exp(np.maximum(base(cells, start), -600.0)) if base else np.ones(len(w))
-            t, c0, t0, _ = seat_words(draw, spelt, word, context, count, rng)
-            found, where = np.unique(cells, return_inverse=True)
-            sums = np.bincount(where, np.repeat(t0, np.diff(np.append(start, len(cells))))).astype(np.int64)
-            tables = np.bincount(context, t, KINDS).astype(np.int64)
-            cell = np.concatenate([found, [-1, -2], -10 - np.arange(KINDS)])
-            n = np.concatenate([sums, [c0.sum(), t0.sum()], tables])
-            yield pa.RecordBatch.from_arrays([pa.array(cell[n > 0], pa.int64()), pa.array(n[n > 0], pa.int64())], ["cell", "n"])
-
-    return words.mapInArrow(seated, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-
-
-def sample(words: DataFrame, seed: int, burn_in: int = BURN_IN, draws: int = DRAWS) -> list[Draw]:
-    """Draws of what words share, after ``burn_in`` others.
-
-    In each round the tasks seat all words' customers given the last draw (all
-    words at once, each against what was shared in the round before), and sums
-    are made of their tables. Only those come to the driver, KINDS and 256**3 at
-    most for any corpus; it seats the spelling.
-    """
-    rng, draw, kept = np.random.default_rng(seed), None, []
-    for number in range(burn_in + draws):
-        sums = seated_sums(words, draw, number, seed).toPandas().sort_values("cell")
-        cell, n = sums["cell"].to_numpy(), sums["n"].to_numpy()
-        known = dict(zip(cell[cell < 0].tolist(), n[cell < 0].tolist(), strict=True))
-        spelling = seat_spelling(cell[cell >= 0], n[cell >= 0], draw.spelling if draw else None, rng)
-        draw = Draw(spelling, known.get(-1, 0), known.get(-2, 0), np.array([known.get(-10 - k, 0) for k in range(KINDS)]))
-        if number >= burn_in:
-            kept.append(draw)
-    return kept
+            word, _, _ = tokens(as_bytes(batch["text"]), number)
+            more = np.bincount(word, minlength=len(number))
+            more[: len(n)] += n
+            n = more
+        often = np.flatnonzero(n * FREQUENT >= max(n.sum(), 1))
+        names = list(number)
+        yield pa.RecordBatch.from_arrays([pa.array(np.array([codes[names[w]] for w in often], np.uint64).view(np.int64))], ["code"])
 
+    found = docs.select("text").limit(HEAD).coalesce(1).mapInArrow(counted, "code long").toPandas()["code"]
+    return np.unique(found.to_numpy().astype(np.int64))
 
-def predict(words: DataFrame, kept: list[Draw], sizes: np.ndarray, total: int, distinct: int, seed: int) -> DataFrame:
-    """Of each word: c, base (log10 of the smoothed count), score (log10 of the parent's probability), ks and scores (in its contexts), spelt.
 
-    Probabilities are averages over the draws; in each, the word's customers are
-    seated anew given the draw. ``spelt`` is the part that comes from spelling.
-    """
+def spread(docs: DataFrame, often: np.ndarray, groups: int) -> DataFrame:
+    """Blocks of documents (doc_id, text, held_out): their pairs, with the documents that each occurs in, and their words, sent to their groups."""
 
-    bases, kept = [d.base() for d in kept], [d.shared() for d in kept]
-
-    def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        discount, strength = CONTEXTS
-        rng = np.random.default_rng([seed, len(kept), TaskContext.get().partitionId(), 1])
-        for names, w, word, context, count in in_steps(batches):
-            parent, own, left = np.zeros(len(w)), np.zeros(len(word)), np.zeros(len(w))
-            cells, start = spell(w)
-            for draw, base in zip(kept, bases, strict=True):
-                spelt = np.exp(np.maximum(base(cells, start), -600.0))
-                t, _, _, p = seat_words(draw, spelt, word, context, count, rng)
-                parent += p / len(kept)
-                left += draw.share() * spelt / len(kept)
-                own += ((count - discount * t) / (strength + sizes[context]) + draw.context_shares(sizes)[context] * p[word]) / len(kept)
-            c = np.bincount(word, count, len(w)).astype(np.int64)
-            plain = np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
-            scores = np.log10(own).astype(np.float32)
-            offsets = pa.array(np.cumsum(np.append(0, np.bincount(word, minlength=len(w)))), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [names, pa.array(c), pa.array(plain), pa.array(np.log10(parent)), pa.ListArray.from_arrays(offsets, pa.array(context, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(scores)), pa.array(left)],
-                ["word", "c", "base", "score", "ks", "scores", "spelt"],
-            )
-
-    return words.mapInArrow(predicted, "word binary, c long, base double, score double, ks array<int>, scores array<float>, spelt double")
-
-
-def rate(docs: DataFrame, frequent: pa.Table, shares: np.ndarray) -> DataFrame:
-    """Each document with the sums over its frequent words, and each block's rare words with where they occur."""
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], pa.Array, pa.Array]]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], pa.Array, np.ndarray]]:
         for batch in slices(batches, 1 << 14):
             at = 0
             for texts in grouped(as_bytes(batch["text"]), BLOCK):
-                yield texts, batch["doc_id"].slice(at, len(texts)), batch["held_out"].slice(at, len(texts))
+                yield texts, batch["doc_id"].slice(at, len(texts)), batch["held_out"].slice(at, len(texts)).to_numpy(zero_copy_only=False)
                 at += len(texts)
 
-    def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 33
-        known = frequent["word"].to_pylist()
-        base = np.append(frequent["base"].to_numpy(), 0.0)
-        score = (np.append(frequent["score"].to_numpy(), 0.0)[:, None] + shares[None]).astype(np.float32)  # words without a seat in a context
-        ks = frequent["ks"].combine_chunks()
-        score[np.repeat(np.arange(len(ks)), ks.value_lengths().to_numpy()), ks.flatten().to_numpy()] = frequent["scores"].combine_chunks().flatten().to_numpy()
-        missing = len(known)
-        score[missing] = 0.0
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, codes = groups + (TaskContext.get().partitionId() << 32), Codes()
         for texts, doc_id, held in blocks(batches):
-            parts: list[list[np.ndarray]] = [[] for _ in range(4)]
-            number, whose, at, first = Numbered(zip(known, range(missing), strict=True)), [np.empty(0, np.int64)], [np.empty(0, np.int32)], 0
-            for group in grouped(texts):
-                words, before, sizes = tokens(group)
-                found = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-                others = np.flatnonzero(found >= missing)
-                doc = np.repeat(np.arange(first, first + len(group)), sizes)
-                whose.append(found[others] - missing)
-                at.append((doc[others] * KINDS + before[others]).astype(np.int32))
-                found[others] = missing
-                starts = np.cumsum([0, *sizes[:-1]])
-                for part, x in zip(parts, (sizes, np.add.reduceat((found < missing).astype(np.int64), starts), np.add.reduceat(base[found], starts), np.add.reduceat(score[found, before].astype(np.float64), starts)), strict=True):
-                    part.append(x)
-                first += len(group)
-            n, rare = len(texts), list(number)[missing:]
-            sums = [pa.array(np.concatenate([*p, np.empty(0)])).cast(kind) for p, kind in zip(parts, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), doc_id, held, *sums, pa.nulls(n, RATED.field("word").type), pa.nulls(n, RATED.field("at").type)], schema=RATED)
-            of = np.concatenate(whose)
-            ends = pa.array(np.cumsum(np.append(0, np.bincount(of, minlength=len(rare)))), pa.int32())
-            listed = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(at)[np.argsort(of, kind="stable")]))
-            empty = [pa.nulls(len(rare), RATED.field(i).type) for i in range(1, 7)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rare), row)), *empty, pa.array(rare, pa.binary()), listed], schema=RATED)
-            row += n
-
-    return materialize(docs.select("doc_id", "text", "held_out").mapInArrow(rated, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word binary, at array<int>"), "rated")
-
-
-def rate_rare(asked: DataFrame, table: DataFrame, shares: np.ndarray, plain: float, unknown: float) -> DataFrame:
-    """Sums by row over the rare words ``asked`` (row, word, at) of their known tokens, base and score.
-
-    Both sides are dealt and sorted by word, each word's row of the ``table``
-    before those that ask for it, so that a task looks up a batch at once and
-    holds one word of the batch before. Words that the table lacks have
-    ``plain`` and ``unknown``. No word is more than 1 / FREQUENT of all tokens.
-    Sums go back as arrays by block, and each block's are added up by document.
+            number = Numbered({b"": 0})
+            word, before, sizes = tokens(texts, number)
+            learnt = np.repeat(~held, sizes)
+            pairs, where = np.unique((word << 32) | before, return_inverse=True)
+            w, u = pairs >> 32, pairs & 0xFFFFFFFF
+            names = list(number)
+            code = np.array([codes[x] for x in names], np.uint64).view(np.int64)
+            hot, at = np.isin(code, often), home(code, groups)
+            to = np.where(~hot[w], at[w], np.where(~hot[u], at[u], (pair_codes(code[u], code[w]) % np.uint64(groups)).astype(np.int64)))
+            order = np.argsort(to, kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            yield rows(BLOCKS, [block], a=doc_id.cast(pa.int64()), b=sizes, j=held)
+            whose = np.repeat(np.arange(len(texts), dtype=np.uint16), sizes)[np.argsort(place[where], kind="stable")]  # the documents of each pair
+            sizes = np.bincount(to, minlength=groups)
+            some = np.flatnonzero(sizes)
+            c, n = np.bincount(where, learnt, len(pairs))[order], np.bincount(where, minlength=len(pairs))[order]
+            data = np.split(whose, np.cumsum(np.add.reduceat(n, np.cumsum(np.append(0, sizes[some][:-1]))))[:-1])
+            yield rows(ASKED, some, sizes[some], src=block, a=code[u[order]], b=code[w[order]], i=c, j=n, data=[x.tobytes() for x in data])
+            c = np.bincount(word, learnt, len(names))
+            known = np.flatnonzero(c)
+            known = known[np.argsort(at[known], kind="stable")]
+            sizes = np.bincount(at[known], minlength=groups)
+            some = np.flatnonzero(sizes)
+            ends = np.cumsum(sizes[some])
+            data = [b" ".join([names[w] for w in known[end - size : end]]) for end, size in zip(ends, sizes[some], strict=True)]
+            yield rows(SPELT, some, sizes[some], src=block, a=code[known], i=c[known], data=data)
+            block += 1
+
+    return docs.select("doc_id", "text", "held_out").mapInArrow(sent, ROW_DDL)
+
+
+def gather(sent: DataFrame, groups: int) -> DataFrame:
+    """Each group's words and pairs once, with their counts (0: in held-out documents only)."""
+
+    def of_words(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct words by home, and the place of each word in them."""
+        found, where = np.unique(codes, return_inverse=True)
+        order = np.argsort(home(found, groups), kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return found[order], place[where]
+
+    def gathered(group: pa.Table) -> pa.Table:
+        g = group["to"][0].as_py()
+        if g >= groups:
+            return group.select(ROW.names)
+        out, asked, spelt = [], pick(group, ASKED), pick(group, SPELT)
+        if len(spelt):
+            codes, first, where = np.unique(flat(spelt, "a"), return_index=True, return_inverse=True)
+            names = names_of(spelt)
+            out.append(rows(SPELT, [g], a=codes, b=np.bincount(where, flat(spelt, "i")), data=[b" ".join([names[k] for k in first])]))
+        if len(asked):
+            before, word = flat(asked, "a"), flat(asked, "b")
+            _, first, where = np.unique(pair_codes(before, word), return_index=True, return_inverse=True)
+            order = np.argsort(word[first])  # words in runs take less room
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            first, where = first[order], place[where]
+            c = np.bincount(where, flat(asked, "i")).astype(np.int64)
+            before, word, m = before[first], word[first], len(first)
+            codes, at = of_words(np.concatenate([before, word]))
+            once = c == 1
+            sizes = np.bincount(home(codes, groups), minlength=groups)
+            some = np.flatnonzero(sizes)
+            once_in, once_of = (np.bincount(x[once], minlength=len(codes)) for x in (at[:m], at[m:]))
+            out.append(rows(ALL, some, sizes[some], src=g, a=codes, i=once_in, j=once_of))
+            out.append(rows(PAIRS, [g], i=at[:m], j=at[m:], k=c))
+            out.append(rows(ASKING, np.full(len(asked), g), lengths(asked, "a"), src=asked["src"].to_numpy(), i=where, j=flat(asked, "j"), data=asked["data"].to_pylist()))
+            more = np.flatnonzero(c > 1)
+            if len(more):
+                codes, at = of_words(np.concatenate([before[more], word[more]]))
+                out.append(rows(ACTIVE, [g], a=codes, i=at[: len(more)], j=at[len(more) :], k=c[more]))
+        return table(out)
+
+    return materialize(stage(sent, work=gathered), "lm-pairs", by=["kind"])
+
+
+def at_home(model: DataFrame) -> DataFrame:
+    """Each group's words: counts, and in how many pairs that occur once they come first and second: these always sit at one table."""
+
+    def homes(group: pa.Table) -> pa.Table:
+        spelt, asked = pick(group, SPELT), pick(group, ALL)
+        if not len(spelt):
+            return table([])
+        codes = flat(spelt, "a")
+        place, known = find(codes, flat(asked, "a"))
+        once = [np.bincount(place[known], flat(asked, c)[known], len(codes)) for c in "ij"]
+        return table([rows(HOME, group["to"][:1], a=codes, b=flat(spelt, "b"), i=once[0], j=once[1], data=spelt["data"].to_pylist())])
+
+    return materialize(stage(of_kind(model, SPELT, ALL), work=homes), "lm-words")
+
+
+def find(codes: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each asked word lies among sorted codes, and whether it does."""
+    place = np.minimum(np.searchsorted(codes, asked), max(len(codes) - 1, 0))
+    return place, codes[place] == asked if len(codes) else np.zeros(len(asked), bool)
+
+
+def seated(model: DataFrame, words: DataFrame, last: DataFrame | None, draw: Draw | None, total: int, groups: int, number: int, seed: int, keep: bool, answer: bool) -> DataFrame:
+    """One round of the sampler: pairs are seated given the last round's answers (tables of the context, the word's probability), then words given their customers.
+
+    Only pairs that occur twice or more are sent and drawn. With ``keep``, sums
+    over kept rounds go on; without ``answer`` nobody is told of the outcome.
     """
-    known = table.select("word", F.lit(False).alias("asks"), F.lit(0).cast("long").alias("row"), F.array().cast("array<int>").alias("at"), "base", "score", "ks", "scores")
-    asked = asked.select("word", F.lit(True).alias("asks"), "row", "at", F.lit(0.0).alias("base"), F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ks"), F.array().cast("array<float>").alias("scores"))
-    names = ["n_known", "base", "score"]
-
-    def added(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        start, at, *sums = (np.concatenate(x) for x in zip(*held, strict=True))
-        _, first, where = np.unique(start + at, return_index=True, return_inverse=True)
-        blocks, ends = np.unique(start[first], return_index=True)
-        listed = [pa.ListArray.from_arrays(pa.array(np.append(ends, len(first)), pa.int32()), pa.array(x)) for x in (at[first], *(np.bincount(where, x, len(first)) for x in sums))]
-        return pa.RecordBatch.from_arrays([pa.array(blocks), *listed], ["start", "at", *names])
-
-    def added_up(block: pa.Table) -> pa.Table:
-        at, *sums = (block[c].combine_chunks().flatten().to_numpy() for c in ("at", *names))
-        at, where = np.unique(at, return_inverse=True)
-        return pa.table([block["start"][0].as_py() + at.astype(np.int64), *(np.bincount(where, x, len(at)) for x in sums)], ["row", *(f"rare_{c}" for c in names)])
-
-    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held, n = None, [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch if last is None else pa.concat_batches([last, batch])
-            asks = x["asks"].to_numpy(zero_copy_only=False)
-            listed, asking = np.flatnonzero(~asks), np.flatnonzero(asks)
-            owner = np.cumsum(~asks) - 1
-            same = np.zeros(len(asks), bool)
-            base, parent, keys, own = np.zeros(1), np.zeros(1), np.full(1, -1), np.zeros(1)
-            if len(listed):
-                same = (owner >= 0) & pc.equal(x["word"], x["word"].take(pa.array(listed[np.maximum(owner, 0)]))).to_numpy(zero_copy_only=False)
-                base, parent = x["base"].to_numpy()[listed], x["score"].to_numpy()[listed]
-                lengths = x["ks"].value_lengths().to_numpy()[listed]  # those that ask have none
-                keys, own = np.repeat(np.arange(len(listed)), lengths) * KINDS + x["ks"].flatten().to_numpy(), x["scores"].flatten().to_numpy()
-                last = x.slice(int(listed[-1]), 1)
-            lengths = x["at"].value_lengths().to_numpy()[asking]
-            at = x["at"].flatten().to_numpy()
-            word, is_known = np.repeat(np.maximum(owner[asking], 0), lengths), np.repeat(same[asking], lengths)
-            k, key = at % KINDS, word * KINDS + at % KINDS
-            place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            score = np.where(is_known & (keys[place] == key), own[place], shares[k] + np.where(is_known, parent[word], unknown))
-            held.append((np.repeat(x["row"].to_numpy()[asking], lengths), at // KINDS, is_known, np.where(is_known, base[word], plain), score))
-            n += len(at)
-            if n >= HELD:
-                yield added(held)
-                held, n = [], 0
-        if n:
-            yield added(held)
-
-    dealt = known.unionByName(asked).repartition("word").sortWithinPartitions("word", "asks")
-    sums = dealt.mapInArrow(looked_up, "start long, at array<int>, n_known array<double>, base array<double>, score array<double>")
-    return sums.groupBy("start").applyInArrow(added_up, "row long, rare_n_known double, rare_base double, rare_score double")
+    base, shared = (draw.base(), draw.shared()) if draw else (None, None)
+
+    def seat_pairs(group: pa.Table) -> pa.Table:
+        pairs = pick(group, ACTIVE)
+        if not len(pairs):
+            return table([])
+        g, codes, count = group["to"][0].as_py(), flat(pairs, "a"), flat(pairs, "k").astype(np.int64)
+        context, word = flat(pairs, "i"), flat(pairs, "j")
+        t = np.ones(len(count), np.int64)
+        told, before = pick(group, ANSWER), pick(group, SEATS)
+        if len(told):
+            discount, strength = CONTEXTS
+            tables, p = flat(told, "i"), flat(told, "y")
+            t = seat(count, (strength + discount * tables[context]) * p[word], discount, np.random.default_rng([seed, number, g]))
+        sizes = np.bincount(home(codes, groups), minlength=groups)
+        some = np.flatnonzero(sizes)
+        out = [rows(PART, some, sizes[some], src=g, a=codes, i=np.bincount(context, t, len(codes)), j=np.bincount(word, t, len(codes)))]
+        if keep:
+            out.append(rows(SEATS, [g], i=t + flat(before, "i") if len(before) else t))
+        return table(out)
+
+    def seat_words(group: pa.Table) -> pa.Table:
+        own, parts, before = (pick(group, k) for k in (HOME, PART, LEVEL))
+        g, out = group["to"][0].as_py(), [b for b in group.filter(pc.equal(group["kind"], SEATS)).select(ROW.names).to_batches()]
+        if not len(own):
+            return table(out)
+        codes, asked = flat(own, "a"), flat(parts, "a")
+        place, _ = find(codes, asked)
+        tables, customers = ((flat(own, c) + np.bincount(place, flat(parts, c), len(codes))).astype(np.int64) for c in "ij")
+        cells, start = spell(names_of(own))
+        if shared is None:
+            t0, p = np.minimum(customers, 1), flat(own, "b") / total
+        else:
+            discount, strength = WORDS
+            spelt = np.exp(np.maximum(base(cells, start), -600.0))
+            opening = (strength + discount * shared.tables) * spelt
+            t0 = seat(customers, opening, discount, np.random.default_rng([seed, number, g, 1]))
+            p = (customers - discount * t0 + opening) / (strength + shared.customers)
+        found, where = np.unique(cells, return_inverse=True)
+        sums = np.bincount(where, np.repeat(t0, np.diff(np.append(start, len(cells)))))
+        out.append(rows(SUMS, [g], a=np.concatenate([found, [-1, -2]]), b=np.concatenate([sums, [customers.sum(), t0.sum()]])))
+        if answer and len(parts):
+            out.append(rows(ANSWER, parts["src"].to_numpy(), lengths(parts, "a"), src=g, i=tables[place], y=p[place]))
+        if keep:
+            sums = [tables, p] if not len(before) else [tables + flat(before, "x"), p + flat(before, "y")]
+            out += [rows(LEVEL, [g], x=sums[0], y=sums[1]), rows(LEFT, [g], x=[spelt.sum()])]
+        return table(out)
+
+    pairs = [of_kind(model, ACTIVE), *([of_kind(last, ANSWER, SEATS)] if last else [])]
+    told = [words, stage(*pairs, work=seat_pairs), *([of_kind(last, LEVEL)] if last else [])]
+    return materialize(stage(*told, work=seat_words), "lm-draw", by=["kind"])
+
+
+def sample(model: DataFrame, words: DataFrame, total: int, groups: int, seed: int, burn_in: int = BURN_IN, draws: int = DRAWS) -> tuple[DataFrame, float]:
+    """The last of ``burn_in`` + ``draws`` rounds, with sums over the last ``draws``; what these leave to words that aren't known.
+
+    Each round's cells of spelling are summed up by Spark and come to the
+    driver, 256**3 at most for any corpus; it seats the spelling. ``burn_in`` is 1 at least.
+    """
+    rng, draw, last, unknown = np.random.default_rng(seed), None, None, 0.0
+    for number in range(burn_in + draws):
+        keep = number >= burn_in
+        now = seated(model, words, last, draw, total, groups, number, seed, keep, number < burn_in + draws - 1)
+        if last:
+            discard(last)
+        if keep:
+            spelt = of_kind(now, LEFT).select(F.explode("x").alias("x")).agg(F.sum("x")).first()[0] or 0.0
+            unknown += draw.share() * max(1.0 - spelt, 0.0) / draws
+        cells = of_kind(now, SUMS).select(F.explode(F.arrays_zip("a", "b")).alias("s")).groupBy(F.col("s.a").alias("cell")).agg(F.sum("s.b").alias("n")).toPandas().sort_values("cell")
+        cell, n = cells["cell"].to_numpy(), cells["n"].to_numpy()
+        known = dict(zip(cell[cell < 0].tolist(), n[cell < 0].tolist(), strict=True))
+        spelling = seat_spelling(cell[cell >= 0], n[cell >= 0], draw.spelling if draw else None, rng)
+        draw, last = Draw(spelling, known.get(-1, 0), known.get(-2, 0)), now
+        release(model.sparkSession)
+    return last, unknown
+
+
+def rate(model: DataFrame, words: DataFrame, last: DataFrame, unknown: float, draws: int, total: int, distinct: int, groups: int) -> DataFrame:
+    """Each document's sums over its tokens."""
+    discount, strength = CONTEXTS
+
+    def answer(group: pa.Table) -> pa.Table:
+        own, level, asked = (pick(group, k) for k in (HOME, LEVEL, ALL))
+        if not len(asked):
+            return table([])
+        c, tables, p = np.zeros(1), np.zeros(1), np.full(1, max(unknown, 1e-300))  # of words that aren't known
+        codes = flat(own, "a") if len(own) else np.empty(0, np.int64)
+        if len(own):
+            c, tables, p = np.append(flat(own, "b"), c), np.append(flat(level, "x"), tables), np.append(flat(level, "y") / draws, p)
+        place, known = find(codes, flat(asked, "a"))
+        place = np.where(known, place, len(codes))
+        return table([rows(LAST, asked["src"].to_numpy(), lengths(asked, "a"), src=group["to"][0].as_py(), i=tables[place], j=c[place], y=p[place])])
+
+    def score(group: pa.Table) -> pa.Table:
+        pairs, asking, seats, told = (pick(group, k) for k in (PAIRS, ASKING, SEATS, LAST))
+        if not len(pairs):
+            return table([])
+        context, word, count = flat(pairs, "i"), flat(pairs, "j"), flat(pairs, "k").astype(np.int64)
+        tables = np.minimum(count, 1).astype(np.float64)
+        tables[count > 1] = flat(seats, "i") / draws
+        n, p = flat(told, "j").astype(np.int64), flat(told, "y")
+        share = (strength + discount * flat(told, "i") / draws) / (strength + n)
+        own = np.log10((count - discount * tables) / (strength + n[context]) + share[context] * p[word])
+        base = np.log10((n + 0.1) / (total + 0.1 * (distinct + 1)))
+        out = []
+        for block in asking.to_batches(1):
+            where, times = flat(block, "i"), flat(block, "j")
+            docs, whose = np.unique(np.frombuffer(block["data"][0].as_py(), np.uint16), return_inverse=True)
+            at = word[where]
+            known, base_sum, own_sum = (np.bincount(whose, np.repeat(x, times)) for x in (n[at] > 0, base[at], own[where]))
+            out.append(rows(SCORES, [block["src"][0].as_py()], src=group["to"][0].as_py(), i=docs, j=known, x=base_sum, y=own_sum))
+        return table(out)
+
+    def add_up(group: pa.Table) -> pa.Table:
+        docs, scores = pick(group, BLOCKS), pick(group, SCORES)
+        sizes, at = flat(docs, "b"), flat(scores, "i")
+        known, base, own = (np.bincount(at, flat(scores, c), len(sizes)) for c in "jxy")
+        held = pa.array(flat(docs, "j") > 0)
+        return pa.table([pc.list_flatten(docs["a"]).combine_chunks(), held, pa.array(sizes), pa.array(known.astype(np.int64)), pa.array(base), pa.array(own)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    answers = stage(words, of_kind(last, LEVEL), of_kind(model, ALL), work=answer)
+    scores = stage(of_kind(model, PAIRS, ASKING), of_kind(last, SEATS), answers, work=score)
+    return stage(of_kind(model, BLOCKS), scores, work=add_up, schema=RATED_DDL)
 
 
 def score_texts(docs: DataFrame, held: Column, seed: int = 6) -> DataFrame:
@@ -284,33 +400,23 @@ def score_texts(docs: DataFrame, held: Column, seed: int = 6) -> DataFrame:
     ``held`` is false. Tokens are A-Z lower-cased words, and one end for each
     text: null and empty texts are one token. base_score adds up smoothed
     relative counts, score the model's averaged predictive probabilities of each
-    word in its context, the last letters of the word before. As in base_score,
-    all words that are not known are one event: their probability is what
-    spelling leaves them. Equal rows get equal scores.
+    word in its context, the word before (an end before a text's first). As in
+    base_score, all words that are not known are one event: their probability
+    is what spelling leaves them. Equal texts get equal scores.
 
-    Words are grouped by one shuffle of counts. Frequent words, FREQUENT at
-    most, go with the tasks; the others are joined with the table of words.
+    Texts are cut into words once. Blocks of documents send each pair of theirs,
+    with the documents it occurs in, to the pair's group, and get back sums by document.
     """
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"))
-    words = count_words(columns)
-    by_kind = words.select(F.explode(F.arrays_zip("ks", "cs")).alias("x")).groupBy("x.ks").agg(F.sum("x.cs").alias("n")).collect()  # KINDS rows at most
-    sizes = np.zeros(KINDS)
-    for r in by_kind:
-        sizes[r["ks"]] = r["n"]
-    total, distinct = int(sizes.sum()), words.count()
-    kept = sample(words, seed)
-    table = materialize(predict(words, kept, sizes, total, distinct, seed), "word-scores")
-    spelt = table.agg(F.sum("spelt")).first()[0] or 0.0
-    unknown = float(np.log10(max(np.mean([d.share() for d in kept]) - spelt, 1e-300)))
-    shares = np.log10(np.mean([d.context_shares(sizes) for d in kept], axis=0))
-
-    often = F.col("c") * FREQUENT >= max(total, 1)
-    frequent = table.filter(often).select("word", "base", "score", "ks", "scores").toArrow()
-    rated = rate(columns, frequent, shares)
-    plain = float(np.log10(0.1 / (total + 0.1 * (distinct + 1))))
-    sums = rate_rare(rated.filter(F.col("word").isNotNull()), table.filter(~often), shares, plain, unknown)
-    both = lambda c: F.col(c) + F.coalesce(F.col(f"rare_{c}"), F.lit(0))
-    return rated.filter(F.col("word").isNull()).join(sums, "row", "left").select("doc_id", "held_out", "n_tokens", both("n_known").cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), F.round(both("base"), 6).alias("base_score"), F.round(both("score"), 6).alias("score"))
+    groups = max(LEAST_GROUPS, (columns.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // GROUP)
+    model = gather(spread(columns, frequent_codes(columns), groups), groups)
+    release(docs.sparkSession)
+    words = at_home(model)
+    known = words.select(F.size("a").alias("n"), F.aggregate("b", F.lit(0).cast("long"), lambda x, y: x + y).alias("c")).agg(F.sum("n"), F.sum("c")).first()
+    distinct, total = known[0] or 0, known[1] or 0
+    last, unknown = sample(model, words, total, groups, seed)
+    rated = rate(model, words, last, unknown, DRAWS, total, distinct, groups)
+    return rated.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """A hierarchical Pitman-Yor model of words: context restaurants, a shared parent, and restaurants of bytes that spell words.
 
-A word is seated in the restaurant of its context. All of these have one
+A word is seated in the restaurant of its context, the word before. All of these have one
 parent, the restaurant of words without context, whose base distribution spells
 a word byte by byte, ended by a blank: bytes after two given ones are seated in
 the restaurant of that context, whose parent is the one of the last byte alone,
@@ -139,12 +139,11 @@ def seat_spelling(cells: np.ndarray, customers: np.ndarray, before: Spelling | N
 
 @dataclass
 class Draw:
-    """One draw of what all words share: the spelling, customers and tables of the parent, and tables of each context."""
+    """One draw of what all words share: the spelling, customers and tables of the parent."""
 
     spelling: Spelling
     customers: int
     tables: int
-    context_tables: np.ndarray
 
     def base(self) -> WordBase:
         cells = self.spelling.cells[2]
@@ -152,40 +151,13 @@ class Draw:
 
     def shared(self) -> Draw:
         """The draw without its spelling, as tasks need it."""
-        return Draw(Spelling([], [], []), self.customers, self.tables, self.context_tables)
+        return Draw(Spelling([], [], []), self.customers, self.tables)
 
     def share(self) -> float:
         """The part of the parent's probability that is left to spelling."""
         discount, strength = WORDS
         return (strength + discount * self.tables) / (strength + self.customers)
 
-    def context_shares(self, sizes: np.ndarray) -> np.ndarray:
-        """The part of each context's probability that is left to the parent."""
-        discount, strength = CONTEXTS
-        return (strength + discount * self.context_tables) / (strength + sizes)
-
-
-def seat_words(draw: Draw | None, spelt: np.ndarray, word: np.ndarray, context: np.ndarray, count: np.ndarray, rng: np.random.Generator, sweeps: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tables in each context, customers and tables in the parent, and parent probabilities of words, given a draw.
-
-    ``word`` numbers the dish of each (context, count), ``spelt`` has the words'
-    base probabilities. Contexts and parent are seated in turn.
-    """
-    n = len(spelt)
-    t = np.minimum(count, 1)
-    for sweep in range(sweeps):
-        c0 = np.bincount(word, t, n).astype(np.int64)
-        discount, strength = WORDS
-        if draw is None:
-            return t, c0, np.minimum(c0, 1), spelt
-        opening = (strength + discount * draw.tables) * spelt
-        t0 = seat(c0, opening, discount, rng)
-        parent = (c0 - discount * t0 + opening) / (strength + draw.customers)
-        if sweep < sweeps - 1:
-            discount, strength = CONTEXTS
-            t = seat(count, (strength + discount * draw.context_tables[context]) * parent[word], discount, rng)
-    return t, c0, t0, parent
-
 
 @dataclass
 class WordBase:

@@ -6,6 +6,7 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -50,7 +51,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame, label: str, always: bool = False) -> DataFrame:
+def materialize(df: DataFrame, label: str, always: bool = False, by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back; lineage ends there.
 
     A lost executor then costs a re-read, not a recomputation, and steps that
@@ -58,12 +59,12 @@ def materialize(df: DataFrame, label: str, always: bool = False) -> DataFrame:
     are of no more use; Spark deletes them when the driver collects its garbage,
     which is asked for here, as jobs of many steps would else hold them all, but
     not again within a few seconds, in which small steps leave little (unless
-    ``always``).
+    ``always``). Rows are kept apart ``by`` columns, so that some are read without the others.
     """
     global _collected
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/navgraph/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     if always or time.monotonic() - _collected > COLLECT_EVERY_S:
         spark.sparkContext._jvm.System.gc()
         _collected = time.monotonic()

@@ -216,6 +216,18 @@ def test_seats_of_all_sizes():
             assert abs(exact.std() - near.std()) < 0.5 + 0.35 * exact.std(), (discount, opening, exact.std(), near.std())
 
 
+def test_lm_contexts_are_whole_words(spark):
+    """Words before that end alike are contexts of their own, and a pair that was learnt is likelier than one of the same words that was not."""
+    learnt = [(i, "the cat purrs", False) for i in range(20)] + [(20 + i, "the bat flies", False) for i in range(20)]
+    asked = [(100, "the cat purrs", True), (101, "the bat purrs", True), (102, "the bat flies", True), (103, "the cat flies", True), (104, "a gnu flies", True)]
+    rows = spark.createDataFrame(learnt + asked, "doc_id long, text string, held boolean")
+    out = {r.doc_id: r for r in lm_scoring.score_texts(rows, F.col("held")).collect()}
+    assert len(out) == 45 and out[100].score == out[0].score and out[102].score == out[20].score
+    assert out[100].n_known == out[103].n_known == 4
+    assert out[100].score > out[101].score + 1 and out[102].score > out[103].score + 1
+    assert out[104].n_known == 2 and out[104].score < out[103].score
+
+
 def test_lm_scoring_of_odd_rows(spark):
     out = lm_scoring.score_texts(up(spark, ODD, True), F.coalesce(F.col("doc_id") == 10, F.lit(False))).collect()
     assert len(out) == len(ODD) and {r.n_tokens for r in out if r.doc_id in (1, 2, 9)} == {1}
