@@ -195,7 +195,7 @@ def single_paths(edges: DataFrame, pairs: DataFrame, max_expansions: int = 10) -
     least node of those where the trees meet, and is read off by walking
     parents, one step of all queries a round; nothing is enumerated.
     """
-    grown = lambda f, here, there: f.select("query_id", "node").join(edges.select(F.col(here).alias("node"), F.col(there).alias("next")), "node").groupBy("query_id", F.col("next").alias("node")).agg(F.min("node").alias("parent"))
+    grown = lambda f, here, there: broadcast_up_to(f.select("query_id", "node"), MAX_BROADCAST_ROWS).join(edges.select(F.col(here).alias("node"), F.col(there).alias("next")), "node").groupBy("query_id", F.col("next").alias("node")).agg(F.min("node").alias("parent"))
     root = lambda c: pairs.select("query_id", F.col(c).alias("node"), F.lit(None).cast("long").alias("parent"))
     trees = {"src_id": materialize(root("src_id"), "tree"), "dst_id": materialize(root("dst_id"), "tree")}
     fronts, open_, met, expansions = dict(trees), pairs.select("query_id"), None, 0
@@ -230,10 +230,14 @@ def single_paths(edges: DataFrame, pairs: DataFrame, max_expansions: int = 10) -
 
 
 def connected(paths: DataFrame, edges: DataFrame) -> DataFrame:
-    """The given rows (query_id, path) with ``connected``: whether every two neighbours on the path are an edge."""
+    """The given rows (query_id, path) with ``connected``: whether every two neighbours on the path are an edge.
+
+    Few steps are sent to the edges, which then needn't be dealt.
+    """
     keyed = paths.withColumn("_key", F.xxhash64("query_id", "path"))
     steps = keyed.select("_key", F.explode(F.expr("transform(sequence(1, greatest(size(path) - 1, 1)), i -> struct(get(path, i - 1) AS src_id, get(path, i) AS dst_id))")).alias("s")).select("_key", "s.*").filter("dst_id IS NOT NULL")
-    broken = steps.join(edges.select("src_id", "dst_id"), ["src_id", "dst_id"], "left_anti").select("_key").distinct()
+    there = edges.select("src_id", "dst_id").join(broadcast_up_to(steps.select("src_id", "dst_id").distinct(), MAX_BROADCAST_ROWS), ["src_id", "dst_id"]).distinct()
+    broken = steps.join(there, ["src_id", "dst_id"], "left_anti").select("_key").distinct()
     return keyed.join(broken.withColumn("_broken", F.lit(True)), "_key", "left").withColumn("connected", F.col("_broken").isNull()).drop("_key", "_broken")
 
 

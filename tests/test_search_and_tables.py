@@ -258,3 +258,28 @@ def test_visits_need_no_graph(spark, sf_dir, monkeypatch):
 def test_rings_are_read_off_states(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(race, "nodes", None)
     assert tasks.distance_rings(spark, sf_dir).count() == play.task_completion(spark, sf_dir).count()
+
+
+@pytest.fixture
+def plans(spark, monkeypatch):
+    """Plans of the steps that a search writes, by label, with no side small enough for Spark to broadcast it by itself."""
+    seen, real = defaultdict(list), paths.materialize
+
+    def written(df, label, *more):
+        seen[label].append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, label, *more)
+
+    monkeypatch.setattr(paths, "materialize", written)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield seen
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_single_paths_send_few_nodes_to_the_edges(spark, net, plans):
+    edges, back = net
+    found = paths.connected(paths.single_paths(edges, spark.createDataFrame([(1, 400, 404), (2, 5, 9)], "query_id long, src_id long, dst_id long")), edges)
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+    grown = [p for p in plans["tree"] if "Join" in p]
+    assert grown and all("BroadcastHashJoin" in p for p in grown)
+    assert {r.query_id: (r.length, r.connected) for r in found.collect()}[1] == (4, True)
