@@ -180,7 +180,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_paths: int | None = N
             end = F.element_at("path", 1 if side == "a" else -1)
             longer = F.concat(F.array("next"), "path") if side == "a" else F.concat("path", F.array("next"))
             known = reach.select("query_id", F.col("node").alias("next"), "level")
-            grown = open_.withColumn("node", end).join(steps, "node").withColumn("level", F.col(side) - 1).join(known, ["query_id", "next", "level"])
+            grown = broadcast_up_to(open_.withColumn("node", end), MAX_BROADCAST_ROWS).join(steps, "node").withColumn("level", F.col(side) - 1).join(known, ["query_id", "next", "level"])
             grown = grown.select("query_id", *[(F.col(c) - 1).alias(c) if c == side else F.col(c) for c in ("a", "b")], longer.alias("path"))
             paths = materialize(kept(paths.filter(F.col(side) <= 0).unionByName(grown)), "paths")
     return paths.select("query_id", (F.size("path") - 1).alias("length"), "path").distinct()

@@ -283,3 +283,11 @@ def test_single_paths_send_few_nodes_to_the_edges(spark, net, plans):
     grown = [p for p in plans["tree"] if "Join" in p]
     assert grown and all("BroadcastHashJoin" in p for p in grown)
     assert {r.query_id: (r.length, r.connected) for r in found.collect()}[1] == (4, True)
+
+
+def test_walks_of_shortest_paths_send_few_paths_to_the_edges(spark, net, plans):
+    edges, back = net
+    found = paths.shortest_paths(edges, spark.createDataFrame([(1, 400, 402)], "query_id long, src_id long, dst_id long")).collect()
+    assert [r.length for r in found] == [2] * len(found) and found
+    walked = plans["paths"][1:]  # the first has the nodes in the middle
+    assert walked and all("BroadcastHashJoin" in p for p in walked)
