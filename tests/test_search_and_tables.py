@@ -291,3 +291,13 @@ def test_walks_of_shortest_paths_send_few_paths_to_the_edges(spark, net, plans):
     assert [r.length for r in found] == [2] * len(found) and found
     walked = plans["paths"][1:]  # the first has the nodes in the middle
     assert walked and all("BroadcastHashJoin" in p for p in walked)
+
+
+def test_degrees_of_few_pages_make_no_table(spark, net):
+    edges, back = net
+    store = GraphStore(None, None, edges, degrees=lambda: pytest.fail("all degrees are counted"))
+    asked = spark.createDataFrame([(401,), (5,), (999,)], "page_id long")
+    got = {r.page_id: (r.outgoing_count, r.incoming_count) for r in store.degrees_of(asked).collect()}
+    pairs = [(a, b) for b, sources in back.items() for a in sources]
+    want = {p: (sum(a == p for a, _ in pairs), sum(b == p for _, b in pairs)) for p in (401, 5)}
+    assert got == {p: n for p, n in want.items() if n != (0, 0)}
