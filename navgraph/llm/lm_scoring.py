@@ -1,9 +1,9 @@
 """Operator 6: texts scored by a hierarchical Pitman-Yor language model, in which each word is drawn in the context of the word before.
 
 Words are known by 64 bits of BLAKE2b. Rows of the tables between the steps are
-arrays of one kind, sent to a group: a group of pairs of words (a word and the
-one before), a group of words (a word's home), or a block of documents. Spark
-deals, groups and keeps them; the tasks work on a group's arrays.
+packed arrays of one kind, sent to a group: a group of pairs of words (a word
+and the one before), a group of words (a word's home), or a block of documents.
+Spark deals, groups and keeps them; the tasks work on a group's arrays.
 """
 
 from __future__ import annotations
@@ -18,13 +18,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from navgraph.llm.common import discard, documents, materialize, release
-from navgraph.llm.hashing import Codes, as_bytes, grouped, mix, slices
+from navgraph.llm.hashing import Codes, as_bytes, code, grouped, mix, slices
+from navgraph.llm.packed import pack, pack_words, unpack, unpack_words
 from navgraph.llm.pitman_yor import CONTEXTS, WORDS, Draw, seat, seat_spelling, spell
 
 #: Draws that are thrown away at first, and draws whose predictive probabilities are averaged.
 BURN_IN, DRAWS = 2, 3
 #: Pairs lie with their second word, unless it has 1 / FREQUENT of the tokens of the first HEAD documents; then with the first, or by themselves.
 FREQUENT, HEAD = 20_000, 1024
+#: Words of the first HEAD documents, the most frequent ones, that are sent by number; others are sent by code.
+COMMON = (1 << 16) - 1
+#: Scores by document and group are sent as whole numbers of so small a part of 1; their sums depend on no order.
+PART_OF_1 = 1 << 32
 #: Bytes of the texts of a block, about; a longer text is a block of its own.
 BLOCK = 1 << 23
 #: Bytes of text for which there is a group of words and one of pairs, about, and the least number of groups.
@@ -34,12 +39,10 @@ GROUP, LEAST_GROUPS = 1 << 23, 8
 BLOCKS, ASKED, SPELT, HOME, PAIRS, ASKING, ALL = range(7)
 #: Pairs that occur twice or more; tables by word sent home and the answers; a draw's sums; sums over kept draws; the last answers, and scores by block.
 ACTIVE, PART, ANSWER, SUMS, SEATS, LEVEL, LEFT, LAST, SCORES = range(7, 16)
-ROW = pa.schema(
-    [("to", pa.int64()), ("kind", pa.int32()), ("src", pa.int64())]
-    + [(c, pa.list_(pa.int64())) for c in "ab"] + [(c, pa.list_(pa.int32())) for c in "ijk"] + [(c, pa.list_(pa.float64())) for c in "xy"] + [("data", pa.binary())]
-)
-ROW_DDL = "to long, kind int, src long, a array<long>, b array<long>, i array<int>, j array<int>, k array<int>, x array<double>, y array<double>, data binary"
-TYPES = {c: ROW.field(c).type for c in ROW.names}
+#: Columns of packed arrays; ``data`` has packed words, ``ids`` and ``n`` are what Spark sums up or has nulls.
+PACKED = "abijklxyd"
+ROW = pa.schema([("to", pa.int64()), ("kind", pa.int32()), ("src", pa.int64())] + [(c, pa.binary()) for c in (*PACKED, "data")] + [(c, pa.list_(pa.int64())) for c in ("ids", "n")] + [("left", pa.float64())])
+ROW_DDL = "to long, kind int, src long, " + ", ".join(f"{c} binary" for c in (*PACKED, "data")) + ", ids array<long>, n array<long>, left double"
 RATED_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -80,20 +83,25 @@ def pair_codes(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(mix(before.view(np.uint64)) + word.view(np.uint64))
 
 
+def cut(values: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Consecutive parts of these sizes."""
+    ends = np.cumsum(sizes)
+    return [values[end - size : end] for end, size in zip(ends.tolist(), np.asarray(sizes).tolist(), strict=True)]
+
+
 def rows(kind: int, to: object, sizes: object = None, **columns: object) -> pa.RecordBatch:
-    """Rows of one kind; arrays of values are cut into lists of ``sizes`` (default: one row has all); ``data`` has a row's bytes."""
+    """Rows of one kind. Arrays are cut into parts of ``sizes`` (default: one row has all) and packed; lists have each row's arrays, or what is packed."""
     to = np.asarray(to, np.int64)
     out = {"to": pa.array(to), "kind": pa.array(np.full(len(to), kind, np.int32))}
     for c, values in columns.items():
         if c == "src":
             out[c] = pa.array(np.broadcast_to(np.asarray(values, np.int64), len(to)))
-        elif c == "data":
-            out[c] = pa.array(values, pa.binary())
+        elif c in PACKED:
+            parts = values if isinstance(values, list) else [values] if sizes is None else cut(values, sizes)
+            out[c] = pa.array([x if isinstance(x, bytes) else pack(x) for x in parts], pa.binary())
         else:
-            ends = np.cumsum(np.append(0, [len(values)] if sizes is None else sizes)).astype(np.int32)
-            values = values if isinstance(values, pa.Array) else pa.array(np.asarray(values).astype(TYPES[c].value_type.to_pandas_dtype()))
-            out[c] = pa.ListArray.from_arrays(pa.array(ends), values)
-    return pa.RecordBatch.from_arrays([out[c] if c in out else pa.nulls(len(to), TYPES[c]) for c in ROW.names], schema=ROW)
+            out[c] = pa.array(values, ROW.field(c).type)
+    return pa.RecordBatch.from_arrays([out[c] if c in out else pa.nulls(len(to), ROW.field(c).type) for c in ROW.names], schema=ROW)
 
 
 def pick(group: pa.Table, kind: int) -> pa.Table:
@@ -102,18 +110,19 @@ def pick(group: pa.Table, kind: int) -> pa.Table:
     return some.take(pc.sort_indices(some["src"])).combine_chunks() if len(some) > 1 else some.combine_chunks()
 
 
-def flat(part: pa.Table | pa.RecordBatch, column: str) -> np.ndarray:
-    """All values of a column's lists."""
-    return np.asarray(pc.list_flatten(part[column]))
+def flat(part: pa.Table, column: str) -> np.ndarray:
+    """All values of a column's arrays."""
+    found = [unpack(x) for x in part[column].to_pylist()]
+    return np.concatenate(found) if found else np.empty(0, np.int64)
 
 
 def names_of(part: pa.Table) -> list[bytes]:
-    """Words of all rows, which keep them with blanks between."""
-    return [x for data in part["data"].to_pylist() for x in data.split(b" ")]
+    """Words of all rows."""
+    return [x for data in part["data"].to_pylist() for x in unpack_words(data)]
 
 
 def lengths(part: pa.Table, column: str) -> np.ndarray:
-    return pc.list_value_length(part[column]).to_numpy()
+    return np.array([len(unpack(x)) for x in part[column].to_pylist()], np.int64)
 
 
 def stage(*tables: DataFrame, work: object, schema: str = ROW_DDL) -> DataFrame:
@@ -132,8 +141,8 @@ def of_kind(df: DataFrame, *kinds: int) -> DataFrame:
     return df.filter(F.col("kind").isin(*kinds))
 
 
-def frequent_codes(docs: DataFrame) -> np.ndarray:
-    """Codes of words that are frequent in the first HEAD documents. They say where pairs are worked on, and change no count."""
+def frequent_codes(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Of the first HEAD documents: codes of the most frequent words, which are sent by their number; those of them, sorted, that are so frequent that it says where pairs are worked on. Neither changes a count."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, n, codes = Numbered({b"": 0}), np.zeros(0, np.int64), Codes()
@@ -142,16 +151,22 @@ def frequent_codes(docs: DataFrame) -> np.ndarray:
             more = np.bincount(word, minlength=len(number))
             more[: len(n)] += n
             n = more
-        often = np.flatnonzero(n * FREQUENT >= max(n.sum(), 1))
-        names = list(number)
-        yield pa.RecordBatch.from_arrays([pa.array(np.array([codes[names[w]] for w in often], np.uint64).view(np.int64))], ["code"])
+        names, first = list(number), np.argsort(-n, kind="stable")[:COMMON]
+        found = np.array([codes[names[w]] for w in first], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n[first] * FREQUENT >= max(n.sum(), 1))], ["code", "often"])
+
+    found = docs.select("text").limit(HEAD).coalesce(1).mapInArrow(counted, "code long, often boolean").toPandas()
+    codes = found["code"].to_numpy().astype(np.int64)
+    return codes, np.sort(codes[found["often"].to_numpy().astype(bool)])
 
-    found = docs.select("text").limit(HEAD).coalesce(1).mapInArrow(counted, "code long").toPandas()["code"]
-    return np.unique(found.to_numpy().astype(np.int64))
 
+def spread(docs: DataFrame, common: np.ndarray, often: np.ndarray, groups: int) -> DataFrame:
+    """Blocks of documents (doc_id, text, held_out): their pairs, with the documents that each occurs in, and their words, sent to their groups.
 
-def spread(docs: DataFrame, often: np.ndarray, groups: int) -> DataFrame:
-    """Blocks of documents (doc_id, text, held_out): their pairs, with the documents that each occurs in, and their words, sent to their groups."""
+    A block's pairs are sorted by their second words' codes, then by their first
+    ones'. Second words are sent as runs, first ones by their number in ``common`` if they are there.
+    """
+    by_code = np.argsort(common)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], pa.Array, np.ndarray]]:
         for batch in slices(batches, 1 << 14):
@@ -165,46 +180,55 @@ def spread(docs: DataFrame, often: np.ndarray, groups: int) -> DataFrame:
         for texts, doc_id, held in blocks(batches):
             number = Numbered({b"": 0})
             word, before, sizes = tokens(texts, number)
+            names = list(number)
+            code = np.array([codes[x] for x in names], np.uint64).view(np.int64)
+            sort = np.argsort(code)
+            rank = np.empty(len(sort), np.int64)
+            rank[sort] = np.arange(len(sort))
+            code, word, before = code[sort], rank[word], rank[before]
             learnt = np.repeat(~held, sizes)
             pairs, where = np.unique((word << 32) | before, return_inverse=True)
             w, u = pairs >> 32, pairs & 0xFFFFFFFF
-            names = list(number)
-            code = np.array([codes[x] for x in names], np.uint64).view(np.int64)
             hot, at = np.isin(code, often), home(code, groups)
             to = np.where(~hot[w], at[w], np.where(~hot[u], at[u], (pair_codes(code[u], code[w]) % np.uint64(groups)).astype(np.int64)))
-            order = np.argsort(to, kind="stable")
+            order = np.argsort(to.astype(np.uint16) if groups <= 1 << 16 else to, kind="stable")
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
-            yield rows(BLOCKS, [block], a=doc_id.cast(pa.int64()), b=sizes, j=held)
-            whose = np.repeat(np.arange(len(texts), dtype=np.uint16), sizes)[np.argsort(place[where], kind="stable")]  # the documents of each pair
-            sizes = np.bincount(to, minlength=groups)
-            some = np.flatnonzero(sizes)
-            c, n = np.bincount(where, learnt, len(pairs))[order], np.bincount(where, minlength=len(pairs))[order]
-            data = np.split(whose, np.cumsum(np.add.reduceat(n, np.cumsum(np.append(0, sizes[some][:-1]))))[:-1])
-            yield rows(ASKED, some, sizes[some], src=block, a=code[u[order]], b=code[w[order]], i=c, j=n, data=[x.tobytes() for x in data])
-            c = np.bincount(word, learnt, len(names))
+            yield rows(BLOCKS, [block], ids=[doc_id.cast(pa.int64()).to_pylist()], b=sizes, j=held)
+            whose = np.repeat(np.arange(len(texts), dtype=np.int64), sizes)[np.argsort(place[where], kind="stable")]  # the documents of each pair
+            to, w, u = to[order], w[order], u[order]
+            some, sizes = np.unique(to, return_counts=True)
+
+            def shared(of: np.ndarray, to: np.ndarray = to, some: np.ndarray = some) -> np.ndarray:
+                """How many of these places each group gets."""
+                return np.bincount(to[of], minlength=some[-1] + 1)[some]
+
+            n = np.bincount(where, minlength=len(pairs))[order]
+            held_n = n - np.bincount(where, learnt, len(pairs))[order].astype(np.int64)
+            docs_n = np.add.reduceat(n, np.cumsum(np.append(0, sizes[:-1])))
+            head = np.flatnonzero((np.diff(w, prepend=-1) != 0) | (np.diff(to, prepend=-1) != 0))
+            near, known = find(common[by_code], code)
+            numbers = np.where(known, by_code[near], len(common))[u] if len(common) else np.zeros(len(u), np.int64)
+            rare = np.flatnonzero(numbers == len(common))
+            yield rows(
+                ASKED, some, sizes, src=block, a=cut(code[u[rare]], shared(rare)), i=numbers, b=cut(code[w[head]], shared(head)), j=cut(np.diff(head, append=len(w)), shared(head)), k=n, l=held_n, d=cut(whose, docs_n)
+            )
+            c = np.bincount(word, learnt, len(names)).astype(np.int64)
             known = np.flatnonzero(c)
             known = known[np.argsort(at[known], kind="stable")]
-            sizes = np.bincount(at[known], minlength=groups)
-            some = np.flatnonzero(sizes)
-            ends = np.cumsum(sizes[some])
-            data = [b" ".join([names[w] for w in known[end - size : end]]) for end, size in zip(ends, sizes[some], strict=True)]
-            yield rows(SPELT, some, sizes[some], src=block, a=code[known], i=c[known], data=data)
+            some, sizes = np.unique(at[known], return_counts=True)
+            yield rows(SPELT, some, sizes, src=block, i=c[known], data=[pack_words([names[w] for w in part]) for part in cut(sort[known], sizes)])
             block += 1
 
     return docs.select("doc_id", "text", "held_out").mapInArrow(sent, ROW_DDL)
 
 
-def gather(sent: DataFrame, groups: int) -> DataFrame:
+def gather(sent: DataFrame, common: np.ndarray, groups: int) -> DataFrame:
     """Each group's words and pairs once, with their counts (0: in held-out documents only)."""
 
-    def of_words(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct words by home, and the place of each word in them."""
-        found, where = np.unique(codes, return_inverse=True)
-        order = np.argsort(home(found, groups), kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        return found[order], place[where]
+    def asked_words(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many of these words, which lie by home, each home gets, and these homes."""
+        return np.unique(home(codes, groups), return_counts=True)
 
     def gathered(group: pa.Table) -> pa.Table:
         g = group["to"][0].as_py()
@@ -212,30 +236,35 @@ def gather(sent: DataFrame, groups: int) -> DataFrame:
             return group.select(ROW.names)
         out, asked, spelt = [], pick(group, ASKED), pick(group, SPELT)
         if len(spelt):
-            codes, first, where = np.unique(flat(spelt, "a"), return_index=True, return_inverse=True)
-            names = names_of(spelt)
-            out.append(rows(SPELT, [g], a=codes, b=np.bincount(where, flat(spelt, "i")), data=[b" ".join([names[k] for k in first])]))
+            number = Numbered()
+            where = np.fromiter(map(number.__getitem__, names_of(spelt)), np.int64)
+            names, n = list(number), np.bincount(where, flat(spelt, "i")).astype(np.int64)
+            codes = np.array([code(x) for x in names], np.uint64).view(np.int64)
+            sort = np.argsort(codes)
+            out.append(rows(SPELT, [g], a=codes[sort], b=n[sort], data=[pack_words([names[k] for k in sort])]))
         if len(asked):
-            before, word = flat(asked, "a"), flat(asked, "b")
-            _, first, where = np.unique(pair_codes(before, word), return_index=True, return_inverse=True)
-            order = np.argsort(word[first])  # words in runs take less room
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            first, where = first[order], place[where]
-            c = np.bincount(where, flat(asked, "i")).astype(np.int64)
-            before, word, m = before[first], word[first], len(first)
-            codes, at = of_words(np.concatenate([before, word]))
-            once = c == 1
-            sizes = np.bincount(home(codes, groups), minlength=groups)
-            some = np.flatnonzero(sizes)
-            once_in, once_of = (np.bincount(x[once], minlength=len(codes)) for x in (at[:m], at[m:]))
-            out.append(rows(ALL, some, sizes[some], src=g, a=codes, i=once_in, j=once_of))
-            out.append(rows(PAIRS, [g], i=at[:m], j=at[m:], k=c))
-            out.append(rows(ASKING, np.full(len(asked), g), lengths(asked, "a"), src=asked["src"].to_numpy(), i=where, j=flat(asked, "j"), data=asked["data"].to_pylist()))
-            more = np.flatnonzero(c > 1)
-            if len(more):
-                codes, at = of_words(np.concatenate([before[more], word[more]]))
-                out.append(rows(ACTIVE, [g], a=codes, i=at[: len(more)], j=at[len(more) :], k=c[more]))
+            numbers, times = flat(asked, "i"), flat(asked, "k")
+            before = np.append(common, 0)[numbers]
+            before[numbers == len(common)] = flat(asked, "a")
+            us, u = np.unique(before, return_inverse=True)
+            ws, w = np.unique(flat(asked, "b"), return_inverse=True)
+            pairs, where = np.unique((np.repeat(w, flat(asked, "j")) << 32) | u, return_inverse=True)
+            c = np.bincount(where, times - flat(asked, "l")).astype(np.int64)
+            codes = np.unique(np.concatenate([us, ws]))
+            sort = np.argsort(home(codes, groups), kind="stable")
+            place = np.empty(len(sort), np.int64)
+            place[sort] = np.arange(len(sort))
+            u, w = place[np.searchsorted(codes, us)][pairs & 0xFFFFFFFF], place[np.searchsorted(codes, ws)][pairs >> 32]
+            codes, once = codes[sort], c == 1
+            some, sizes = asked_words(codes)
+            once_in, once_of = (np.bincount(x[once], minlength=len(codes)) for x in (u, w))
+            out.append(rows(ALL, some, sizes, src=g, a=codes, i=once_in, j=once_of))
+            out.append(rows(PAIRS, [g], i=u, j=w, k=c))
+            out.append(rows(ASKING, np.full(len(asked), g), lengths(asked, "k"), src=asked["src"].to_numpy(), i=where, k=asked["k"].to_pylist(), d=asked["d"].to_pylist()))
+            more = c > 1
+            if more.any():
+                used, at = np.unique(np.concatenate([u[more], w[more]]), return_inverse=True)
+                out.append(rows(ACTIVE, [g], a=codes[used], i=at[: len(at) // 2], j=at[len(at) // 2 :], k=c[more]))
         return table(out)
 
     return materialize(stage(sent, work=gathered), "lm-pairs", by=["kind"])
@@ -251,7 +280,8 @@ def at_home(model: DataFrame) -> DataFrame:
         codes = flat(spelt, "a")
         place, known = find(codes, flat(asked, "a"))
         once = [np.bincount(place[known], flat(asked, c)[known], len(codes)) for c in "ij"]
-        return table([rows(HOME, group["to"][:1], a=codes, b=flat(spelt, "b"), i=once[0], j=once[1], data=spelt["data"].to_pylist())])
+        n = flat(spelt, "b")
+        return table([rows(HOME, group["to"][:1], a=codes, b=n, i=once[0].astype(np.int64), j=once[1].astype(np.int64), data=spelt["data"].to_pylist(), n=[[len(n), int(n.sum())]])])
 
     return materialize(stage(of_kind(model, SPELT, ALL), work=homes), "lm-words")
 
@@ -274,7 +304,7 @@ def seated(model: DataFrame, words: DataFrame, last: DataFrame | None, draw: Dra
         pairs = pick(group, ACTIVE)
         if not len(pairs):
             return table([])
-        g, codes, count = group["to"][0].as_py(), flat(pairs, "a"), flat(pairs, "k").astype(np.int64)
+        g, codes, count = group["to"][0].as_py(), flat(pairs, "a"), flat(pairs, "k")
         context, word = flat(pairs, "i"), flat(pairs, "j")
         t = np.ones(len(count), np.int64)
         told, before = pick(group, ANSWER), pick(group, SEATS)
@@ -284,7 +314,7 @@ def seated(model: DataFrame, words: DataFrame, last: DataFrame | None, draw: Dra
             t = seat(count, (strength + discount * tables[context]) * p[word], discount, np.random.default_rng([seed, number, g]))
         sizes = np.bincount(home(codes, groups), minlength=groups)
         some = np.flatnonzero(sizes)
-        out = [rows(PART, some, sizes[some], src=g, a=codes, i=np.bincount(context, t, len(codes)), j=np.bincount(word, t, len(codes)))]
+        out = [rows(PART, some, sizes[some], src=g, a=codes, i=np.bincount(context, t, len(codes)).astype(np.int64), j=np.bincount(word, t, len(codes)).astype(np.int64))]
         if keep:
             out.append(rows(SEATS, [g], i=t + flat(before, "i") if len(before) else t))
         return table(out)
@@ -308,12 +338,12 @@ def seated(model: DataFrame, words: DataFrame, last: DataFrame | None, draw: Dra
             p = (customers - discount * t0 + opening) / (strength + shared.customers)
         found, where = np.unique(cells, return_inverse=True)
         sums = np.bincount(where, np.repeat(t0, np.diff(np.append(start, len(cells)))))
-        out.append(rows(SUMS, [g], a=np.concatenate([found, [-1, -2]]), b=np.concatenate([sums, [customers.sum(), t0.sum()]])))
+        out.append(rows(SUMS, [g], ids=[np.concatenate([found, [-1, -2]])], n=[np.concatenate([sums, [customers.sum(), t0.sum()]]).astype(np.int64)]))
         if answer and len(parts):
             out.append(rows(ANSWER, parts["src"].to_numpy(), lengths(parts, "a"), src=g, i=tables[place], y=p[place]))
         if keep:
             sums = [tables, p] if not len(before) else [tables + flat(before, "x"), p + flat(before, "y")]
-            out += [rows(LEVEL, [g], x=sums[0], y=sums[1]), rows(LEFT, [g], x=[spelt.sum()])]
+            out += [rows(LEVEL, [g], x=sums[0], y=sums[1]), rows(LEFT, [g], left=[spelt.sum()])]
         return table(out)
 
     pairs = [of_kind(model, ACTIVE), *([of_kind(last, ANSWER, SEATS)] if last else [])]
@@ -334,9 +364,9 @@ def sample(model: DataFrame, words: DataFrame, total: int, groups: int, seed: in
         if last:
             discard(last)
         if keep:
-            spelt = of_kind(now, LEFT).select(F.explode("x").alias("x")).agg(F.sum("x")).first()[0] or 0.0
+            spelt = of_kind(now, LEFT).agg(F.sum("left")).first()[0] or 0.0
             unknown += draw.share() * max(1.0 - spelt, 0.0) / draws
-        cells = of_kind(now, SUMS).select(F.explode(F.arrays_zip("a", "b")).alias("s")).groupBy(F.col("s.a").alias("cell")).agg(F.sum("s.b").alias("n")).toPandas().sort_values("cell")
+        cells = of_kind(now, SUMS).select(F.explode(F.arrays_zip("ids", "n")).alias("s")).groupBy(F.col("s.ids").alias("cell")).agg(F.sum("s.n").alias("n")).toPandas().sort_values("cell")
         cell, n = cells["cell"].to_numpy(), cells["n"].to_numpy()
         known = dict(zip(cell[cell < 0].tolist(), n[cell < 0].tolist(), strict=True))
         spelling = seat_spelling(cell[cell >= 0], n[cell >= 0], draw.spelling if draw else None, rng)
@@ -353,7 +383,7 @@ def rate(model: DataFrame, words: DataFrame, last: DataFrame, unknown: float, dr
         own, level, asked = (pick(group, k) for k in (HOME, LEVEL, ALL))
         if not len(asked):
             return table([])
-        c, tables, p = np.zeros(1), np.zeros(1), np.full(1, max(unknown, 1e-300))  # of words that aren't known
+        c, tables, p = np.zeros(1, np.int64), np.zeros(1, np.int64), np.full(1, max(unknown, 1e-300))  # of words that aren't known
         codes = flat(own, "a") if len(own) else np.empty(0, np.int64)
         if len(own):
             c, tables, p = np.append(flat(own, "b"), c), np.append(flat(level, "x"), tables), np.append(flat(level, "y") / draws, p)
@@ -365,20 +395,20 @@ def rate(model: DataFrame, words: DataFrame, last: DataFrame, unknown: float, dr
         pairs, asking, seats, told = (pick(group, k) for k in (PAIRS, ASKING, SEATS, LAST))
         if not len(pairs):
             return table([])
-        context, word, count = flat(pairs, "i"), flat(pairs, "j"), flat(pairs, "k").astype(np.int64)
+        context, word, count = flat(pairs, "i"), flat(pairs, "j"), flat(pairs, "k")
         tables = np.minimum(count, 1).astype(np.float64)
         tables[count > 1] = flat(seats, "i") / draws
-        n, p = flat(told, "j").astype(np.int64), flat(told, "y")
+        n, p = flat(told, "j"), flat(told, "y")
         share = (strength + discount * flat(told, "i") / draws) / (strength + n)
         own = np.log10((count - discount * tables) / (strength + n[context]) + share[context] * p[word])
         base = np.log10((n + 0.1) / (total + 0.1 * (distinct + 1)))
         out = []
-        for block in asking.to_batches(1):
-            where, times = flat(block, "i"), flat(block, "j")
-            docs, whose = np.unique(np.frombuffer(block["data"][0].as_py(), np.uint16), return_inverse=True)
-            at = word[where]
-            known, base_sum, own_sum = (np.bincount(whose, np.repeat(x, times)) for x in (n[at] > 0, base[at], own[where]))
-            out.append(rows(SCORES, [block["src"][0].as_py()], src=group["to"][0].as_py(), i=docs, j=known, x=base_sum, y=own_sum))
+        for src, where, times, docs in zip(*(asking[c].to_pylist() for c in ("src", "i", "k", "d")), strict=True):
+            where, times, docs = unpack(where), unpack(times), unpack(docs)
+            some, at = np.flatnonzero(np.bincount(docs)), word[where]
+            known, base_sum, own_sum = (np.bincount(docs, np.repeat(x, times))[some] for x in (n[at] > 0, base[at], own[where]))
+            base_sum, own_sum = (np.rint(x * PART_OF_1).astype(np.int64) for x in (base_sum, own_sum))
+            out.append(rows(SCORES, [src], src=group["to"][0].as_py(), i=some, j=known.astype(np.int64), x=base_sum, y=own_sum))
         return table(out)
 
     def add_up(group: pa.Table) -> pa.Table:
@@ -386,7 +416,7 @@ def rate(model: DataFrame, words: DataFrame, last: DataFrame, unknown: float, dr
         sizes, at = flat(docs, "b"), flat(scores, "i")
         known, base, own = (np.bincount(at, flat(scores, c), len(sizes)) for c in "jxy")
         held = pa.array(flat(docs, "j") > 0)
-        return pa.table([pc.list_flatten(docs["a"]).combine_chunks(), held, pa.array(sizes), pa.array(known.astype(np.int64)), pa.array(base), pa.array(own)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+        return pa.table([pc.list_flatten(docs["ids"]).combine_chunks(), held, pa.array(sizes), pa.array(known.astype(np.int64)), pa.array(base / PART_OF_1), pa.array(own / PART_OF_1)], RATED_DDL.replace(",", "").split()[::2])
 
     answers = stage(words, of_kind(last, LEVEL), of_kind(model, ALL), work=answer)
     scores = stage(of_kind(model, PAIRS, ASKING), of_kind(last, SEATS), answers, work=score)
@@ -409,10 +439,12 @@ def score_texts(docs: DataFrame, held: Column, seed: int = 6) -> DataFrame:
     """
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"))
     groups = max(LEAST_GROUPS, (columns.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // GROUP)
-    model = gather(spread(columns, frequent_codes(columns), groups), groups)
+    common, often = frequent_codes(columns)
+    release(docs.sparkSession)
+    model = gather(spread(columns, common, often, groups), common, groups)
     release(docs.sparkSession)
     words = at_home(model)
-    known = words.select(F.size("a").alias("n"), F.aggregate("b", F.lit(0).cast("long"), lambda x, y: x + y).alias("c")).agg(F.sum("n"), F.sum("c")).first()
+    known = words.agg(F.sum(F.col("n")[0]), F.sum(F.col("n")[1])).first()
     distinct, total = known[0] or 0, known[1] or 0
     last, unknown = sample(model, words, total, groups, seed)
     rated = rate(model, words, last, unknown, DRAWS, total, distinct, groups)

@@ -6,6 +6,7 @@ import hashlib
 import math
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from navgraph.llm import common, decontam, lm_scoring, mixing, near_dedup, quality, secrets, sharding, suffix_dedup, token_counts, toxicity
 from navgraph.llm.bwt import smallest_owner
 from navgraph.llm.components import components
+from navgraph.llm.packed import pack, pack_words, unpack, unpack_words
 from navgraph.llm.pitman_yor import seat, ways
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -228,6 +230,29 @@ def test_lm_contexts_are_whole_words(spark):
     assert out[104].n_known == 2 and out[104].score < out[103].score
 
 
+def test_lm_scoring_keeps_little_a_token(spark, sf_dir, monkeypatch):
+    kept, write = {}, lm_scoring.materialize
+
+    def materialized(df, label, **options):
+        out = write(df, label, **options)
+        kept[label] = sum(f.stat().st_size for f in Path(out.kept_at.removeprefix("file:")).rglob("*.parquet"))
+        return out
+
+    monkeypatch.setattr(lm_scoring, "materialize", materialized)
+    out = lm_scoring.op6_lm_scoring(spark, sf_dir).agg(F.sum("n_tokens")).first()[0]
+    assert kept["lm-pairs"] < 15 * out, (kept, out)
+
+
+def test_packed_arrays():
+    ends = [-(2**63), 2**63 - 1]
+    for values in ([], [0], [7, 7, 7], [300, 2, 5], [1, 5, 70000], ends, ends[::-1], [*ends, 0, -1], [True, False], list(range(1000))):
+        found = unpack(pack(np.array(values, bool if values and isinstance(values[0], bool) else np.int64)))
+        assert found.dtype == np.int64 and found.tolist() == [int(v) for v in values]
+    assert unpack(pack(np.array([0.1, -3.0, math.inf]))).tolist() == [0.1, -3.0, math.inf]
+    assert len(pack(np.arange(10**6))) < 1000
+    assert [unpack_words(pack_words(w)) for w in ([b""], [b"a", b"", b"\xc3\xa9"])] == [[b""], [b"a", b"", b"\xc3\xa9"]]
+
+
 def test_lm_scoring_of_odd_rows(spark):
     out = lm_scoring.score_texts(up(spark, ODD, True), F.coalesce(F.col("doc_id") == 10, F.lit(False))).collect()
     assert len(out) == len(ODD) and {r.n_tokens for r in out if r.doc_id in (1, 2, 9)} == {1}
