@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from navgraph.llm.arrow import byte_slices
 from navgraph.llm.common import discard, documents, materialize, release
 from navgraph.llm.hashing import Codes, as_bytes, code, grouped, mix, slices
 from navgraph.llm.packed import pack, pack_words, unpack, unpack_words
@@ -169,11 +170,9 @@ def spread(docs: DataFrame, common: np.ndarray, often: np.ndarray, groups: int)
     by_code = np.argsort(common)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], pa.Array, np.ndarray]]:
-        for batch in slices(batches, 1 << 14):
-            at = 0
-            for texts in grouped(as_bytes(batch["text"]), BLOCK):
-                yield texts, batch["doc_id"].slice(at, len(texts)), batch["held_out"].slice(at, len(texts)).to_numpy(zero_copy_only=False)
-                at += len(texts)
+        for batch in byte_slices(batches, "text", BLOCK):
+            for part in slices([batch], 1 << 14):
+                yield as_bytes(part["text"]), part["doc_id"], part["held_out"].to_numpy(zero_copy_only=False)
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, codes = groups + (TaskContext.get().partitionId() << 32), Codes()
@@ -185,17 +184,19 @@ def spread(docs: DataFrame, common: np.ndarray, often: np.ndarray, groups: int)
             sort = np.argsort(code)
             rank = np.empty(len(sort), np.int64)
             rank[sort] = np.arange(len(sort))
-            code, word, before = code[sort], rank[word], rank[before]
+            code, word = code[sort], rank[word]
             learnt = np.repeat(~held, sizes)
-            pairs, where = np.unique((word << 32) | before, return_inverse=True)
-            w, u = pairs >> 32, pairs & 0xFFFFFFFF
+            pairs, where = np.unique((word << 32) | rank[before], return_inverse=True)
+            word, where = word.astype(np.int32), where.astype(np.int32)
+            w, u = (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32)
+            del before, pairs
             hot, at = np.isin(code, often), home(code, groups)
             to = np.where(~hot[w], at[w], np.where(~hot[u], at[u], (pair_codes(code[u], code[w]) % np.uint64(groups)).astype(np.int64)))
             order = np.argsort(to.astype(np.uint16) if groups <= 1 << 16 else to, kind="stable")
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order), dtype=np.int32)
             yield rows(BLOCKS, [block], ids=[doc_id.cast(pa.int64()).to_pylist()], b=sizes, j=held)
-            whose = np.repeat(np.arange(len(texts), dtype=np.int64), sizes)[np.argsort(place[where], kind="stable")]  # the documents of each pair
+            whose = np.repeat(np.arange(len(texts), dtype=np.uint16), sizes)[np.argsort(place[where], kind="stable")]  # the documents of each pair
             to, w, u = to[order], w[order], u[order]
             some, sizes = np.unique(to, return_counts=True)
 
@@ -203,8 +204,9 @@ def spread(docs: DataFrame, common: np.ndarray, often: np.ndarray, groups: int)
                 """How many of these places each group gets."""
                 return np.bincount(to[of], minlength=some[-1] + 1)[some]
 
-            n = np.bincount(where, minlength=len(pairs))[order]
-            held_n = n - np.bincount(where, learnt, len(pairs))[order].astype(np.int64)
+            n = np.bincount(where, minlength=len(order))[order]
+            held_n = n - np.bincount(where, learnt, len(order))[order].astype(np.int64)
+            del place, where, order
             docs_n = np.add.reduceat(n, np.cumsum(np.append(0, sizes[:-1])))
             head = np.flatnonzero((np.diff(w, prepend=-1) != 0) | (np.diff(to, prepend=-1) != 0))
             near, known = find(common[by_code], code)
